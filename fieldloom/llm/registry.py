@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, warc
 from .common import table
 
 
@@ -19,5 +19,22 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The public tokenizer files' place on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"), spark)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op6_warc": op6_warc, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
