@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, warc
+from . import bpe, decontaminate, exact_dedup, secrets, warc
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.col("spans.kind")
+    count = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        count("entropy").alias("n_entropy"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.substring_index("digest", ":", 1).alias("text_sha256"))
@@ -36,5 +50,5 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op6_warc": op6_warc, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
