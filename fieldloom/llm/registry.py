@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, secrets, warc
+from . import bpe, decontaminate, exact_dedup, language, quality, secrets, warc
 from .common import table
 
 
@@ -33,6 +33,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.classify(docs, docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "expected_grade", F.element_at("tails", -1).alias("p_best"), "grade", "keep")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The public tokenizer files' place on this machine."""
     import public_tokenizers
@@ -50,5 +60,5 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
