@@ -10,9 +10,10 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterator, Sequence
+from itertools import islice, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,8 @@ from tokenizers import Tokenizer
 from .common import scratch_path
 
 LEXICON_WORDS = 65_536  # bound of the lexicon; all other words are merged when met
-MEMO_CHUNKS = 200_000  # bound of a worker's memo
+SHORT, NO_MERGE = 48, 1 << 40
+MEMO_CHUNKS = 400_000  # bound of a worker's memo
 OUT_BYTES = 8 << 20
 STABLE = "\u0530"  # below it, all Unicode versions in use agree on letters, numbers and cases
 
@@ -35,7 +37,8 @@ class Vocabulary(NamedTuple):
     """What a word-end BPE file holds, as far as encoding and decoding need it."""
 
     tokens: dict[str, int]
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair of ids: rank, id
+    ranks: dict[int, int]  # of a pair of ids, a << 32 | b
+    merged: list[int]  # id of the pair of each rank
     specials: dict[str, int]
     suffix: str
     pattern: str
@@ -47,10 +50,11 @@ class Vocabulary(NamedTuple):
             spec = json.load(f)
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         tokens = model["vocab"]
-        merges = {(tokens[a], tokens[b]): (rank, tokens[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        ranks = {tokens[a] << 32 | tokens[b]: rank for rank, (a, b) in enumerate(model["merges"])}
+        merged = [tokens[a + b] for a, b in model["merges"]]
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         bare = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
-        return Vocabulary(tokens, merges, specials, model["end_of_word_suffix"] or "", steps[0]["pattern"]["Regex"], bare)
+        return Vocabulary(tokens, ranks, merged, specials, model["end_of_word_suffix"] or "", steps[0]["pattern"]["Regex"], bare)
 
 
 def byte_symbols() -> list[str]:
@@ -67,7 +71,7 @@ class Merger:
     """Exact BPE of one pre-tokenised word."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.rank, self.merged = vocabulary, vocabulary.ranks.get, vocabulary.merged
         symbols = byte_symbols()
         self.inner = [vocabulary.tokens[s] for s in symbols]
         self.last = [vocabulary.tokens[s + vocabulary.suffix] for s in symbols]
@@ -78,6 +82,8 @@ class Merger:
 
     def split(self, chunk: str) -> list[str]:
         """The words of a text without white space; special tokens come as they are."""
+        if chunk.isascii() and not any(map(chunk.__contains__, self.v.specials)):
+            return [chunk.lower()] if chunk.isalpha() else self.pattern(chunk.lower())
         out: list[str] = []
         for part in self.special(chunk):
             if part in self.v.specials:
@@ -95,27 +101,46 @@ class Merger:
         if word in self.v.specials:
             return [self.v.specials[word]]
         raw = word.encode("utf-8", "surrogatepass")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        return self._merge(ids) if len(ids) > 1 else ids
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Lowest rank first, leftmost first among equals; a heap over a linked list."""
-        get, n = self.v.merges.get, len(ids)
+        ids = list(map(self.inner.__getitem__, raw))
+        ids[-1] = self.last[raw[-1]]
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        """Lowest rank first, leftmost first among equals, by a scan of all pairs' ranks."""
+        rank, none = self.rank, NO_MERGE
+        ranks = [rank(a << 32 | b, none) for a, b in pairwise(ids)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            ids[i] = self.merged[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same by a heap over a linked list."""
+        rank, none, n = self.rank, NO_MERGE, len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (r := rank(a << 32 | b, none)) != none]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j], right[i] = new, -1, right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-                if m := get((new, ids[right[i]])):
-                    heapq.heappush(heap, (m[0], i, new, ids[right[i]], m[1]))
-            if left[i] >= 0 and (m := get((ids[left[i]], new))):
-                heapq.heappush(heap, (m[0], left[i], ids[left[i]], new, m[1]))
+            new = ids[i] = self.merged[r]
+            ids[j], right[i] = -1, right[j]
+            if (k := right[i]) >= 0:
+                left[k] = i
+                if (r := rank(new << 32 | ids[k], none)) != none:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (k := left[i]) >= 0 and (r := rank(ids[k] << 32 | new, none)) != none:
+                heapq.heappush(heap, (r, k, ids[k], new))
         return [x for x in ids if x >= 0]
 
 
@@ -172,19 +197,22 @@ class Lexicon:
         for n, size in head.reshape(7, 2).tolist():
             parts.append(np.frombuffer(buffer, {1: np.uint8, 4: "<u4"}[size], n, at))
             at += n * size + -(n * size) % 8
-        self.first, self.final, self.labels, self.targets, self.numbers, self.offsets, self.flat = parts
+        first, final, labels, targets, numbers, offsets, flat = parts
+        # Views of the mapped file; only the labels are copied, for the C search in them.
+        self.first, self.final, self.targets, self.numbers, self.offsets = map(memoryview, (first, final, targets, numbers, offsets))
+        self.labels, self.flat = labels.tobytes(), memoryview(flat).cast("B")
 
     def get(self, word: str) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, None if the word isn't in the lexicon."""
+        first, find, targets, numbers = self.first, self.labels.find, self.targets, self.numbers
         state, rank = len(self.final) - 1, 0
         for b in word.encode("utf-8", "surrogatepass"):
-            lo, hi = self.first[state], self.first[state + 1]
-            i = lo + np.searchsorted(self.labels[lo:hi], b)
-            if i == hi or self.labels[i] != b:
+            i = find(b, first[state], first[state + 1])
+            if i < 0:
                 return None
-            rank += int(self.numbers[i])
-            state = self.targets[i]
-        return self.flat[self.offsets[rank] : self.offsets[rank + 1]].tobytes() if self.final[state] else None
+            rank += numbers[i]
+            state = targets[i]
+        return bytes(self.flat[4 * self.offsets[rank] : 4 * self.offsets[rank + 1]]) if self.final[state] else None
 
 
 def open_shared(uri: str) -> pa.Buffer:
@@ -292,8 +320,9 @@ class _Memo(dict):
         self.token = {i: t for t, i in (vocabulary.tokens | vocabulary.specials).items()}
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        ids = b"".join(self.lexicon.get(w) or np.array(self.merger.ids(w), "<u4").tobytes() for w in self.merger.split(chunk))
-        out = self[chunk] = ids, decode(np.frombuffer(ids, "<u4").tolist(), self.token)
+        words = self.merger.split(chunk)
+        ids = b"".join([self.lexicon.get(w) or array("I", self.merger.ids(w)).tobytes() for w in words])
+        out = self[chunk] = ids, decode(memoryview(ids).cast("I"), self.token)
         return out
 
     def trim(self) -> None:
@@ -302,6 +331,6 @@ class _Memo(dict):
                 del self[k]
 
 
-def decode(ids: list[int], token: dict[int, str]) -> str:
+def decode(ids: Sequence[int], token: dict[int, str]) -> str:
     """Without a decoder in its file, the library joins tokens with blanks."""
     return " ".join([token[i] for i in ids])

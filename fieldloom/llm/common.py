@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PAGE_BITS = 32768  # bits of one page of bitmap_construct_agg
+PAGES_AT_MOST = 2048  # 8 MB: bound of a broadcast filter at every input size
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
@@ -56,6 +60,29 @@ def skew_lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: i
     return by_broadcast.unionByName(by_shuffle)
 
 
+def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """A bitmap over hashed ids (one hash, about 16 bits an id, PAGES_AT_MOST pages at most), and its hash.
+
+    It has false positives, never false negatives; beyond its bound it only lets more rows pass.
+    """
+    pages = 1
+    while pages < PAGES_AT_MOST and pages * PAGE_BITS < 16 * n:
+        pages *= 2
+
+    def slot(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(pages * PAGE_BITS))
+
+    bits = ids.select(slot(ids[0]).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("page"))
+    return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bitmap")), slot
+
+
+def maybe_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
+    """The rows whose key the filter doesn't rule out; the filter goes by broadcast, within its bound."""
+    at = F.bitmap_bit_position(slot(key))
+    found = df.withColumns({"page": F.bitmap_bucket_number(slot(key)), "at_": at}).join(F.broadcast(pages), "page")
+    return found.filter(F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1")).drop("page", "at_", "bitmap")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as (id, component), component being the smallest id.
 

@@ -13,11 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shared_dir, skew_lookup
+from .common import id_filter, maybe_in, scratch_path, shared_dir, skew_lookup
 
 SPACES = " \t\n\x0b\x0c\r"
-PAGE_BITS = 32768  # bits of one page of bitmap_construct_agg
-PAGES_AT_MOST = 2048  # 8 MB: bound of the broadcast filter at every input size
 
 
 def normalised(text: Column) -> Column:
@@ -34,28 +32,6 @@ def _write_run(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column], int]:
-    """A bitmap over hashed ids (one hash, about 16 bits an id, PAGES_AT_MOST pages at most), its hash, and its pages.
-
-    It has false positives, never false negatives; beyond its bound it only lets more rows pass.
-    """
-    pages = 1
-    while pages < PAGES_AT_MOST and pages * PAGE_BITS < 16 * n:
-        pages *= 2
-
-    def slot(x: Column) -> Column:
-        return F.pmod(F.xxhash64(x), F.lit(pages * PAGE_BITS))
-
-    bits = ids.select(slot(ids[0]).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("page"))
-    return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bitmap")), slot, pages
-
-
-def _maybe_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
-    at = F.bitmap_bit_position(slot(key))
-    found = df.withColumns({"page": F.bitmap_bucket_number(slot(key)), "at_": at}).join(F.broadcast(pages), "page")
-    return found.filter(F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1")).drop("page", "at_", "bitmap")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for each row of docs.
 
@@ -80,8 +56,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if n_hits:
         multi = level.filter("group_size > 1")
         hits = skew_lookup(runs.select("digest", "doc_id"), multi.select("digest", "group_size"), "digest", "group_size", total)
-        pages, slot, _ = id_filter(hits.select(F.coalesce("doc_id", F.lit(-1))), n_hits)
-        seen = _maybe_in(rows, F.coalesce("doc_id", F.lit(-1)), pages, slot).select(normalised(F.col("text")).alias("norm"))
+        pages, slot = id_filter(hits.select(F.coalesce("doc_id", F.lit(-1))), n_hits)
+        seen = maybe_in(rows, F.coalesce("doc_id", F.lit(-1)), pages, slot).select(normalised(F.col("text")).alias("norm"))
         # Byte verification: the least and the greatest text of a digest are the same bytes, or the digest collides.
         ends = seen.groupBy(digest(F.col("norm")).cast("string").alias("digest")).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
         clash = ends.filter("lo <> hi").select("digest")
