@@ -244,7 +244,9 @@ def read_packages(packages: DataFrame, *, slice_records: int = 500) -> DataFrame
 
     step = F.sequence(F.lit(0), F.col("n_records").cast("int") - 1, F.lit(slice_records))
     slices = packages.filter("n_records > 0").select("uri", F.explode(step).alias("first"))
-    return slices.repartition("uri", "first").mapInArrow(read, RECORD_SCHEMA)
+    # Slices are tiny rows that stand for much work, so their number, not their bytes, sets the number of tasks.
+    total = packages.agg(F.sum("n_records")).first()[0] or 0
+    return slices.repartition(max(1, -(-total // (4 * slice_records))), "uri", "first").mapInArrow(read, RECORD_SCHEMA)
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = 0) -> DataFrame:
