@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, ngram_join, quality, secrets, warc
+from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, secrets, warc
 from .common import table
 
 
@@ -60,9 +60,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.by_document(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_line_dedup": op9_line_dedup, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
