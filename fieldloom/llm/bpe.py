@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import scratch_path
+from .common import scratch_path, stored
 
-LEXICON_WORDS = 65_536  # bound of the lexicon; all other words are merged when met
+LEXICON_WORDS = 65_536  # bound of the chunks whose words make up the lexicon; all other words are merged when met
 SHORT, NO_MERGE = 48, 1 << 40
 MEMO_CHUNKS = 400_000  # bound of a worker's memo
 OUT_BYTES = 8 << 20
@@ -240,39 +240,47 @@ def chunks_of(text: str | None) -> list[str]:
     return text.split()
 
 
-def count_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", *, held: int = 300_000) -> DataFrame:
-    """(word, n) over all of docs; a task holds at most about ``held`` chunks before it passes counts on."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def count_chunks(docs: DataFrame, text_col: str = "text", *, held: int = 400_000) -> DataFrame:
+    """(chunk, n) over all of docs, a chunk being text between white space; a task holds about ``held`` chunks at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, seen = Merger(sent.value), Counter()
+        seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in merger.split(chunk):
-                    words[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 seen.update(chunks_of(text.as_py()))
                 if len(seen) > held:
                     yield out()
+                    seen.clear()
         yield out()
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
+    return counted.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", *, size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words of docs (ties by word) and returns the file's place in the shared folder."""
-    top = count_words(docs, vocabulary, text_col).orderBy(F.desc("n"), "word").limit(size).collect()  # bounded by size
+    """Compiles the words of the most frequent chunks of docs, at most ``size`` of them, and returns the file's place.
+
+    Which chunks are frequent enough follows from a histogram of all counts on a logarithmic scale, so the driver gets
+    some hundred rows and then only the chunks themselves.
+    """
+    step = F.floor(F.log2("n") * 16)
+    counts = stored(count_chunks(docs, text_col), "chunks")
+    cut, room = None, size
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("chunks")).orderBy(F.desc("step")).collect():
+        room -= r.chunks
+        if room < 0:
+            break
+        cut = r.step
     merger = Merger(vocabulary)
+    top = [] if cut is None else counts.filter(step >= cut).select("chunk").collect()  # at most ``size`` rows
+    words = {w for r in top for w in merger.split(r.chunk)}
     uri = scratch_path(docs.sparkSession, "lexicon") + "/words.bin"
     uri = uri if "://" in uri else f"file://{uri}"
-    write_shared(uri, compile_lexicon({r.word: merger.ids(r.word) for r in top}))
+    write_shared(uri, compile_lexicon({w: merger.ids(w) for w in words}))
     return uri
 
 
@@ -317,18 +325,24 @@ class _Memo(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
         self.merger, self.lexicon = Merger(vocabulary), lexicon
+        self.words: dict[str, bytes] = {}
         self.token = {i: t for t, i in (vocabulary.tokens | vocabulary.specials).items()}
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        words = self.merger.split(chunk)
-        ids = b"".join([self.lexicon.get(w) or array("I", self.merger.ids(w)).tobytes() for w in words])
+        known, parts = self.words, []
+        for w in self.merger.split(chunk):
+            if (ids := known.get(w)) is None:
+                ids = known[w] = self.lexicon.get(w) or array("I", self.merger.ids(w)).tobytes()
+            parts.append(ids)
+        ids = b"".join(parts)
         out = self[chunk] = ids, decode(memoryview(ids).cast("I"), self.token)
         return out
 
     def trim(self) -> None:
-        if len(self) > MEMO_CHUNKS:
-            for k in list(islice(self, len(self) // 2)):
-                del self[k]
+        for memo in (self, self.words):
+            if len(memo) > MEMO_CHUNKS:
+                for k in list(islice(memo, len(memo) // 2)):
+                    del memo[k]
 
 
 def decode(ids: Sequence[int], token: dict[int, str]) -> str:
