@@ -76,11 +76,17 @@ def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Col
     return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bitmap")), slot
 
 
-def maybe_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
-    """The rows whose key the filter doesn't rule out; the filter goes by broadcast, within its bound."""
+def flag_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
+    """df with ``found``, false where the filter rules the key out; the filter goes by broadcast, within its bound."""
     at = F.bitmap_bit_position(slot(key))
-    found = df.withColumns({"page": F.bitmap_bucket_number(slot(key)), "at_": at}).join(F.broadcast(pages), "page")
-    return found.filter(F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1")).drop("page", "at_", "bitmap")
+    paged = df.withColumns({"page": F.bitmap_bucket_number(slot(key)), "at_": at}).join(F.broadcast(pages), "page", "left")
+    bit = "shiftright(cast(conv(hex(substring(bitmap, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1"
+    return paged.withColumn("found", F.coalesce(F.expr(bit), F.lit(False))).drop("page", "at_", "bitmap")
+
+
+def maybe_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
+    """The rows whose key the filter doesn't rule out."""
+    return flag_in(df, key, pages, slot).filter("found").drop("found")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

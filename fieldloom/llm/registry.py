@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, secrets, warc
+from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, secrets, suffix_dedup, warc
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(table(spark, sf_dir, "pages"), spark)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,5 +73,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_line_dedup": op9_line_dedup, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_line_dedup": op9_line_dedup, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
