@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 from operator import eq
 from zlib import crc32
 
@@ -23,24 +23,38 @@ from pyspark.sql import functions as F
 from .common import stored
 
 DIMENSIONS = 1 << 18
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 400_000
 MAX_LABELLED = 20_000  # bound of the sample that the model is fitted on
 
 
-def _feature(kind: str, value: str) -> int:
-    return crc32(f"{kind}:{value}".encode("utf-8", "surrogatepass")) % DIMENSIONS
+#: Signs that close a token without being part of its word.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()) + "«»“”„’…–—"
+_WORD, _FIRST4, _FIRST5, _SHAPE, _REPEATS, _EMPTY = range(1, 7)
+
+
+def _feature(kind: int, value: bytes) -> int:
+    return crc32(value, kind) % DIMENSIONS
+
+
+def _shape(word: str) -> str:
+    """The kind of a word: its case if it is all letters, else its signs with letters and digits as a and 0, runs as one."""
+    if word.isalpha():
+        return "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else "aA"
+    return regex.sub(r"(.)\1+", r"\1", "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]))[:12]
 
 
 class _Tokens(dict):
-    """Token: the hashed features of its letters, its first letters, and its shape (letters as a or A, runs as one)."""
+    """Token: the hashed features of its word, the word's first letters, and its shape with the marks that close it."""
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        word = "".join(c for c in token.lower() if c.isalnum())
-        shape = regex.sub(r"(.)\1+", r"\1", regex.sub(r"\p{Lu}", "A", regex.sub(r"[\p{L}--\p{Lu}]", "a", regex.sub(r"\p{N}", "0", token), flags=regex.V1)))
-        out = [_feature("shape", shape[:12])]
-        if word:
-            out += [_feature("word", word), _feature("first4", word[:4]), _feature("first5", word[:5])]
-        self[token] = out = tuple(out)
+        word = token.rstrip(_MARKS)
+        shape = _feature(_SHAPE, (_shape(word) + token[len(word) :][:4]).encode("utf-8", "surrogatepass"))
+        if word := word.lstrip(_MARKS).lower():
+            raw = word.encode("utf-8", "surrogatepass")
+            out = shape, _feature(_WORD, raw), _feature(_FIRST4, word[:4].encode("utf-8", "surrogatepass")), _feature(_FIRST5, word[:5].encode("utf-8", "surrogatepass"))
+        else:
+            out = (shape,)
+        self[token] = out
         return out
 
     def trim(self) -> None:
@@ -53,13 +67,12 @@ def features(text: str | None, memo: _Tokens) -> np.ndarray:
     """The distinct hashed features of a whole text, ascending; each counts once, however often it stands."""
     tokens = text.split() if text else []
     if not tokens:
-        return np.array([_feature("empty", "")], np.int32)
+        return np.array([_feature(_EMPTY, b"")], np.int32)
     repeats = sum(map(eq, tokens, islice(tokens, 1, None)))
-    found = [_feature("repeats", str(round(10 * repeats / len(tokens))))]
-    for t in set(tokens):
-        found += memo[t]
+    found = [_feature(_REPEATS, b"%d" % round(10 * repeats / len(tokens)))]
+    found += chain.from_iterable(map(memo.__getitem__, set(tokens)))
     memo.trim()
-    return np.unique(np.array(found, np.int32))
+    return np.array(sorted(set(found)), np.int32)
 
 
 def _scale(n: np.ndarray) -> np.ndarray:
@@ -208,7 +221,7 @@ def graded(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELL
     return texts.join(F.broadcast(sample), "doc_id").select("grade", "text")  # the sample's size is bounded by max_labelled
 
 
-def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.6, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """predict(docs) with ``keep``: P(best grade) is at least least_tail. The model is fitted on labelled_docs."""
     model = fit(graded(labelled_docs, labels, max_labelled=max_labelled))
     return predict(docs, model).withColumn("keep", F.element_at("tails", -1) >= least_tail)
