@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import queries as _queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_queries.ORACLES)
