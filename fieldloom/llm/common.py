@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE_BITS = 32768  # bits of one page of bitmap_construct_agg
+PAGE_BITS = 32768  # bits of one page of a broadcast filter
 PAGES_AT_MOST = 2048  # 8 MB: bound of a broadcast filter at every input size
 
 
@@ -63,7 +63,8 @@ def skew_lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: i
 def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
     """A bitmap over hashed ids (one hash, about 16 bits an id, PAGES_AT_MOST pages at most), and its hash.
 
-    It has false positives, never false negatives; beyond its bound it only lets more rows pass.
+    It has false positives, never false negatives; beyond its bound it only lets more rows pass. A page is an array of
+    512 longs.
     """
     pages = 1
     while pages < PAGES_AT_MOST and pages * PAGE_BITS < 16 * n:
@@ -72,15 +73,17 @@ def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Col
     def slot(x: Column) -> Column:
         return F.pmod(F.xxhash64(x), F.lit(pages * PAGE_BITS))
 
-    bits = ids.select(slot(ids[0]).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("page"))
-    return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bitmap")), slot
+    hashed = ids.select(slot(ids[0]).alias("h"))
+    words = hashed.groupBy(F.expr(f"h div {PAGE_BITS}").alias("page"), F.expr(f"cast((h % {PAGE_BITS}) div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits"))
+    held = words.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return held.select("page", F.expr(f"transform(sequence(0, {PAGE_BITS // 64 - 1}), w -> coalesce(m[w], 0L))").alias("bitmap")), slot
 
 
 def flag_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
     """df with ``found``, false where the filter rules the key out; the filter goes by broadcast, within its bound."""
-    at = F.bitmap_bit_position(slot(key))
-    paged = df.withColumns({"page": F.bitmap_bucket_number(slot(key)), "at_": at}).join(F.broadcast(pages), "page", "left")
-    bit = "shiftright(cast(conv(hex(substring(bitmap, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1"
+    at = df.withColumn("at_", slot(key))
+    paged = at.withColumn("page", F.expr(f"at_ div {PAGE_BITS}")).join(F.broadcast(pages), "page", "left")
+    bit = f"shiftright(bitmap[cast((at_ % {PAGE_BITS}) div 64 as int)], cast(at_ % 64 as int)) & 1L = 1L"
     return paged.withColumn("found", F.coalesce(F.expr(bit), F.lit(False))).drop("page", "at_", "bitmap")
 
 

@@ -24,29 +24,31 @@ def _segment(length: str, k: int, i: int) -> tuple[str, str]:
 
 
 def _keys(k: int) -> str:
-    """SQL: array<struct<key, probe, shorter>> of all index keys of ``line`` and all keys it probes with."""
+    """SQL: array<struct<key, index, shorter>> of all keys of ``line``; key is null where a probe does not fit.
+
+    Index keys are the line's own segments and serve as probes of its own length too; the others only probe.
+    """
     out = []
     for i in range(k + 1):
-        start, size = _segment("len", k, i)
-        out.append(f"named_struct('key', xxhash64(len, {i}, substring(line, {start} + 1, {size})), 'probe', false, 'shorter', 0)")
         for shorter in range(k + 1):
             start, size = _segment(f"(len - {shorter})", k, i)
             for shift in range(-k, k + 1):
                 # Edits left of the segment at most i, right of it at most k - i: else another segment matches too.
                 if abs(shift) <= i and abs(shift - shorter) <= k - i:
+                    index = "true" if shorter == shift == 0 else "false"
                     key = f"xxhash64(len - {shorter}, {i}, substring(line, {start} + {shift} + 1, {size}))"
-                    out.append(f"if({start} + {shift} < 0 or {start} + {shift} + {size} > len, null, named_struct('key', {key}, 'probe', true, 'shorter', {shorter}))")
-    return f"filter(array({', '.join(out)}), x -> x is not null)"
+                    fits = f"{start} + {shift} >= 0 and {start} + {shift} + {size} <= len"
+                    out.append(f"named_struct('key', if({fits}, {key}, null), 'index', {index}, 'shorter', {shorter})")
+    return f"array({', '.join(out)})"
 
 
 def line_links(lines: DataFrame, k: int) -> DataFrame:
     """(a, b, distance) with a < b of rows (lid, line, len): distinct lines of 1 to k edits; shorter lines are left out."""
     long_ = lines.filter(F.col("len") >= LEAST_CHARS)
-    keyed = long_.select("lid", F.explode(F.expr(_keys(k))).alias("x")).select("lid", "x.*")
-    # A line's probes at its own length meet its own index keys, so those need a second index row.
-    own = F.col("probe") & (F.col("shorter") == 0)
-    counts = keyed.groupBy("key").agg(F.sum((~F.col("probe")).cast("int")).alias("n_index"), F.sum(F.col("probe").cast("int")).alias("n_probe"), F.sum(own.cast("int")).alias("n_own"))
-    live = stored(counts.filter("n_index > 1 or (n_index = 1 and n_probe > 1)").select("key"), "live_keys")
+    keyed = long_.select("lid", F.explode(F.expr(_keys(k))).alias("x")).select("lid", "x.*").filter("key is not null")
+    # Somebody's segment must be met by somebody else: two index keys, or an index key and a probe that is no index key.
+    counts = keyed.groupBy("key").agg(F.sum(F.col("index").cast("int")).alias("n_index"), F.sum((~F.col("index")).cast("int")).alias("n_probe"))
+    live = stored(counts.filter("n_index > 1 or (n_index = 1 and n_probe > 0)").select("key"), "live_keys")
     pages, slot = id_filter(live, live.count())
     held = stored(maybe_in(keyed, F.col("key"), pages, slot).join(live, "key", "left_semi"), "held_keys")
     ids = held.select("lid").distinct()
@@ -54,8 +56,8 @@ def line_links(lines: DataFrame, k: int) -> DataFrame:
     sign = F.expr("aggregate(split(line, ''), 0L, (a, c) -> if(c = '', a, a ^ shiftleft(1L, pmod(ascii(c), 63))))")
     texts = stored(maybe_in(long_, F.col("lid"), pages, slot).withColumn("sign", sign), "live_lines")
     signed = held.join(texts.select("lid", "sign"), "lid")
-    index = signed.filter(~F.col("probe")).select("key", F.col("lid").alias("b"), F.col("sign").alias("sb"))
-    probe = signed.filter("probe").select("key", "shorter", F.col("lid").alias("a"), F.col("sign").alias("sa"))
+    index = signed.filter("index").select("key", F.col("lid").alias("b"), F.col("sign").alias("sb"))
+    probe = signed.select("key", "shorter", F.col("lid").alias("a"), F.col("sign").alias("sa"))
     meet = ((F.col("shorter") > 0) | (F.col("a") > F.col("b"))) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * k)
     pairs = probe.join(index, "key").filter(meet).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
