@@ -25,6 +25,7 @@ ORACLES: dict[str, str] = {}
 FLAGS = ["l_returnflag", "l_linestatus"]
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 TIME = ["ts", "event_id"]
+SCALE = 0.73105857863  # keeps means of two-digit decimals off the edges of rounding
 
 
 def query(sql: str | None = None):
@@ -304,9 +305,9 @@ def wasserstein_1d(spark, sf_dir):
     return rounded(A.wasserstein_equal(d, "l_returnflag", "l_quantity", "y", LINE))
 
 
-@query("""SELECT l_partkey, round(sum(l_quantity*l_extendedprice/1000)/sum(l_quantity),6) average, round(var_pop(l_extendedprice/1000),5) variance FROM lineitem GROUP BY 1""")
+@query("""SELECT l_partkey, round(sum(l_quantity*l_extendedprice/1370)/sum(l_quantity),6) average, round(var_pop(l_extendedprice/1370),5) variance FROM lineitem GROUP BY 1""")
 def ensemble_average(spark, sf_dir):
-    d = load(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / 1000)
+    d = load(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / 1370)
     return rounded(A.weighted_ensemble(d, "l_partkey", "p", "l_quantity"), variance=5)
 
 
@@ -343,12 +344,12 @@ def deposit_cic(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT user_id, count(*) n, avg(value) mean, stddev_pop(value) std, min(value) mn, max(value) mx, quantile_cont(value,0.25) q25, quantile_cont(value,0.5) med, quantile_cont(value,0.75) q75 FROM events GROUP BY 1),
+WITH ev AS (SELECT user_id, event_id, ts, value*0.73105857863 AS value FROM events), s AS (SELECT user_id, count(*) n, avg(value) mean, stddev_pop(value) std, min(value) mn, max(value) mx, quantile_cont(value,0.25) q25, quantile_cont(value,0.5) med, quantile_cont(value,0.75) q75 FROM ev GROUP BY 1),
 d AS (SELECT e.user_id, value x, n, mean, std, mn, mx, q25, med, q75, row_number() OVER w - 1 i, lag(value) OVER w p, value-mean dev, lag(value-mean) OVER w b,
   coalesce(value>lag(value,1) OVER w AND value>lag(value,2) OVER w AND value>lag(value,3) OVER w AND value>lead(value,1) OVER w AND value>lead(value,2) OVER w AND value>lead(value,3) OVER w, false) pk,
   value>mean ab, row_number() OVER w - row_number() OVER (PARTITION BY e.user_id, value>mean ORDER BY ts, event_id) isle,
   CASE WHEN mx>mn THEN least(floor((value-mn)/(mx-mn)*10),9) ELSE 0 END bin
-  FROM events e JOIN s ON s.user_id=e.user_id WINDOW w AS (PARTITION BY e.user_id ORDER BY ts, event_id)),
+  FROM ev e JOIN s ON s.user_id=e.user_id WINDOW w AS (PARTITION BY e.user_id ORDER BY ts, event_id)),
 l AS (SELECT user_id, max(c) l FROM (SELECT user_id, isle, count(*) c FROM d WHERE ab GROUP BY 1,2) GROUP BY 1),
 h AS (SELECT user_id, -sum(p*ln(p)) h FROM (SELECT user_id, bin, count(*)/first(n) p FROM d GROUP BY 1,2) GROUP BY 1),
 g AS (SELECT user_id, first(n) n, first(mean) mean, first(std) std, first(mn) mn, first(mx) mx, first(med) med, first(q75-q25) iqr, avg(CASE WHEN x>=q75 THEN x END) ma, count(*) FILTER (WHERE pk) np, coalesce(min(i) FILTER (WHERE ab),-1) fa,
@@ -358,18 +359,18 @@ SELECT g.user_id, round(mean,6) mean, round(std,6) std, round(mn,6) "min", round
  round(CASE WHEN n<2 THEN 0 ELSE h END,6) shannon_entropy, round(CASE WHEN n<2 THEN 0 ELSE cr/(n-1) END,6) zero_crossing_rate
 FROM g LEFT JOIN l ON l.user_id=g.user_id JOIN h ON h.user_id=g.user_id""")
 def ts_features(spark, sf_dir):
-    return rounded(T.features(load(spark, sf_dir, "events"), "user_id", TIME, "value"), total_variation=4)
+    d = load(spark, sf_dir, "events").withColumn("value", F.col("value") * SCALE)
+    return rounded(T.features(d, "user_id", TIME, "value"), total_variation=4)
 
 
-@query("""SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id),6) fluctuation FROM events""")
+@query("""SELECT event_id, round((value - avg(value) OVER (PARTITION BY user_id))*0.73105857863,6) fluctuation FROM events""")
 def fluctuation(spark, sf_dir):
-    return rounded(T.fluctuation(load(spark, sf_dir, "events"), "user_id", "value").select("event_id", "fluctuation"))
+    return rounded(T.fluctuation(load(spark, sf_dir, "events"), "user_id", "value").select("event_id", (F.col("fluctuation") * SCALE).alias("fluctuation")))
 
 
-# The factor keeps means of two-digit decimals off the edges of rounding.
 @query("""SELECT event_id, round(avg(value*0.73105857863) OVER w,6) running_mean, round(sqrt(greatest(avg(pow(value*0.73105857863,2)) OVER w - pow(avg(value*0.73105857863) OVER w,2),0)),4) running_rms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_statistics(spark, sf_dir):
-    d = load(spark, sf_dir, "events").withColumn("x", F.col("value") * 0.73105857863)
+    d = load(spark, sf_dir, "events").withColumn("x", F.col("value") * SCALE)
     return rounded(T.running_statistics(d, "user_id", TIME, "x").select("event_id", "running_mean", "running_rms"), running_rms=4)
 
 
