@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -44,3 +46,12 @@ def mirrored(df: DataFrame, by: str | Sequence[str], index: str, half: int) -> D
     high = sized.filter((F.col(index) >= F.col("n_") - 1 - half) & (F.col(index) <= F.col("n_") - 2)).withColumn(index, 2 * (F.col("n_") - 1) - F.col(index))
     low, high = (x.withColumn(index, F.col(index).cast("int")).withColumn("pad", F.lit(True)) for x in (low, high))
     return sized.withColumn(index, F.col(index).cast("int")).withColumn("pad", F.lit(False)).unionByName(low).unionByName(high).drop("n_")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint: in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(root or "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-checkpoints"))
+    return df.checkpoint(eager=True)

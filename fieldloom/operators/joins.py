@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import keys, ordered
+from .frames import cut, keys, ordered
 
 
 def bracket(samples: DataFrame, queries: DataFrame, by, t: str, value: str, tq: str) -> DataFrame:
@@ -124,16 +124,13 @@ def knn(points: DataFrame, targets: DataFrame, pid: str, tid: str, coordinates:
     Rings grow: targets are searched within radius cell, and those with fewer than k points within it again with twice
     the radius, so no target meets all points unless it must.
     """
-    keep = [pid, *coordinates] + ([value] if value else [])
     out, left, r = None, targets.select(tid, *coordinates), cell
     for _ in range(most_rings):
-        near = radius_pairs(points, left, pid, tid, coordinates, r)
         w = Window.partitionBy(tid)
-        full = near.withColumn("n_", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("distance", pid)))
-        got = full.filter((F.col("n_") >= k) & (F.col("rank") <= k)).select(tid, pid, "rank", "distance")
+        near = radius_pairs(points, left, pid, tid, coordinates, r).withColumn("n_", F.count("*").over(w))
+        got = cut(near.filter(F.col("n_") >= k).withColumn("rank", F.row_number().over(w.orderBy("distance", pid))).filter(F.col("rank") <= k).select(tid, pid, "rank", "distance"))
         out = got if out is None else out.unionByName(got)
-        done = near.groupBy(tid).agg(F.count("*").alias("n_")).filter(F.col("n_") >= k).select(tid)
-        left = left.join(done, tid, "left_anti")
+        left = cut(left.join(got.select(tid).distinct(), tid, "left_anti"))
         if left.isEmpty():
             break
         r *= 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries as _queries
+from . import queries_geometry  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict:

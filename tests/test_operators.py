@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import expression, scalars
 from fieldloom.operators import aggregates as A
+from fieldloom.operators import geometry as G
 from fieldloom.operators import joins as J
 from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
@@ -100,6 +101,23 @@ def test_pareto_and_triangles(spark):
     assert {r.pid: r.tri for r in J.locate_triangles(p, tri, "pid", "tri", 1.0).collect()} == {0: 0, 1: 1, 2: 0, 3: -1}
 
 
+def test_grid_components(spark):
+    rng = np.random.default_rng(4)
+    mask = rng.random((9, 11)) < 0.45
+    df = spark.createDataFrame([(i, j, bool(mask[i, j])) for i in range(9) for j in range(11)], "i int, j int, m boolean")
+    want, n = np.zeros(mask.shape, int), 0
+    for i, j in zip(*np.nonzero(mask)):
+        if not want[i, j]:
+            n, todo = n + 1, [(i, j)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 9 and 0 <= b < 11 and mask[a, b] and not want[a, b]:
+                    want[a, b] = n
+                    todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
+    got = {(r.i, r.j): r.label for r in G.grid_components(df, "i", "j", F.col("m")).collect()}
+    assert got == {(i, j): want[i, j] for i, j in zip(*np.nonzero(mask))}
+
+
 def test_splits_and_violations(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 50).withColumn("y", F.col("id") % 3)
     assert S.hash_split(df, "g").groupBy("g").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
