@@ -11,6 +11,7 @@ from fieldloom.operators import joins as J
 from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
 from fieldloom.operators import rom
+from fieldloom.operators import sampling as D
 from fieldloom.operators import series as T
 from fieldloom.plans import facade
 
@@ -139,3 +140,13 @@ def test_facade(spark, wave):
     assert "quantile" in facade.list_operations("statistics")
     with pytest.raises(KeyError):
         facade.run("nothing", wave)
+
+
+def test_designs(spark):
+    h = D.latin_hypercube(spark, 40, [(0.0, 1.0), (-1.0, 1.0)], 3).toPandas()
+    assert sorted(np.floor(h.x0 * 40)) == list(range(40)) and sorted(np.floor((h.x1 + 1) * 20)) == list(range(40))
+    x = np.random.default_rng(0).normal(5, 2, 400)
+    df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(x)], "g string, i int, x double")
+    r = D.bootstrap_mean(df, "g", "i", "x").first()
+    half = 1.645 * x.std() / 20
+    assert r.mean == pytest.approx(x.mean()) and abs(r.lower - (x.mean() - half)) < 0.06 and abs(r.upper - (x.mean() + half)) < 0.06
