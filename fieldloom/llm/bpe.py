@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import scratch_path, stored
+from .common import discard, scratch_path, stored
 
 LEXICON_WORDS = 65_536  # bound of the chunks whose words make up the lexicon; all other words are merged when met
 SHORT, NO_MERGE = 48, 1 << 40
@@ -277,6 +277,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
         cut = r.step
     merger = Merger(vocabulary)
     top = [] if cut is None else counts.filter(step >= cut).select("chunk").collect()  # at most ``size`` rows
+    discard(counts)
     words = {w for r in top for w in merger.split(r.chunk)}
     uri = scratch_path(docs.sparkSession, "lexicon") + "/words.bin"
     uri = uri if "://" in uri else f"file://{uri}"

@@ -33,7 +33,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored() tables that nothing will read any more."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None) if table is not None else None
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -108,4 +120,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = cut(nearer.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
         label = new.select("u", "l")
         if new.filter("l <> old").isEmpty():
+            discard(both)
             return label.select(F.col("u").alias("id"), F.col("l").alias("component"))

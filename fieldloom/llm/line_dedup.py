@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_filter, maybe_in, skew_lookup, stored
+from .common import components, discard, id_filter, maybe_in, skew_lookup, stored
 
 LEAST_CHARS = 24  # shorter lines have no near-duplicates by definition, only equal ones
 
@@ -62,7 +62,9 @@ def line_links(lines: DataFrame, k: int) -> DataFrame:
     pairs = probe.join(index, "key").filter(meet).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.levenshtein("la", "lb", k).alias("distance"))
-    return stored(found.filter("distance > 0"), "line_links")
+    out = stored(found.filter("distance > 0"), "line_links")
+    discard(live, held, texts)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2) -> DataFrame:
@@ -86,6 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("n_links"))
     named = lines.select("lid", "k1", "k2", "n").join(label.join(degree, "lid"), "lid", "left")
     named = stored(named.select("k1", "k2", "n", F.coalesce("class_id", "lid").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    discard(lines, links)
     total = named.agg(F.sum("n")).first()[0] or 0
     # One key column for the skew-safe join; k2 tells collisions of k1 apart.
     by_key = named.withColumn("k", F.struct("k1", "k2")).drop("k1", "k2")

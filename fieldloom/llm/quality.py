@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 DIMENSIONS = 1 << 18
 MEMO_TOKENS = 400_000
@@ -132,7 +132,8 @@ def featurise(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int = 20, tasks: int = 8) -> OrdinalModel:
     """Fits rows (grade, text) with grades 0..grades-1. Without rows, all weights are zero and every grade is as likely."""
     spark = labelled.sparkSession
-    sample = stored(featurise(labelled), "features").coalesce(tasks)
+    table = stored(featurise(labelled), "features")
+    sample = table.coalesce(tasks)
 
     def evaluate(params: np.ndarray) -> tuple[float, np.ndarray, int]:
         sent = spark.sparkContext.broadcast(params)
@@ -158,6 +159,7 @@ def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int
     x = np.concatenate([np.zeros(DIMENSIONS), [-1.0], np.zeros(grades - 2)])
     f, g, n = evaluate(x)
     if not n:
+        discard(table)
         return OrdinalModel(np.zeros(DIMENSIONS), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)))
     memory: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -182,6 +184,7 @@ def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int
         x, f, g = new, f2, g2
         if done:
             break
+    discard(table)
     return OrdinalModel(x[:DIMENSIONS].copy(), _thresholds(x[DIMENSIONS:]))
 
 

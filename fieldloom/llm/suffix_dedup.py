@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flag_in, id_filter, maybe_in, skew_lookup, stored
+from .common import discard, flag_in, id_filter, maybe_in, skew_lookup, stored
 
 U = np.uint64
 _POSITION_BITS = 24
@@ -226,6 +226,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, length: int, group_at_
     total = suffixes.count()
     leads = stored(suffixes.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1"), "leads")
     shared = stored(skew_lookup(suffixes, leads, "lead", "size", total), "shared")
+    discard(suffixes, leads)
     around = shared.groupBy("lead", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one"))
     around = stored(around.select("lead", "around", "n", "one.*"), "around")
     all_repeat = around.filter("n > 1").select("lead", "around", "n")
