@@ -22,15 +22,15 @@ def _triangles(spark, sf_dir):
 
 
 @query(f"""WITH {_TRI}, f AS (SELECT *, -(p-8)*sx fx, -(p-8)*sy fy, -(p-8)*sz fz, (ax+bx+cx)/3-1 rx, (ay+"by"+cy)/3-2 ry, (az+bz+cz)/3-3 rz FROM s)
-SELECT g, round(sum(fx),5) fx, round(sum(fy),5) fy, round(sum(fz),5) fz, round(sum(ry*fz-rz*fy),4) mx, round(sum(rz*fx-rx*fz),4) my, round(sum(rx*fy-ry*fx),4) mz FROM f GROUP BY 1""")
+SELECT g, round(sum(fx),7) fx, round(sum(fy),7) fy, round(sum(fz),7) fz, round(sum(ry*fz-rz*fy),8) mx, round(sum(rz*fx-rx*fz),8) my, round(sum(rx*fy-ry*fx),8) mz FROM f GROUP BY 1""")
 def surface_forces(spark, sf_dir):
-    return rounded(G.pressure_forces(_triangles(spark, sf_dir), "g", "p", (1.0, 2.0, 3.0), 8.0), 5, mx=4, my=4, mz=4)
+    return rounded(G.pressure_forces(_triangles(spark, sf_dir), "g", "p", (1.0, 2.0, 3.0), 8.0), 7, mx=8, my=8, mz=8)
 
 
 @query(f"""WITH {_TRI}, f AS (SELECT *, ux*sx+uy*sy+uz*sz un, sqrt(sx*sx+sy*sy+sz*sz) a, ux*ux+uy*uy+uz*uz u2 FROM s)
-SELECT g, round(sum(un),5) flow, round(sum(1.2*un),5) mass_flux, round(sum(1.2*p*un),4) scalar_flux, round(sum(0.6*u2*un),4) energy_flux, round(sum(a),5) area, round(sum(p*a)/sum(a),6) area_average, round(sum(1.2*p*un)/sum(1.2*un),6) mass_weighted_average FROM f GROUP BY 1""")
+SELECT g, round(sum(un),5) flow, round(sum(1.2*un),5) mass_flux, round(sum(1.2*p*un),8) scalar_flux, round(sum(0.6*u2*un),6) energy_flux, round(sum(a),5) area, round(sum(p*a)/sum(a),6) area_average, round(sum(1.2*p*un)/sum(1.2*un),6) mass_weighted_average FROM f GROUP BY 1""")
 def plane_flux(spark, sf_dir):
-    return rounded(G.plane_flux(_triangles(spark, sf_dir), "g", "u", "p", 1.2), 5, scalar_flux=4, energy_flux=4, area_average=6, mass_weighted_average=6)
+    return rounded(G.plane_flux(_triangles(spark, sf_dir), "g", "u", "p", 1.2), 5, scalar_flux=8, energy_flux=6, area_average=6, mass_weighted_average=6)
 
 
 @query("""
