@@ -17,35 +17,33 @@ from .common import components, discard, id_filter, maybe_in, skew_lookup, store
 LEAST_CHARS = 24  # shorter lines have no near-duplicates by definition, only equal ones
 
 
-def _segment(length: str, k: int, i: int) -> tuple[str, str]:
-    """SQL of the start (from 0) and length of segment i of a line of that length; the last ones are longer by one."""
-    m = k + 1
-    return f"({i} * ({length} div {m}) + greatest(0, {i} - ({m} - {length} % {m})))", f"({length} div {m} + if({i} >= {m} - {length} % {m}, 1, 0))"
-
+def _keyed(lines: DataFrame, k: int) -> DataFrame:
+    """(lid, key, index, shorter): the keys of each line (lid, line, len).
 
-def _keys(k: int) -> str:
-    """SQL: array<struct<key, index, shorter>> of all keys of ``line``; key is null where a probe does not fit.
-
-    Index keys are the line's own segments and serve as probes of its own length too; the others only probe.
+    Index keys are the line's own segments and serve as probes of its own length too; the others only probe. The shapes
+    of keys are exploded before a key is computed: one small expression, which the JVM compiles, instead of a long one
+    for all of them at once, which it would interpret.
     """
-    out = []
+    shapes = []
     for i in range(k + 1):
         for shorter in range(k + 1):
-            start, size = _segment(f"(len - {shorter})", k, i)
             for shift in range(-k, k + 1):
                 # Edits left of the segment at most i, right of it at most k - i: else another segment matches too.
                 if abs(shift) <= i and abs(shift - shorter) <= k - i:
-                    index = "true" if shorter == shift == 0 else "false"
-                    key = f"xxhash64(len - {shorter}, {i}, substring(line, {start} + {shift} + 1, {size}))"
-                    fits = f"{start} + {shift} >= 0 and {start} + {shift} + {size} <= len"
-                    out.append(f"named_struct('key', if({fits}, {key}, null), 'index', {index}, 'shorter', {shorter})")
-    return f"array({', '.join(out)})"
+                    shapes.append(f"named_struct('i', {i}, 'shorter', {shorter}, 'shift', {shift})")
+    m = k + 1
+    each = lines.select("lid", "line", "len", F.expr(f"explode(array({', '.join(shapes)}))").alias("p"))
+    # Segment i of a line of that length: the last ones are longer by one.
+    each = each.select("lid", "line", "len", "p.*").withColumn("of", F.expr("len - shorter")).withColumn("longer", F.expr(f"i - {m} + of % {m}"))
+    at = each.withColumn("at", F.expr(f"i * (of div {m}) + greatest(0, longer) + shift")).withColumn("size", F.expr(f"of div {m} + if(longer >= 0, 1, 0)"))
+    fits = at.filter("at >= 0 and at + size <= len")
+    return fits.select("lid", F.expr("xxhash64(of, i, substring(line, cast(at as int) + 1, cast(size as int)))").alias("key"), F.expr("shorter = 0 and shift = 0").alias("index"), "shorter")
 
 
 def line_links(lines: DataFrame, k: int) -> DataFrame:
     """(a, b, distance) with a < b of rows (lid, line, len): distinct lines of 1 to k edits; shorter lines are left out."""
     long_ = lines.filter(F.col("len") >= LEAST_CHARS)
-    keyed = long_.select("lid", F.explode(F.expr(_keys(k))).alias("x")).select("lid", "x.*").filter("key is not null")
+    keyed = _keyed(long_, k)
     # Somebody's segment must be met by somebody else: two index keys, or an index key and a probe that is no index key.
     counts = keyed.groupBy("key").agg(F.sum(F.col("index").cast("int")).alias("n_index"), F.sum((~F.col("index")).cast("int")).alias("n_probe"))
     live = stored(counts.filter("n_index > 1 or (n_index = 1 and n_probe > 0)").select("key"), "live_keys")
