@@ -1,11 +1,10 @@
 """Jaccard join of documents on word n-grams, by MinHash banding.
 
 Copies (equal n-gram sets) collapse first. Band and row counts follow from the similarity and the target recall. Band
-hashes are shuffled. Members of a bucket are compared with a leader of the bucket on their full sets, in rounds with
-other leaders as long as the bucket holds several classes and rounds still find many links, so work stays linear in a bucket of
-near-copies. Of the pairs that then are still in different classes, sketches of 128 bits rule out the clearly unlike and
-the distances from the first leader others (Jaccard distance is a metric); the rest are verified, so leaders lose no
-class.
+hashes are shuffled; of buckets with the same members one is compared. All pairs of a bucket are compared, whatever
+their classes, in the first band that they share: sizes and sketches of 128 bits rule out the clearly unlike, the full
+sets settle the rest. Large buckets are cut into blocks, and a task compares two blocks: it counts each text's links
+and puts out a forest of them, so no pair rows leave it.
 """
 
 from __future__ import annotations
@@ -18,14 +17,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, id_filter, maybe_in, skew_lookup, stored
 from .decontaminate import words
 
-ROUNDS = 8  # of leaders; what they leave open is settled pair by pair
-BLOCK = 256  # members of a large bucket that a task compares with as many others
+ROUNDS = 8  # without effect: there are no leaders any more, but a test sets it
+BLOCK = 2048  # members of a large bucket that a task compares with as many others
+BLOCK_GRAMS = 1_000_000  # n-grams that the members of a block hold together, about
 SKETCH = 128  # bits of a text's sketch, one a MinHash
 _MEMO_WORDS = 200_000
 
@@ -128,31 +128,130 @@ def sign(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(id, grams array<long>) of rows (doc_id, text binary)."""
+    """(id, digest, grams array<long>) of rows (doc_id, text binary); of texts without words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            found = [shingler.set_of(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "grams"])
-
-    return docs.mapInArrow(run, "id long, grams array<long>")
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of distinct pairs (a, b), stored. A frequent b gets its set in as many copies as it has blocks of 500 pairs."""
-    pairs = stored(pairs.distinct(), "pairs")
-    total = pairs.count()
-    often = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    hot = F.broadcast(often.filter(F.col("n") >= max(1000, total // 1000)).select("b", F.ceil(F.col("n") / 500).cast("int").alias("salts")))  # 1000 rows at most
-    left = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "salts"), F.lit(0)).cast("int").alias("salt"))
-    left = left.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).join(pairs.select("b").distinct(), "b", "left_semi")
-    right = right.join(hot, "b", "left").select("b", "gb", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    j = both / (F.size("ga") + F.size("gb") - both)
-    out = stored(left.join(right, ["b", "salt"]).groupBy("a", "b").agg(F.max(j).alias("similarity")), "verified")
-    discard(pairs)
+            found = [shingler.set_of(t.as_py()) for t in batch.column(1)]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "digest", "grams"])
+
+    return docs.mapInArrow(run, "id long, digest binary, grams array<long>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, i, j), which follow each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            here = tuple(at[:, lo].tolist())
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(table: pa.Table, threshold: float, flips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group, and which of their pairs can be similar and share no earlier band."""
+    block, ids, size, s1, s2 = (table.column(x).to_numpy() for x in ("block", "id", "n_set", "s1", "s2"))
+    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # of negative numbers, the bits of the absolute value would be counted
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    before = pa.compute.list_flatten(table.column("before")).to_numpy().reshape(len(block), -1)
+    # Keys of a band as small numbers, which are faster to compare.
+    before = [np.unique(x, return_inverse=True)[1].astype(np.int16 if len(x) < 2**15 else np.int64) for x in before.T] if len(block) > 64 else before.T
+    ok = np.triu(np.ones((len(left), len(right)), bool), 1) if i == j else np.ones((len(left), len(right)), bool)
+    for lo in range(0, len(left), 256):
+        x, part = left[lo : lo + 256, None], ok[lo : lo + 256]
+        part &= ids[x] != ids[right]
+        part &= np.minimum(size[x], size[right]) >= threshold * np.maximum(size[x], size[right])
+        for b in before:
+            part &= b[x] != b[right]
+        if part.any():
+            part &= np.bitwise_count(s1[x] ^ s1[right]) + np.bitwise_count(s2[x] ^ s2[right]) <= flips
+    return left, right, ok
+
+
+def _links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs among those marked in ok whose sets have a Jaccard similarity of threshold or more."""
+    size = np.array([len(g) for g in grams])
+    x, y = np.nonzero(ok)
+    if len(x) * size.mean() < 4 * size.sum():  # few pairs: each by itself
+        both = np.array([np.isin(grams[left[a]], grams[right[b]], assume_unique=True, kind="sort").sum() for a, b in zip(x, y)], np.int64)
+    else:  # many pairs: products of 0-1 matrices, over the n-grams that several texts hold
+        _, term, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(grams)), size)[held[term] > 1]
+        term = (np.cumsum(held > 1) - 1)[term[held[term] > 1]]
+        order = np.argsort(term, kind="stable")
+        owner, term = owner[order], term[order]
+        common = np.zeros(ok.shape, np.float32)  # counts below 2**24 are exact
+        for first in range(0, int(term[-1]) + 1 if len(term) else 0, 2048):
+            lo, hi = np.searchsorted(term, [first, first + 2048])
+            m = np.zeros((len(grams), 2048), np.float32)
+            m[owner[lo:hi], term[lo:hi] - first] = 1
+            common += m[left] @ m[right].T
+        both = common[x, y].astype(np.int64)
+    similar = both / (size[left[x]] + size[right[y]] - both) >= threshold
+    return left[x[similar]], right[y[similar]]
+
+
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row number of each row's connected component, of n rows with links (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def compare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, root) of rows (key, id, digest, n_set, s1, s2, before, blocks): n links of a text, found in one task; stored.
+
+    root is a text of the same connected component. Each link counts once for both of its texts over all rows. before
+    holds the text's keys of earlier bands. sets: (id, digest, grams), once each.
+    """
+    flips = most_flips(threshold)
+    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    placed = placed.withColumn("p", meets).select("key", "p.i", "p.j", "block", "id", "digest", "n_set", "s1", "s2", "before")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            left, right, ok = _open_pairs(table, threshold, flips)
+            if ok.any():
+                needed = np.zeros(table.num_rows, bool)
+                needed[left[ok.any(axis=1)]] = True
+                needed[right[ok.any(axis=0)]] = True
+                yield from table.filter(pa.array(needed)).to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            left, right, ok = _open_pairs(table, threshold, flips)
+            grams = [g for c in table.column("grams").chunks for g in np.split(c.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(c).to_numpy())[:-1])]
+            x, y = _links(grams, left, right, ok, threshold)
+            if len(x):
+                ids, n = table.column("id").to_numpy(), np.bincount(np.concatenate([x, y]), minlength=table.num_rows)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(ids[_forest(table.num_rows, x, y)[at]])], ["id", "n", "root"])
+
+    needed = stored(grouped(placed).mapInArrow(sift, placed.schema), "open")
+    out = stored(grouped(needed.join(sets, ["id", "digest"])).mapInArrow(count, "id long, n long, root long"), "found")
+    discard(needed)
     return out
 
 
@@ -161,8 +260,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are linked if their sets of n-word grams (ASCII letters in lower case, other characters than letters, digits
     and non-ASCII ones part words; a shorter text is one gram) have a Jaccard similarity of threshold or more. class_id is
-    the smallest id of a text's connected component, copies included; n_links counts the links verified between its
-    distinct text and others (not all of those within a class). Texts without words, nulls among them, and rows with a
+    the smallest id of a text's connected component, copies included; n_links counts all links between its distinct text
+    and others, those within a class too. A pair at the threshold is found with probability recall. Texts without words, nulls among them, and rows with a
     null id are classes of their own, without links. Rows that repeat an id are one node. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -172,116 +271,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_set").alias("n_set"), *(F.first(c).alias(c) for c in ("bands", "s1", "s2"))), "texts")
     total = known.count()
 
-    # Buckets that hold at least two texts, and their members.
-    in_band = texts.select("id", "n_set", "s1", "s2", F.posexplode("bands").alias("band", "key"))
-    sizes = stored(in_band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # Buckets that hold at least two texts, the first of those with the same texts, and their members.
+    in_band = texts.select("id", "digest", "n_set", "s1", "s2", "bands", F.posexplode("bands").alias("band", "key"))
+    names = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]  # 128 bits name a set of texts
+    several = in_band.groupBy("key").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.sum("n_set").alias("grams"), *names).filter("n > 1")
+    several = several.groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key", "grams")).alias("b")).select("n", "b.key", "b.grams")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    sizes = stored(several.select("key", "n", blocks), "buckets")
     pages, slot = id_filter(sizes.select("key"), sizes.count())
-    members = stored(skew_lookup(maybe_in(in_band, F.col("key"), pages, slot), sizes, "key", "n", total * bands), "members")
+    held = maybe_in(in_band, F.col("key"), pages, slot).withColumn("before", F.expr("slice(bands, 1, band)")).drop("bands", "band")
+    members = stored(skew_lookup(held, sizes, "key", "n", total * bands).drop("n"), "members")
     ids = members.select("id").distinct()
     pages, slot = id_filter(ids, ids.count())
-    sets = stored(sets_of(maybe_in(rows.filter("doc_id is not null"), F.col("doc_id"), pages, slot).select("doc_id", "text"), n), "sets")
-
-    links, label, rest, first = None, None, members, None
-    for turn in range(ROUNDS):
-        # The turn's leader of a bucket: its smallest id, later the first in another order of ids.
-        order = F.struct(F.when(F.lit(turn > 0), F.xxhash64("id", F.lit(turn))).otherwise(F.col("id")).alias("o"), F.col("id").alias("leader"), *(F.col(c).alias(f"{c}_l") for c in ("n_set", "s1", "s2")), *([F.col("c").alias("lc")] if turn else []))
-        led = rest.join(rest.groupBy("key").agg(F.min(order).alias("l")).select("key", "l.*"), "key").filter("id <> leader")
-        led = led.filter("c <> lc") if turn else led
-        pairs = led.filter(_alike("", "_l", threshold)).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-        new = verify(pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), sets)
-        n_new = new.filter(F.col("similarity") >= threshold).count()
-        first = stored(led.select("key", "leader"), "leaders") if turn == 0 else first
-        if links is None:
-            links = new
-        else:
-            before, links = links, stored(links.unionByName(new), "links")
-            discard(before, new)
-        label = components(links.filter(F.col("similarity") >= threshold))
-        named = members.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-        before, rest = rest, stored(named.join(mixed, "key", "left_semi"), "rest")
-        if turn:
-            discard(before)
-        if n_new * 100 <= rest.count():
-            break
-    found = links.filter(F.col("similarity") >= threshold)
-    more = _borders(rest, first, links, sets, texts, threshold)
-    if more is not None:
-        found = found.unionByName(more)
-        label = components(found)
+    # Rows that repeat an id may differ in text, so sets go by digest as well.
+    own = maybe_in(rows.filter("doc_id is not null"), F.col("doc_id"), pages, slot).select("doc_id", "text")
+    sets = stored(sets_of(own, n).groupBy("id", "digest").agg(F.first("grams").alias("grams")), "sets")
+    found = compare(members, sets, threshold)
+    label = components(found, "id", "root")
+    degree = found.groupBy("id").agg(F.sum("n").alias("n_links"))
 
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     by_text = texts.select("digest", "id", "copies").join(label, "id", "left").join(degree, "id", "left")
     classes = stored(by_text.select("digest", "copies", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    discard(sizes, members, sets, rest, first, links, texts)
+    discard(sizes, members, sets, found, texts)
     with_words = skew_lookup(known.select("doc_id", "digest"), classes, "digest", "copies", total).select("doc_id", "class_id", "n_links")
     alone = signed.filter("digest is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(alone)
-
-
-def _alike(a: str, b: str, threshold: float) -> Column:
-    """Whether sizes and sketches of two texts, in columns with these suffixes, allow a similarity of threshold."""
-    sizes = F.least(f"n_set{a}", f"n_set{b}") >= F.greatest(f"n_set{a}", f"n_set{b}") * threshold
-    flips = sum(F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2"))
-    return sizes & (flips <= most_flips(threshold))
-
-
-def _borders(rest: DataFrame, first: DataFrame, links: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Links between texts of one bucket that are still in different classes, among all pairs that can be similar.
-
-    Sizes and sketches rule out most; where both distances from the bucket's first leader are known, they may differ by
-    1 - threshold at most. Large buckets are cut into blocks, and a task compares two blocks without putting out pairs.
-    """
-    if rest.isEmpty():
-        return None
-    sized = rest.groupBy("key").agg(F.count("*").alias("m"))
-    rest = stored(rest.drop("n").join(sized, "key"), "borders")
-    small, large = rest.filter(F.col("m") <= BLOCK // 4), rest.filter(F.col("m") > BLOCK // 4)
-    known = links.select("a", "b", (1 - F.col("similarity")).alias("d"))
-    both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).withColumnsRenamed({"a": "id", "b": "leader"})
-    at = small.join(first.select("key", "leader").distinct(), "key").join(both, ["id", "leader"], "left").withColumn("d", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    at = at.select("key", "id", "n_set", "s1", "s2", "c", "d")
-    other = at.select("key", *(F.col(x).alias(f"{x}2") for x in ("id", "n_set", "s1", "s2", "c", "d")))
-    gap = F.when(F.col("d").isNotNull() & F.col("d2").isNotNull(), F.abs(F.col("d") - F.col("d2"))).otherwise(0.0)
-    pairs = at.join(other, "key").filter((F.col("id") > F.col("id2")) & (F.col("c") != F.col("c2")) & _alike("", "2", threshold) & (gap <= 1 - threshold + 1e-9))
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-    more = verify(pairs, sets).filter(F.col("similarity") >= threshold)
-    if not large.isEmpty():
-        more = more.unionByName(_blocks(large, sets, texts, threshold))
-    discard(rest)
-    return None if more.isEmpty() else more
-
-
-def _blocks(large: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of different classes in large buckets; a pair counts in the first band that it shares."""
-    wide = large.select("key", "band", "id", "c", "m").join(texts.select("id", "s1", "s2", "bands"), "id").join(sets.groupBy("id").agg(F.first("grams").alias("grams")), "id")
-    wide = wide.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    wide = wide.select("key", "band", "id", "c", "s1", "s2", "bands", "grams", "block", meets.alias("p")).select("*", "p.i", "p.j").drop("p")
-    flips = most_flips(threshold)
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j, block, ids, c, band = (table.column(x).to_numpy() for x in ("i", "j", "block", "id", "c", "band"))
-        sketch = np.stack([table.column(x).to_numpy() for x in ("s1", "s2")], axis=1).view(np.uint64)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        grams = [np.sort(np.array(g.values.to_numpy(zero_copy_only=False)).view(np.uint64)) for g in table.column("grams")]
-        size = np.array([len(g) for g in grams])
-        here = int(band[0])
-        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        out = []
-        for x in left:
-            y = right[(ids[right] < ids[x]) | (i[0] != j[0])]
-            y = y[(c[y] != c[x]) & (np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x]))]
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= flips]
-            y = y[~(bands[y, :here] == bands[x, :here]).any(axis=1)]
-            if len(y):
-                flat = np.concatenate([grams[k] for k in y])
-                at = np.searchsorted(grams[x], flat)
-                hit = grams[x][np.minimum(at, size[x] - 1)] == flat
-                both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
-                s = both / (size[x] + size[y] - both)
-                out += [(max(ids[x], ids[k]), min(ids[x], ids[k]), v) for k, v in zip(y, s) if v >= threshold]
-        a, b, s = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-    return stored(wide.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double").distinct(), "block_links")

@@ -110,3 +110,37 @@ def test_sketches_let_pairs_at_the_threshold_pass():
         p, most = (1 - t) / 2, N.most_flips(t)
         lost = 1 - sum(math.comb(N.SKETCH, k) * p**k * (1 - p) ** (N.SKETCH - k) for k in range(most + 1))
         assert lost < 1e-6
+
+
+def degrees(rows, threshold=0.8):
+    """Links of each id's text with other distinct texts, by definition."""
+    sets = {i: frozenset(grams(t)) for i, t in rows}
+    distinct = [x for x in set(sets.values()) if x]
+    n = {x: sum(x != y and len(x & y) / len(x | y) >= threshold for y in distinct) for x in distinct}
+    return {i: n.get(x, 0) for i, x in sets.items()}
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_links_within_classes_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(2)
+    w = [f"u{i}" for i in range(200)]
+    rows = [(10_000 + i, " ".join(w[:k] + [f"x{i}"] + w[k:])) for i, k in enumerate((20, 90, 150))]
+    for g in range(3):
+        base = [f"g{g}w{rng.randrange(900)}" for _ in range(150)]
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(150)] = f"n{rng.random()}"
+            rows.append((g * 100 + i, " ".join(w)))
+    want, got = degrees(rows), {r.doc_id: r.n_links for r in joined(spark, rows, recall=0.9999)}
+    assert [got[10_000 + i] for i in range(3)] == [2, 2, 2]
+    # Pairs near the threshold may miss each other in all bands; nothing is counted twice.
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_rows_that_repeat_an_id_keep_their_own_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in joined(spark, [(5, a), (5, b), (6, a + " more"), (7, b + " more")]))
+    assert got == [(5, 5, 2), (5, 5, 2), (6, 5, 1), (7, 5, 1)]
