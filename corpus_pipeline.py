@@ -17,7 +17,7 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are probably toxic or of poor quality: P(best grade) under 0.6."""
+    """Rejects documents that are probably toxic or of poor quality: P(best grade) under 0.5; none without labels."""
     labels = common.table(spark, sf_dir, "labels")
     return _keep(docs, quality.classify(docs, docs, labels).filter("keep").select("doc_id"))
 

@@ -84,6 +84,7 @@ def _scale(n: np.ndarray) -> np.ndarray:
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
+    fitted: bool = True  # False: there was nothing to fit it on
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. as columns."""
@@ -160,7 +161,7 @@ def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int
     f, g, n = evaluate(x)
     if not n:
         discard(table)
-        return OrdinalModel(np.zeros(DIMENSIONS), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)))
+        return OrdinalModel(np.zeros(DIMENSIONS), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)), fitted=False)
     memory: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         d, alphas = g.copy(), []
@@ -224,7 +225,10 @@ def graded(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELL
     return texts.join(F.broadcast(sample), "doc_id").select("grade", "text")  # the sample's size is bounded by max_labelled
 
 
-def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.6, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """predict(docs) with ``keep``: P(best grade) is at least least_tail. The model is fitted on labelled_docs."""
+def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """predict(docs) with ``keep``: P(best grade) is at least least_tail. The model is fitted on labelled_docs.
+
+    Without a usable label nothing is known against any document, and all are kept.
+    """
     model = fit(graded(labelled_docs, labels, max_labelled=max_labelled))
-    return predict(docs, model).withColumn("keep", F.element_at("tails", -1) >= least_tail)
+    return predict(docs, model).withColumn("keep", F.element_at("tails", -1) >= least_tail if model.fitted else F.lit(True))

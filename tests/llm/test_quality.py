@@ -59,3 +59,20 @@ def test_labels_with_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 1, 0), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, Q.graded(docs, labels).collect())) == [(0, "a"), (1, "b")]
+
+
+def test_nothing_is_rejected_without_usable_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "doc_id long, text string")
+    for labels in ([], [(1, None, 0), (None, 1, 0)], [(99, 1, 0)]):
+        got = Q.classify(docs, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        assert len(got) == 3 and all(r.keep for r in got)
+
+
+def test_documents_whose_own_grade_is_best_are_kept(spark, monkeypatch):
+    # P(best grade) of 0.55 and 0.45 for every text
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for p in (0.55, 0.45):
+        at = float(np.log(1 / p - 1))
+        monkeypatch.setattr(Q, "fit", lambda *a, **k: Q.OrdinalModel(np.zeros(Q.DIMENSIONS), np.array([at - 1, at])))
+        (r,) = Q.classify(docs, docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+        assert r.keep == (p > 0.5) == (r.grade == 2)
