@@ -85,7 +85,7 @@ def test_blocks_of_large_buckets_change_nothing(spark, monkeypatch):
 
 
 def test_banding():
-    for t, recall in ((0.8, 0.999), (0.5, 0.99)):
+    for t, recall in ((0.8, 0.9999), (0.5, 0.99)):
         b, r = N.bands_for(t, recall)
         assert 1 - (1 - t**r) ** b >= recall and b * r <= 128
 
@@ -144,3 +144,10 @@ def test_rows_that_repeat_an_id_keep_their_own_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in joined(spark, [(5, a), (5, b), (6, a + " more"), (7, b + " more")]))
     assert got == [(5, 5, 2), (5, 5, 2), (6, 5, 1), (7, 5, 1)]
+
+
+def test_default_recall():
+    import inspect
+
+    k = inspect.signature(N.ngram_join).parameters
+    assert N.bands_for(k["threshold"].default, k["recall"].default) == (24, 5)
