@@ -6,40 +6,71 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, common, decontaminate, exact_dedup, ngram_join, quality, registry
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi")
+ROW = "row_"  # a stage's own name of a row: ids may be null or repeat
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with ROW, stored, so that every reader sees the same numbers."""
+    return common.stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def _keep(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that found has in its column doc_id, which holds ROW."""
+    return rows.join(found.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").drop(ROW)
+
+
+def _keep_first(rows: DataFrame, found: DataFrame, group: str, *order: Column) -> DataFrame:
+    """The first row of each group of found: by order, then by doc_id, nulls last, then by ROW."""
+    named = found.select(F.col("doc_id").alias(ROW), F.col(group).alias("group_"))
+    first = F.min(F.struct(*order, F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias(ROW))).alias("first")
+    return _keep(rows, named.join(rows, ROW).groupBy("group_").agg(first).select(F.col(f"first.{ROW}").alias("doc_id")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are probably toxic or of poor quality: P(best grade) under 0.5; none without labels."""
+    """Rejects documents that are probably toxic or of poor quality: P(best grade) under 0.5; none without labels.
+
+    Each row is judged by its own text, with a null or repeated id too; a null id has no label.
+    """
     labels = common.table(spark, sf_dir, "labels")
-    return _keep(docs, quality.classify(docs, docs, labels).filter("keep").select("doc_id"))
+    rows = _numbered(docs, "quality_rows")
+    return _keep(rows, quality.classify(rows, rows, labels, id_col=ROW).filter("keep"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts that are equal without white space."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    """Keeps one row of each group of texts that are equal without white space: the longest, then the smallest id.
+
+    Null ids come last among equals. Of rows that repeat an id each stands for its own text; a repeated row stays once.
+    """
+    rows = _numbered(docs, "exact_rows")
+    return _keep_first(rows, exact_dedup.exact_dedup(rows, ROW), "digest", -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates."""
-    return _keep(docs, ngram_join.ngram_join(docs).filter("doc_id = class_id").select("doc_id"))
+    """Keeps the row with the smallest id of each class of near-duplicates.
+
+    Null ids come last in a class. Rows that repeat an id are in the classes of their own texts.
+    """
+    rows = _numbered(docs, "near_rows")
+    return _keep_first(rows, ngram_join.ngram_join(rows, ROW), "class_id")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold ten consecutive words of a benchmark item, or all words of a shorter one."""
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.filter(~F.col("contaminated")).select("doc_id"))
+    """Removes documents that hold ten consecutive words of a benchmark item, or all words of a shorter one.
+
+    Each row is judged by its own text, with a null or repeated id too.
+    """
+    rows = _numbered(docs, "decontamination_rows")
+    return _keep(rows, decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), ROW).filter(~F.col("contaminated")))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document that is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row that is left; ids pass through."""
     found = bpe.encode_decode(docs, registry.tokenizer_path())
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 

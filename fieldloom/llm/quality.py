@@ -225,10 +225,11 @@ def graded(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELL
     return texts.join(F.broadcast(sample), "doc_id").select("grade", "text")  # the sample's size is bounded by max_labelled
 
 
-def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id") -> DataFrame:
     """predict(docs) with ``keep``: P(best grade) is at least least_tail. The model is fitted on labelled_docs.
 
-    Without a usable label nothing is known against any document, and all are kept.
+    Without a usable label nothing is known against any document, and all are kept. id_col names the rows of
+    docs in the result; labels always go by doc_id.
     """
     model = fit(graded(labelled_docs, labels, max_labelled=max_labelled))
-    return predict(docs, model).withColumn("keep", F.element_at("tails", -1) >= least_tail if model.fitted else F.lit(True))
+    return predict(docs, model, id_col).withColumn("keep", F.element_at("tails", -1) >= least_tail if model.fitted else F.lit(True))

@@ -58,3 +58,24 @@ def test_stages(spark, tmp_path):
 
 def test_queries_are_registered():
     assert [n for n in registry.QUERIES if n.startswith("op")] and len(registry.QUERIES) == 10
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    text = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text("bench", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(P.STAGES)
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stages[stage](spark, docs, str(tmp_path)).collect()), key=str)
+
+    a, b, c = text("a"), text("b"), text("c")
+    ids = [(None, a), (None, b), (5, c), (5, c)]
+    assert left("quality_classifier", ids) == sorted(ids, key=str)
+    # A repeated row stays once; a copy goes though its id stays with another text; an id comes before a null one.
+    assert left("exact_dedup", [*ids, (1, b), (7, a), (7, c)]) == [(1, b), (5, c), (7, a)]
+    assert left("ngram_join", [*ids, (1, b + " more"), (5, a + " more"), (None, "")]) == sorted([(1, b + " more"), (5, a + " more"), (5, c), (None, "")], key=str)
+    bad = a + " " + text("bench", 12)
+    assert left("decontamination", [*ids, (5, bad), (None, bad)]) == sorted(ids, key=str)
