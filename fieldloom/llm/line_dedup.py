@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, id_filter, maybe_in, skew_lookup, stored
 
-LEAST_CHARS = 24  # shorter lines have no near-duplicates by definition, only equal ones
+LEAST_CHARS = 1  # default floor of near-duplicates; lines of k or fewer code points, all within k edits of each other, have none anyhow
 
 
 def _keyed(lines: DataFrame, k: int) -> DataFrame:
@@ -36,13 +36,16 @@ def _keyed(lines: DataFrame, k: int) -> DataFrame:
     # Segment i of a line of that length: the last ones are longer by one.
     each = each.select("lid", "line", "len", "p.*").withColumn("of", F.expr("len - shorter")).withColumn("longer", F.expr(f"i - {m} + of % {m}"))
     at = each.withColumn("at", F.expr(f"i * (of div {m}) + greatest(0, longer) + shift")).withColumn("size", F.expr(f"of div {m} + if(longer >= 0, 1, 0)"))
-    fits = at.filter("at >= 0 and at + size <= len")
+    fits = at.filter("at >= 0 and size > 0 and at + size <= len")
     return fits.select("lid", F.expr("xxhash64(of, i, substring(line, cast(at as int) + 1, cast(size as int)))").alias("key"), F.expr("shorter = 0 and shift = 0").alias("index"), "shorter")
 
 
-def line_links(lines: DataFrame, k: int) -> DataFrame:
-    """(a, b, distance) with a < b of rows (lid, line, len): distinct lines of 1 to k edits; shorter lines are left out."""
-    long_ = lines.filter(F.col("len") >= LEAST_CHARS)
+def line_links(lines: DataFrame, k: int, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(a, b, distance) with a < b of rows (lid, line, len): distinct lines of 1 to k edits.
+
+    Lines of k or fewer code points, or of fewer than least_chars, are left out.
+    """
+    long_ = lines.filter(F.col("len") >= max(least_chars, k + 1))
     keyed = _keyed(long_, k)
     # Somebody's segment must be met by somebody else: two index keys, or an index key and a probe that is no index key.
     counts = keyed.groupBy("key").agg(F.sum(F.col("index").cast("int")).alias("n_index"), F.sum((~F.col("index")).cast("int")).alias("n_probe"))
@@ -65,11 +68,11 @@ def line_links(lines: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 2, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(row, doc_id, line_no, class_id, n_links, kept) for each line of docs, and a row with line_no null for a text without.
 
     Lines are what line feeds part, without white space at their ends; empty ones don't count but keep their numbers,
-    from 0. Lines are linked if they are equal, or if both have LEAST_CHARS code points and are within k edits; a class is
+    from 0. Lines are linked if they are equal, or if both have more than k code points, least_chars at least, and are within k edits; a class is
     a connected component. The first line of a class by (doc_id, line_no) is kept; null ids come last. n_links counts the
     near links of a line's distinct text. ``row`` tells rows of docs apart that repeat an id; between them the first by
     row stays. Null texts count as empty, other columns are ignored.
@@ -81,7 +84,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = stored(each.select("row", "doc_id", "line_no", "k1", "k2"), "places")
     real = each.filter("line_no is not null")
     lines = stored(real.groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("lid"), "k1", "k2", "line", F.length("line").alias("len"), "n"), "lines")
-    links = line_links(lines.select("lid", "line", "len"), k)
+    links = line_links(lines.select("lid", "line", "len"), k, least_chars)
     label = components(links).withColumnsRenamed({"id": "lid", "component": "class_id"})
     degree = links.select(F.explode(F.array("a", "b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("n_links"))
     named = lines.select("lid", "k1", "k2", "n").join(label.join(degree, "lid"), "lid", "left")

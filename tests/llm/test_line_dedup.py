@@ -80,3 +80,18 @@ def test_repeated_rows_and_empty(spark):
     got = L.line_dedup(spark.createDataFrame([(1, "same line"), (1, "same line")], schema)).collect()
     assert sorted(r.kept for r in got) == [False, True]
     assert L.by_document(L.line_dedup(spark.createDataFrame([], schema))).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_short_lines_have_near_duplicates(spark, k):
+    rng = random.Random(1)
+    lines = ["All rights reserved.", "All rights reserved", "a", "b", "ab", "ba", "abc"]
+    lines += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 23))) for _ in range(150)]
+    lines += [x[:-1] + "é" for x in lines[20:60]] + [x + "zz" for x in lines[60:80]]
+    lines = sorted(set(lines))
+    near = {x: [y for y in lines if y != x and min(len(x), len(y)) > k and distance(x, y) <= k] for x in lines}
+    got = L.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), k=k).collect()
+    assert {lines[r.doc_id]: r.n_links for r in got} == {x: len(y) for x, y in near.items()}
+    of = {lines[r.doc_id]: r.class_id for r in got}
+    assert of["All rights reserved."] == of["All rights reserved"] and of["a"] != of["b"]
+    assert all(of[x] == of[y] for x in lines for y in near[x])
