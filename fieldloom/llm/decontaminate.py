@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .common import stored
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z, on UTF-8 bytes: digits, a-z and all bytes from 0x80 on.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX_SCHEMA = "shard string, doc_ids binary, starts binary, n_words binary, vocabulary binary, offsets binary, positions binary"
+INDEX_SCHEMA = "shard string, doc_ids binary, nulls binary, starts binary, n_words binary, vocabulary binary, offsets binary, positions binary"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -49,7 +50,8 @@ def _shard(doc_ids: list[int | None], texts: list[bytes | None], gap: int) -> di
     order = np.argsort(terms, kind="stable")
     sizes = np.bincount(terms, minlength=len(number))
     return {
-        "doc_ids": np.array([-1 if x is None else x for x in doc_ids], np.int64).tobytes(),
+        "doc_ids": np.array([0 if x is None else x for x in doc_ids], np.int64).tobytes(),
+        "nulls": np.array([x is None for x in doc_ids], bool).tobytes(),
         "starts": starts.tobytes(),
         "n_words": n_words.tobytes(),
         "vocabulary": b" ".join(number),
@@ -61,19 +63,19 @@ def _shard(doc_ids: list[int | None], texts: list[bytes | None], gap: int) -> di
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_per_shard: int = 1_000_000, gap: int = 64) -> DataFrame:
     """The positional index of docs, a row a shard of at most about words_per_shard words and at least a document.
 
-    Null and empty texts have no words but stay known to the index. Null ids are stored as -1. Rows that repeat an id
-    are separate documents. An empty table gives an empty index.
+    Null and empty texts have no words but stay known to the index. Null ids are marked. Rows that repeat an id are
+    separate documents. A shard's name is unique, but another one when the shard is computed anew. An empty table gives an empty index.
     """
     most_bytes = words_per_shard * 8
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, texts, held, n = [], [], 0, 0
+        doc_ids, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             row = _shard(doc_ids, texts, gap)
-            return pa.RecordBatch.from_pylist([{"shard": f"{doc_ids[0]}-{n}"} | row], schema=schema)
+            return pa.RecordBatch.from_pylist([{"shard": uuid4().hex} | row], schema=schema)
 
-        schema = pa.schema([("shard", pa.string()), *((c, pa.binary()) for c in ("doc_ids", "starts", "n_words", "vocabulary", "offsets", "positions"))])
+        schema = pa.schema([("shard", pa.string()), *((c, pa.binary()) for c in ("doc_ids", "nulls", "starts", "n_words", "vocabulary", "offsets", "positions"))])
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc_ids.append(doc_id)
@@ -81,7 +83,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held += len(texts[-1] or b"")
                 if held >= most_bytes or len(texts) >= 20_000:
                     yield flush()
-                    doc_ids, texts, held, n = [], [], 0, n + 1
+                    doc_ids, texts, held = [], [], 0
         if doc_ids:
             yield flush()
 
@@ -114,6 +116,7 @@ class ShardIndex:
 
     def __init__(self, row: dict):
         self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.nulls = np.frombuffer(row["nulls"], bool)
         self.starts = np.frombuffer(row["starts"], np.int64)
         self.n_words = np.frombuffer(row["n_words"], np.int64)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
@@ -193,6 +196,8 @@ def search(index: DataFrame, phrases: DataFrame, *, block: int = 200_000, within
     spark = index.sparkSession
     held = stored(phrases.withColumn("n", F.monotonically_increasing_id()), "phrases")
     blocks = max(1, -(-held.count() // block))
+    if blocks > 1 and getattr(index, "_stored_at", None) is None:
+        index = stored(index, "postings")  # blocks meet by the names of shards
     parts = []
     for b in range(blocks):
         part = held.filter(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(blocks)) == b).select("item_id", "phrase").collect()
@@ -240,7 +245,7 @@ def _searcher(sent, within: int | None):
                     for d, ps in zip(*_split(doc, who)):
                         found[d] = sorted({items[p] for p in ps if items[p] is not None})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * n_docs, pa.string()), pa.array(range(n_docs), pa.int64()), pa.array(index.doc_ids), pa.array(index.n_words), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
+                    [pa.array([row["shard"]] * n_docs, pa.string()), pa.array(range(n_docs), pa.int64()), pa.array(index.doc_ids, mask=index.nulls), pa.array(index.n_words), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
                     ["shard", "doc", "doc_id", "n_words", "hits", "items"],
                 )
 
@@ -256,7 +261,7 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nd
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, items, items_sha256, contaminated) for each row of docs.
 
-    A null id comes back as -1. Documents without words have n_hit 0. Without benchmark phrases nothing is hit.
+    Null and repeated ids pass through; each row is a document. Documents without words have n_hit 0. Without benchmark phrases nothing is hit.
     Columns other than id and text are ignored.
     """
     found = search(stored(build_index(docs, id_col, text_col), "postings"), phrases_of(benchmark, n=n))

@@ -48,3 +48,14 @@ def test_proximity(spark):
 def test_empty_tables(spark):
     assert rows(spark, docs=[]) == []
     assert [r[2] for r in rows(spark, items=[])] == [0] * len(DOCS)
+
+
+def test_null_and_repeated_ids_are_separate_documents_in_any_blocks(spark):
+    docs = [(None, "short item here"), (None, "nothing"), (-1, "short item"), (7, "other words"), (7, "a short item")]
+    one = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = D.build_index(one.unionByName(one))  # two tasks whose shards begin alike
+    phrases = D.phrases_of(spark.createDataFrame([(1, "short item"), (2, "other words"), (3, None)], "item_id long, text string"))
+    want = sorted(2 * [(None, 3, 2), (None, 1, 0), (-1, 2, 2), (7, 2, 2), (7, 3, 2)], key=str)
+    for block in (1, 100):
+        got = D.search(index, phrases, block=block).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == want
