@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, indexed, keys, ordered, safe_div
+from .frames import TINY, indexed, keys, ordered, ranked, safe_div
 
 
 def reynolds(df: DataFrame, by, u: str, v: str, w: str | None = None) -> DataFrame:
@@ -267,14 +267,27 @@ def ks_statistic(df: DataFrame, by, x: str, is_first) -> DataFrame:
     return v.withColumn("gap_", gap).groupBy(*k).agg(F.max("gap_").alias("ks"))
 
 
+def exact_quantiles(df: DataFrame, x: str, shares) -> list[float]:
+    """Linear quantiles of a column from a range-partitioned ranking: no task and no aggregate holds the whole sample."""
+    r = ranked(df.filter(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x_")), "x_", "n_")
+    n = r.count()
+    if not n:
+        return []
+    at = [s * (n - 1) for s in shares]
+    found = {q["n_"] - 1: q["x_"] for q in r.filter(F.col("n_").isin(sorted({int(a) + d for a in at for d in (1, 2)}))).collect()}  # two rows a quantile
+    return [found[int(a)] + (found.get(int(a) + 1, found[int(a)]) - found[int(a)]) * (a - int(a)) for a in at]
+
+
 def psi(df: DataFrame, x: str, is_expected, bins: int = 10) -> DataFrame:
-    """Population stability index over quantile bins of the expected sample, shares floored at 1e-6."""
-    edges = df.filter(is_expected).agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e"))
-    e, c = F.col("e"), F.col(x)
+    """Population stability index over quantile bins of the expected sample, shares floored at 1e-6; null without a sample."""
+    e = exact_quantiles(df.filter(is_expected), x, [i / bins for i in range(bins + 1)])
+    if not e:
+        return df.sparkSession.createDataFrame([(None,)], "psi double")
+    c = F.col(x)
     # The outer edges widen by 1e-9, the last bin is closed, values beyond the edges count for no bin.
     inside = (c >= e[0] - 1e-9) & (c <= e[bins] + 1e-9)
-    at = F.size(F.filter(F.slice(e, 2, bins - 1), lambda b: b <= c))
-    b = df.withColumn("x_", is_expected).crossJoin(F.broadcast(edges)).select("x_", F.when(inside, at).alias("bin"))
+    at = sum((c >= v).cast("int") for v in e[1:bins])
+    b = df.select(is_expected.alias("x_"), F.when(inside, at).alias("bin"))
     counts = b.groupBy("bin").agg(F.count_if("x_").alias("n_e"), F.count_if(~F.col("x_")).alias("n_a"))
     totals = b.agg(F.count_if("x_").alias("t_e"), F.count_if(~F.col("x_")).alias("t_a"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts.dropna()), "bin", "left").fillna(0).crossJoin(F.broadcast(totals))

@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TINY = 1e-30
@@ -48,10 +48,37 @@ def mirrored(df: DataFrame, by: str | Sequence[str], index: str, half: int) -> D
     return sized.withColumn(index, F.col(index).cast("int")).withColumn("pad", F.lit(False)).unionByName(low).unionByName(high).drop("n_")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs locally."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-checkpoints")
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint: in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """df behind a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(root or "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def ranked(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
+    """df with the rows' numbers by order, from 1. order must be total for a defined result.
+
+    Rows are range-partitioned and numbered in their partition; the driver only adds up one count a partition.
+    """
+    o = keys(order)
+    s = cut(df.orderBy(*o).withColumn("part_", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in s.groupBy("part_").count().orderBy("part_").collect():
+        offsets.append((r["part_"], before))
+        before += r["count"]
+    if not offsets:
+        return s.drop("part_").withColumn(name, F.lit(0).cast("long"))
+    at = df.sparkSession.createDataFrame(offsets, "part_ int, before_ long")
+    n = F.row_number().over(Window.partitionBy("part_").orderBy(*o)) + F.col("before_")
+    return s.join(F.broadcast(at), "part_").withColumn(name, n.cast("long")).drop("part_", "before_")

@@ -95,20 +95,6 @@ def min_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label.select(F.col("u").alias("node"), F.col("l").alias("label"))
 
 
-def grid_components(df: DataFrame, i: str, j: str, mask, least: int = 1) -> DataFrame:
-    """(i, j, label, size) of 4-connected regions of a mask with at least ``least`` cells, numbered from 1 by their first cell in row order."""
-    width = df.agg(F.max(j)).first()[0] or 0
-    cell = df.filter(mask).select(i, j, (F.col(i) * (int(width) + 1) + F.col(j)).cast("long").alias("n"))
-    right = cell.select(F.col("n").alias("a"), (F.col(j) + 1).alias("j_"), F.col(i).alias("i_")).join(cell.select(F.col("n").alias("b"), F.col(j).alias("j_"), F.col(i).alias("i_")), ["i_", "j_"]).select("a", "b")
-    down = cell.select(F.col("n").alias("a"), F.col(j).alias("j_"), (F.col(i) + 1).alias("i_")).join(cell.select(F.col("n").alias("b"), F.col(j).alias("j_"), F.col(i).alias("i_")), ["i_", "j_"]).select("a", "b")
-    label = min_labels(right.unionByName(down).unionByName(cell.select(F.col("n").alias("a"), F.col("n").alias("b"))), "a", "b")
-    sizes = label.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    from pyspark.sql import Window
-
-    numbered = sizes.withColumn("k_", F.row_number().over(Window.orderBy("label")))  # one row a region
-    return cell.join(label.join(numbered, "label").select(F.col("node").alias("n"), F.col("k_").alias("label"), "size"), "n").drop("n")
-
-
 def dbscan(points: DataFrame, pid: str, coordinates: Sequence[str], eps: float, least: int) -> DataFrame:
     """(pid, cluster): core points with at least ``least`` neighbours (themselves included) within eps; -1 for noise.
 

@@ -118,22 +118,26 @@ def radius_pairs(points: DataFrame, targets: DataFrame, pid: str, tid: str, coor
     return t.join(p, "cell").withColumn("distance", d).filter(F.col("distance") <= radius).select(tid, pid, "distance")
 
 
-def knn(points: DataFrame, targets: DataFrame, pid: str, tid: str, coordinates: Sequence[str], k: int, cell: float, value: str | None = None, most_rings: int = 40) -> DataFrame:
-    """(tid, pid, rank, distance[, value]): the k nearest points of each target, ties by id.
+def knn(points: DataFrame, targets: DataFrame, pid: str, tid: str, coordinates: Sequence[str], k: int, cell: float, value: str | None = None, most_rings: int = 60) -> DataFrame:
+    """(tid, pid, rank, distance[, value]): the k nearest points of each target, all points if they are fewer; ties by id.
 
     Rings grow: targets are searched within radius cell, and those with fewer than k points within it again with twice
     the radius, so no target meets all points unless it must.
     """
+    k = min(k, points.limit(k).count())
     out, left, r = None, targets.select(tid, *coordinates), cell
     for _ in range(most_rings):
         w = Window.partitionBy(tid)
         near = radius_pairs(points, left, pid, tid, coordinates, r).withColumn("n_", F.count("*").over(w))
         got = cut(near.filter(F.col("n_") >= k).withColumn("rank", F.row_number().over(w.orderBy("distance", pid))).filter(F.col("rank") <= k).select(tid, pid, "rank", "distance"))
         out = got if out is None else out.unionByName(got)
-        left = cut(left.join(got.select(tid).distinct(), tid, "left_anti"))
-        if left.isEmpty():
+        left = left.join(got.select(tid).distinct(), tid, "left_anti")
+        if k == 0 or left.isEmpty():
             break
+        left = cut(left)
         r *= 2
+    else:
+        raise ValueError(f"cell {cell} is too small for the extent of the points, or a coordinate is not finite")
     return out.join(points.select(pid, value), pid) if value else out
 
 

@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import keys
+from .frames import keys, ordered
 
 
 def _series(df: DataFrame, by, order, x: str) -> DataFrame:
@@ -22,25 +22,27 @@ def _series(df: DataFrame, by, order, x: str) -> DataFrame:
 
 
 def cusum(df: DataFrame, by, order, x: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
-    """(by, i, up, down, alarm): sums of excesses over +-k without reset; alarm beyond +-h."""
-    start = F.array(F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down")))
+    """(by, i, up, down, alarm): sums of excesses over +-k that never cross 0; alarm beyond +-h.
 
-    def step(a, v):
-        last = F.element_at(a, -1)
-        return F.concat(a, F.array(F.struct(F.greatest(F.lit(0.0), last["up"] + v - k).alias("up"), F.least(F.lit(0.0), last["down"] + v + k).alias("down"))))
-
-    s = _series(df, by, order, x).withColumn("s_", F.aggregate("v_", start, step))
-    out = s.select(*keys(by), F.posexplode("s_").alias("i", "p")).filter("i > 0")
-    return out.select(*keys(by), (F.col("i") - 1).alias("i"), F.col("p.up").alias("up"), F.col("p.down").alias("down"), ((F.col("p.up") > h) | (F.col("p.down") < -h)).alias("alarm"))
+    Such a sum is a running sum less its running extreme, so two windows give it without a fold.
+    """
+    k_ = keys(by)
+    w = ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.select(*k_, (F.row_number().over(ordered(by, order)) - 1).alias("i_"), F.sum(F.col(x) - k).over(w).alias("s_"), F.sum(F.col(x) + k).over(w).alias("t_"))
+    w = Window.partitionBy(*k_).orderBy("i_").rowsBetween(Window.unboundedPreceding, 0)
+    up, down = F.col("s_") - F.least(F.lit(0.0), F.min("s_").over(w)), F.col("t_") - F.greatest(F.lit(0.0), F.max("t_").over(w))
+    d = d.select(*k_, F.col("i_").alias("i"), up.alias("up"), down.alias("down"))
+    return d.withColumn("alarm", (F.col("up") > h) | (F.col("down") < -h))
 
 
 def ewma(df: DataFrame, by, order, x: str, lam: float = 0.2, k: float = 3.0) -> DataFrame:
     """(by, i, z, alarm): z starts at the first value; alarm where |z - x0| exceeds k population deviations."""
-    step = lambda a, v: F.concat(a, F.array((1 - lam) * F.element_at(a, -1) + lam * v))
-    s = _series(df, by, order, x).withColumn("z_", F.aggregate(F.slice("v_", 2, F.greatest(F.size("v_") - 1, F.lit(0))), F.slice("v_", 1, 1), step))
-    std = df.groupBy(*keys(by)).agg(F.stddev_pop(x).alias("std_"))
-    out = s.join(std, keys(by)).select(*keys(by), F.element_at("v_", 1).alias("x0_"), "std_", F.posexplode("z_").alias("i", "z"))
-    return out.select(*keys(by), "i", "z", (F.abs(F.col("z") - F.col("x0_")) / (F.col("std_") + 1e-30) > k).alias("alarm"))
+
+    def kernel(v: np.ndarray) -> dict:
+        z = pd.Series(v[:, 0]).ewm(alpha=lam, adjust=False).mean().to_numpy()
+        return {"i": np.arange(len(z)), "z": z, "alarm": np.abs(z - v[0, 0]) / (v[:, 0].std() + 1e-30) > k}
+
+    return grouped(df, by, order, [x], "i int, z double, alarm boolean", kernel)
 
 
 def first_alarm(df: DataFrame, by, order, x: str, threshold: float = 3.0, k: float = 0.5) -> DataFrame:
@@ -62,14 +64,18 @@ def first_alarm(df: DataFrame, by, order, x: str, threshold: float = 3.0, k: flo
 
 def spaced(df: DataFrame, by, t: str, interval: float) -> DataFrame:
     """The times that a gate lets through: strictly later than the last one by at least interval."""
-    o = df.groupBy(*keys(by)).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("t_"))
-    empty = F.array().cast("array<double>")
-    last = lambda a: F.get(a, F.size(a) - 1)
-    step = lambda a, v: F.when(F.size(a) == 0, F.array(v)).when((v > last(a)) & (v - last(a) >= interval), F.concat(a, F.array(v))).otherwise(a)
-    return o.select(*keys(by), F.explode(F.aggregate("t_", empty, step)).alias(t))
+
+    def kernel(v: np.ndarray) -> dict:
+        out, at, times = [], 0, v[:, 0]
+        while at < len(times):
+            out.append(times[at])
+            at = max(np.searchsorted(times, times[at], "right"), np.searchsorted(times, times[at] + interval, "left"))
+        return {t: out}
+
+    return grouped(df.withColumn(t, F.col(t).cast("double")).dropna(subset=[t]), by, t, [t], f"`{t}` double", kernel)
 
 
-def _grouped(df: DataFrame, by, order, columns: list[str], schema: str, kernel: Callable[[np.ndarray], dict]) -> DataFrame:
+def grouped(df: DataFrame, by, order, columns: list[str], schema: str, kernel: Callable[[np.ndarray], dict]) -> DataFrame:
     """kernel(values in order) per series, in Arrow batches; its columns follow the keys."""
     k, o = keys(by), keys(order)
     types = ", ".join(f"`{c}` {t}" for c, t in df.select(*k).dtypes)
@@ -98,7 +104,7 @@ def kalman(df: DataFrame, by, order, columns: list[str], transition, observation
             states.append(x.tolist())
         return {"i": np.arange(len(z)), "state": states}
 
-    return _grouped(df, by, order, columns, "i int, state array<double>", kernel)
+    return grouped(df, by, order, columns, "i int, state array<double>", kernel)
 
 
 def recursive_least_squares(df: DataFrame, by, order, inputs: list[str], target: str, lam: float = 0.99, delta: float = 1.0) -> DataFrame:
@@ -106,7 +112,7 @@ def recursive_least_squares(df: DataFrame, by, order, inputs: list[str], target:
 
     def kernel(z: np.ndarray) -> dict:
         d = len(inputs)
-        w, p, out = np.zeros(d), np.eye(d) / delta, []
+        w, p, out = np.zeros(d), np.eye(d) * delta, []
         for row in z:
             x = row[:d]
             gain = p @ x / (lam + x @ p @ x)
@@ -115,7 +121,7 @@ def recursive_least_squares(df: DataFrame, by, order, inputs: list[str], target:
             out.append(w.tolist())
         return {"i": np.arange(len(z)), "weights": out}
 
-    return _grouped(df, by, order, [*inputs, target], "i int, weights array<double>", kernel)
+    return grouped(df, by, order, [*inputs, target], "i int, weights array<double>", kernel)
 
 
 def partition_changes(df: DataFrame, by, order, x: str, least: int = 5) -> DataFrame:
@@ -142,7 +148,7 @@ def partition_changes(df: DataFrame, by, order, x: str, least: int = 5) -> DataF
             at = last[at]
         return {"change": np.array(out[::-1], int)}
 
-    return _grouped(df, by, order, [x], "change int", kernel)
+    return grouped(df, by, order, [x], "change int", kernel)
 
 
 def welch(df: DataFrame, by, order, x: str, fs: float = 1.0, nperseg: int = 256) -> DataFrame:
@@ -158,7 +164,7 @@ def welch(df: DataFrame, by, order, x: str, fs: float = 1.0, nperseg: int = 256)
         power[1:-1] *= 2
         return {"frequency": np.fft.rfftfreq(m, 1 / fs), "psd": power}
 
-    return _grouped(df, by, order, [x], "frequency double, psd double", kernel)
+    return grouped(df, by, order, [x], "frequency double, psd double", kernel)
 
 
 def motif_profile(df: DataFrame, by, order, x: str, query: list[float]) -> DataFrame:
@@ -179,4 +185,4 @@ def motif_profile(df: DataFrame, by, order, x: str, query: list[float]) -> DataF
         distance = np.sqrt(np.maximum(2 * (m - dots / np.maximum(std, 1e-12)), 0))
         return {"i": np.arange(len(distance)), "distance": distance}
 
-    return _grouped(df, by, order, [x], "i int, distance double", kernel)
+    return grouped(df, by, order, [x], "i int, distance double", kernel)

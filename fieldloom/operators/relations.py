@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, keys
+from .frames import TINY, keys, ordered, ranked
+
+
+EXISTING = 10_000  # bound of the design points that greedy_maxmin broadcasts
 
 
 # Predicates on coordinates.
@@ -58,6 +61,80 @@ def outliers_z(df: DataFrame, by, x: str, level: float = 3.0) -> DataFrame:
     return df.withColumn("outlier", F.abs(F.col(x) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + TINY) > level)
 
 
+def differs(a: str, b: str, tolerance: float = 1e-3) -> Column:
+    return F.abs(F.col(a) - F.col(b)) > tolerance
+
+
+def beyond(x: str, level: float) -> Column:
+    return F.abs(F.col(x)) > level
+
+
+def refine(df: DataFrame, by, order, x: str, level: float = 0.1) -> DataFrame:
+    """df with ``indicator``, half the gap of a cell's neighbours and 0 at both ends of a series, and ``refine``."""
+    w = ordered(by, order)
+    gap = F.abs(F.lead(x).over(w) - F.lag(x).over(w)) / 2
+    return df.withColumn("indicator", F.coalesce(gap, F.lit(0.0))).withColumn("refine", F.col("indicator") > level)
+
+
+def confident(df: DataFrame, probs: str, level: float = 0.9) -> DataFrame:
+    """Rows whose largest probability reaches level, with its class, the first of equals, as ``label`` from 0."""
+    top = F.array_max(probs)
+    return df.filter(top >= level).withColumn("label", (F.array_position(F.col(probs), top) - 1).cast("long"))
+
+
+def every_nth(df: DataFrame, by, order, stride: int) -> DataFrame:
+    """Rows 0, stride, 2 * stride, ... of each series."""
+    return df.withColumn("n_", F.row_number().over(ordered(by, order)) - 1).filter(F.col("n_") % stride == 0).drop("n_")
+
+
+def masked(x: str, valid: Column, fill: float = 0.0) -> Column:
+    return F.when(valid, F.col(x)).otherwise(fill)
+
+
+#: Parts of a field's name that mark it as a conserved quantity.
+CONSERVED = ("rho", "density", "mass", "flux", "flow_rate", "flowrate", "momentum", "total_energy", "totalenergy", "enthalpy_flow")
+
+
+def is_conserved(name: str) -> Column:
+    return F.lower(F.col(name)).rlike("|".join(CONSERVED))
+
+
+def kept_triangles(triangles: DataFrame, tri: str, vertices: str, kept: DataFrame, vertex: str) -> DataFrame:
+    """Triangles whose corners are all among the kept points."""
+    corners = triangles.select(tri, F.explode(F.array_distinct(vertices)).alias(vertex))
+    lost = corners.join(kept.select(vertex), vertex, "left_anti").select(tri).distinct()
+    return triangles.join(lost, tri, "left_anti")
+
+
+def same_mesh(meshes: DataFrame, mesh: str, topology: str, coordinates: str) -> DataFrame:
+    """Pairs (a, b), a < b, of meshes with equal topology and coordinate hashes; nulls equal nothing."""
+    m = meshes.select(F.col(mesh).alias("a"), topology, coordinates)
+    return m.join(m.withColumnRenamed("a", "b"), [topology, coordinates]).filter("a < b").select("a", "b")
+
+
+def reflected(df: DataFrame, components: Sequence[str]) -> DataFrame:
+    """The rows, and a copy for each reflected component: its sign is changed; ``axis`` is null, or names the component."""
+    axes = F.array(F.lit(None).cast("string"), *map(F.lit, components))
+    each = df.withColumn("axis", F.explode(axes))
+    return each.withColumns({c: F.when(F.col("axis") == c, -F.col(c)).otherwise(F.col(c)) for c in components})
+
+
+def dropped_out(x: str, tie, rate: float, seed: int = 0, fill: float = 0.0) -> Column:
+    """x, or fill at a share of rows that a hash of the id and the seed picks: the same at every run."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys(tie))), 1, 8), 16, 10).cast("double") / 2**32
+    return F.when(u < rate, fill).otherwise(F.col(x))
+
+
+def snapshots_with_parameters(snapshots: DataFrame, parameters: DataFrame, case: str, time: str) -> DataFrame:
+    """One row a case and time: the case's parameters and its time as ``t``."""
+    return snapshots.select(case, F.col(time).cast("double").alias("t")).distinct().join(parameters, case)
+
+
+def last_runs(history: DataFrame, order, most: int = 50) -> DataFrame:
+    """The most recent entries of a log."""
+    return history.orderBy(*(F.desc(c) for c in keys(order))).limit(most)
+
+
 # Top-k; ties always by id.
 def top_k(df: DataFrame, score: Column, tie, k: int, largest: bool = True) -> DataFrame:
     s = df.withColumn("score", score)
@@ -85,7 +162,9 @@ def margin(probs: str) -> Column:
 
 
 def greedy_maxmin(candidates: DataFrame, existing: DataFrame, cid: str, coordinates: Sequence[str], k: int) -> DataFrame:
-    """Candidates farthest from their nearest existing point, in one pass. existing is a small design table."""
+    """Candidates farthest from their nearest existing point, in one pass. existing is a design of at most EXISTING points."""
+    if existing.limit(EXISTING + 1).count() > EXISTING:
+        raise ValueError(f"more than {EXISTING} existing points; search their nearest by joins.knn with k = 1")
     e = existing.agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in coordinates))).alias("e_"))
     d = F.array_min(F.transform("e_", lambda p: F.sqrt(sum((F.col(c) - p[i]) ** 2 for i, c in enumerate(coordinates)))))
     return top_k(candidates.crossJoin(F.broadcast(e)).withColumn("d_", d).drop("e_"), F.col("d_"), cid, k).drop("d_")
@@ -93,12 +172,9 @@ def greedy_maxmin(candidates: DataFrame, existing: DataFrame, cid: str, coordina
 
 # Sets.
 def first_seen_ids(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct keys numbered from 0 by first appearance, joined to the rows as group_id.
-
-    The numbering sorts one row a distinct key: meshes or geometries, not points.
-    """
-    first = df.groupBy(key).agg(F.min(order).alias("f_"))
-    return df.join(first.withColumn("group_id", F.dense_rank().over(Window.orderBy("f_")) - 1).drop("f_"), key)
+    """Distinct keys numbered from 0 by first appearance, joined to the rows as group_id."""
+    first = ranked(df.groupBy(key).agg(F.min(order).alias("f_")), ["f_", key], "group_id")
+    return df.join(first.select(key, (F.col("group_id") - 1).alias("group_id")), key)
 
 
 def undirected_edges(df: DataFrame, cell: str, vertices: str) -> DataFrame:

@@ -108,3 +108,67 @@ def ridge_regression(df: DataFrame, inputs: list[str], target: str, ridge: float
     r = df.agg(*aggs).first()
     a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + ridge * np.eye(n)
     return np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(n)]))
+
+
+def envelope(training: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """new with max_z, mahalanobis and outside: how far coefficients lie from those of the training, and how many beyond their range.
+
+    max_z uses population deviations, mahalanobis the sample covariance; the training is one aggregate.
+    """
+    d = len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    stats = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
+    m = training.agg(*stats, *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    cov = np.array([[m[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) + 1e-12 * np.eye(d)
+    inv = np.linalg.inv(cov)
+    z = [F.col(c) - float(m[f"m{i}"]) for i, c in enumerate(columns)]
+    scaled = [F.abs(x) / (float(m[f"s{i}"]) + 1e-30) for i, x in enumerate(z)]
+    q = sum(z[i] * z[j] * float(inv[i, j]) for i in range(d) for j in range(d))
+    outside = sum(((F.col(c) < float(m[f"lo{i}"])) | (F.col(c) > float(m[f"hi{i}"]))).cast("long") for i, c in enumerate(columns))
+    return new.withColumns({"max_z": F.greatest(*scaled) if d > 1 else scaled[0], "mahalanobis": F.sqrt(F.greatest(q, F.lit(0.0))), "outside": outside})
+
+
+def _products(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """Sums of products of columns, in one pass; as many as there are pairs of modes."""
+    row = df.agg(*(F.sum(F.col(a).cast("double") * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right))).first()
+    return np.array([[row[f"p{i}_{j}"] or 0.0 for j in range(len(right))] for i in range(len(left))])
+
+
+def subspace_drift(points: DataFrame, old: list[str], new: list[str]) -> np.ndarray:
+    """Principal angles, ascending, between the spans of two sets of mode columns of one table of points.
+
+    The angles follow from three Gram matrices; their norm is the Grassmann distance.
+    """
+    whiten = lambda g: np.linalg.inv(np.linalg.cholesky(g))
+    a, b = whiten(_products(points, old, old)), whiten(_products(points, new, new))
+    return np.sort(np.arccos(np.clip(np.linalg.svd(a @ _products(points, old, new) @ b.T, compute_uv=False), -1, 1)))
+
+
+def gappy_coefficients(points: DataFrame, modes: list[str], value: str, known: str) -> np.ndarray:
+    """Least-squares coefficients of a field on modes from the points where it is known; zeros if it is known nowhere."""
+    seen = points.filter(known)
+    return np.linalg.lstsq(_products(seen, modes, modes), _products(seen, modes, [value])[:, 0], rcond=None)[0]
+
+
+def gappy_reconstruct(points: DataFrame, modes: list[str], value: str, known: str) -> DataFrame:
+    """points with ``reconstructed``: the field that the coefficients give everywhere."""
+    a = gappy_coefficients(points, modes, value, known)
+    return points.withColumn("reconstructed", sum(F.col(c) * float(w) for c, w in zip(modes, a)))
+
+
+def mode_summary(phi: DataFrame, sigma: DataFrame) -> DataFrame:
+    """(mode, singular_value, energy_fraction, spatial_norm) of modes (mode, point, phi) and (mode, sigma)."""
+    total = sigma.agg(F.sum(F.col("sigma") ** 2).alias("total_"))
+    norm = phi.groupBy("mode").agg(F.sqrt(F.sum(F.col("phi") ** 2)).alias("spatial_norm"))
+    return sigma.crossJoin(F.broadcast(total)).join(norm, "mode").select("mode", F.col("sigma").alias("singular_value"), (F.col("sigma") ** 2 / F.greatest("total_", F.lit(1e-30))).alias("energy_fraction"), "spatial_norm")
+
+
+def save_modes(phi: DataFrame, sigma: DataFrame, path: str) -> None:
+    """Writes modes (mode, point, phi), a folder a mode, and (mode, sigma) as Parquet; a model that is there is replaced."""
+    phi.write.mode("overwrite").partitionBy("mode").parquet(f"{path}/phi")
+    sigma.write.mode("overwrite").parquet(f"{path}/sigma")
+
+
+def load_modes(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """What save_modes wrote; reading some modes prunes the others."""
+    return spark.read.parquet(f"{path}/phi"), spark.read.parquet(f"{path}/sigma")

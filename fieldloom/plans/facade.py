@@ -7,9 +7,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from fieldloom.functions import expression
+from fieldloom.functions import expression, scalars
 from fieldloom.operators import aggregates as A
+from fieldloom.operators import diagnostics as D
+from fieldloom.operators import geometry as G
 from fieldloom.operators import joins as J
+from fieldloom.operators import morphology as M
+from fieldloom.operators import probes as P
 from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
 from fieldloom.operators import rom
@@ -33,8 +37,9 @@ OPERATIONS: dict[str, Operation] = {
     "box_stats": _op("statistics", A.box_stats),
     "quadrant_analysis": _op("statistics", A.quadrants),
     "phase_average": _op("statistics", A.phase_average),
-    "stat_convergence": _op("statistics", A.batch_means),
-    "gof_normality": _op("statistics", A.ks_statistic),
+    "stat_convergence": _op("statistics", D.effective_samples),
+    "gof_normality": _op("statistics", D.normality),
+    "anisotropy_state": _op("statistics", D.anisotropy),
     "surrogate_metrics": _op("validation", A.error_metrics),
     "residual_diagnostics": _op("validation", T.durbin_watson),
     "ensemble_average": _op("validation", A.weighted_ensemble),
@@ -53,9 +58,27 @@ OPERATIONS: dict[str, Operation] = {
     "mass_search": _op("similarity", R.motif_profile),
     "grid_derivatives": _op("topology", T.gradients_2d),
     "conditional_sampling": _op("sampling", A.conditional_average),
-    "line_probe": _op("sampling", J.idw),
-    "trajectory_clustering": _op("rom", T.label_runs),
+    "line_probe": _op("sampling", P.line_probe),
     "hotspots": _op("validation", S.top_k),
+    "kolmogorov_slope": _op("spectral", D.power_law),
+    "acoustic_strouhal": _op("spectral", D.strouhal),
+    "critical_points": _op("topology", D.critical_points),
+    "helmholtz_decomp": _op("topology", D.helmholtz),
+    "morphology_components": _op("topology", M.components),
+    "surface_forces": _op("integrals", G.pressure_forces),
+    "plane_flux": _op("integrals", G.plane_flux),
+    "coord_transform": _op("preprocessing", scalars.cylindrical),
+    "bic_model_average": _op("validation", D.bic_weights),
+    "stacking": _op("validation", D.stacking),
+    "permutation_importance": _op("validation", D.permutation_importance),
+    "batch_predict": _op("validation", D.batch_predict),
+    "find_motifs": _op("similarity", D.motifs),
+    "rom_envelope": _op("rom", rom.envelope),
+    "subspace_drift": _op("rom", rom.subspace_drift),
+    "gappy_reconstruct": _op("rom", rom.gappy_coefficients),
+    "mode_summary": _op("rom", rom.mode_summary),
+    "save_rom": _op("rom", rom.save_modes),
+    "load_rom": _op("rom", rom.load_modes),
 }
 
 

@@ -739,11 +739,6 @@ def hashes_and_morton(spark, sf_dir):
     return load(spark, sf_dir, "customer").select(k, F.sha2("c_name", 256).alias("h"), scalars.morton3(k, F.lit(0), F.lit(0)).alias("morton"))
 
 
-@query("""SELECT event_id, json_extract_string(props,'$.k')::bigint k FROM events""")
-def decode_sensor_payload(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 # --- Recursions ---------------------------------------------------------------------------------------------------
 
 _SER = "a AS (SELECT user_id, value x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 i FROM events)"
@@ -768,16 +763,6 @@ def change_points(spark, sf_dir):
     return rounded(R.partition_changes(load(spark, sf_dir, "events"), "user_id", TIME, "value"))
 
 
-@query()
-def psd_welch(spark, sf_dir):
-    return rounded(R.welch(load(spark, sf_dir, "events"), "user_id", TIME, "value", 1.0, 32))
-
-
-@query()
-def mass_search(spark, sf_dir):
-    return rounded(R.motif_profile(load(spark, sf_dir, "events"), "user_id", TIME, "value", [10.0, 50.0, 90.0, 50.0, 10.0]))
-
-
 @query(f"""WITH RECURSIVE {_SER}, r AS (SELECT user_id, i, CAST(50.0 + (p/(p+25.0))*(x-50.0) AS DOUBLE) m, CAST((1-p/(p+25.0))*p AS DOUBLE) v FROM a, (SELECT 101.0 p) WHERE i=0
  UNION ALL SELECT a.user_id, a.i, m+((v+1)/(v+1+25.0))*(x-m), (1-(v+1)/(v+1+25.0))*(v+1) FROM r JOIN a ON a.user_id=r.user_id AND a.i=r.i+1)
 SELECT user_id, i, round(m,5) state FROM r""")

@@ -58,13 +58,6 @@ def coo_assembly(spark, sf_dir):
     return rounded(G.assemble(d, "r", "c", "v"), 3)
 
 
-@query()
-def morphology_components(spark, sf_dir):
-    d = load(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("i"), (F.col("p_partkey") % 40).alias("j")).distinct()
-    wide = d.unionByName(d.limit(1).select(F.lit(-1).cast("long").alias("i"), F.lit(39).cast("long").alias("j")))  # fixes the width at 40
-    return rounded(G.grid_components(wide, "i", "j", F.col("i") >= 0, 2))
-
-
 @query("""
 WITH RECURSIVE p AS (SELECT s_suppkey id, (s_suppkey*7%50)*1.0 x, (s_suppkey*13%60)*1.0 y FROM supplier),
 n AS (SELECT a.id a, b.id b FROM p a JOIN p b ON sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))<=7.5), c AS (SELECT a id FROM n GROUP BY 1 HAVING count(*)>=3),

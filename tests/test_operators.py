@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import expression, scalars
 from fieldloom.operators import aggregates as A
-from fieldloom.operators import geometry as G
+from fieldloom.operators import diagnostics as X
 from fieldloom.operators import joins as J
+from fieldloom.operators import morphology as M
 from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
 from fieldloom.operators import rom
@@ -64,7 +65,7 @@ def test_gate_and_rls(spark):
     assert [r.t for r in R.spaced(df, "k", "t", 1.0).orderBy("t").collect()] == [0.0, 1.0, 2.5]
     rng = np.random.default_rng(0)
     rows = [("s", i, float(a), float(b), float(2 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
-    w = R.recursive_least_squares(spark.createDataFrame(rows, "k string, i int, a double, b double, y double"), "k", "i", ["a", "b"], "y", 1.0, 1e-6)
+    w = R.recursive_least_squares(spark.createDataFrame(rows, "k string, i int, a double, b double, y double"), "k", "i", ["a", "b"], "y", 1.0, 1e6)
     assert w.orderBy(F.desc("i")).first().weights == pytest.approx([2, -1], abs=1e-3)
 
 
@@ -102,21 +103,65 @@ def test_pareto_and_triangles(spark):
     assert {r.pid: r.tri for r in J.locate_triangles(p, tri, "pid", "tri", 1.0).collect()} == {0: 0, 1: 1, 2: 0, 3: -1}
 
 
-def test_grid_components(spark):
-    rng = np.random.default_rng(4)
-    mask = rng.random((9, 11)) < 0.45
-    df = spark.createDataFrame([(i, j, bool(mask[i, j])) for i in range(9) for j in range(11)], "i int, j int, m boolean")
+def _labels(mask, connectivity):
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 2 or not (a and b))]
     want, n = np.zeros(mask.shape, int), 0
     for i, j in zip(*np.nonzero(mask)):
         if not want[i, j]:
             n, todo = n + 1, [(i, j)]
             while todo:
                 a, b = todo.pop()
-                if 0 <= a < 9 and 0 <= b < 11 and mask[a, b] and not want[a, b]:
+                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not want[a, b]:
                     want[a, b] = n
-                    todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
-    got = {(r.i, r.j): r.label for r in G.grid_components(df, "i", "j", F.col("m")).collect()}
-    assert got == {(i, j): want[i, j] for i, j in zip(*np.nonzero(mask))}
+                    todo += [(a + da, b + db) for da, db in steps]
+    return want
+
+
+@pytest.mark.parametrize(("connectivity", "tile"), [(1, 4), (2, 3), (1, 1024)])
+def test_components(spark, connectivity, tile):
+    mask = np.random.default_rng(4).random((9, 11)) < 0.45
+    df = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(mask))], "i int, j int")
+    want = _labels(mask, connectivity)
+    got = {(r.i, r.j): (r.label, r.size) for r in M.components(df, "i", "j", mask.shape, connectivity=connectivity, tile=tile).collect()}
+    assert got == {(i, j): (want[i, j], (want == want[i, j]).sum()) for i, j in zip(*np.nonzero(mask))}
+    assert M.components(df.limit(0), "i", "j", mask.shape).count() == 0
+
+
+@pytest.mark.parametrize("connectivity", [1, 2])
+def test_dilation_and_erosion(spark, connectivity):
+    mask = np.random.default_rng(5).random((8, 7)) < 0.6
+    df = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(mask))], "i int, j int")
+    near = lambda i, j: [(a, b) for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) if connectivity == 2 or a == i or b == j]
+    inside = lambda a, b: 0 <= a < 8 and 0 <= b < 7
+    cells = [(i, j) for i in range(8) for j in range(7)]
+    rows = lambda d: {(r.i, r.j) for r in d.collect()}
+    assert rows(M.dilate(df, "i", "j", (8, 7), connectivity=connectivity)) == {c for c in cells if any(inside(*x) and mask[x] for x in near(*c))}
+    assert rows(M.erode(df, "i", "j", connectivity=connectivity)) == {c for c in cells if all(inside(*x) and mask[x] for x in near(*c))}
+
+
+def test_fewer_points_than_neighbours(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 0.0)], "p int, x double, y double")
+    targets = spark.createDataFrame([(7, 0.1, 0.0), (8, 5e5, 5.0)], "t int, x double, y double")
+    got = {(r.t, r.p) for r in J.knn(points, targets, "p", "t", ["x", "y"], 5, 1.0).collect()}
+    assert got == {(7, 1), (7, 2), (8, 1), (8, 2)}
+    assert J.knn(points.limit(0), targets, "p", "t", ["x", "y"], 5, 1.0).count() == 0
+
+
+def test_helmholtz_parts(spark):
+    n = 8
+    y, x = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    u, v = np.sin(2 * np.pi * x / n) + 0.3, np.cos(2 * np.pi * x / n)  # u has no curl, v no divergence
+    df = spark.createDataFrame([(0, int(i), int(j), float(u[i, j]), float(v[i, j])) for i in range(n) for j in range(n)], "c int, i int, j int, u double, v double")
+    for r in X.helmholtz(df, "c", "i", "j", "u", "v").collect():
+        assert abs(r.irrotational_u - u[r.i, r.j]) < 1e-9 and abs(r.solenoidal_v - v[r.i, r.j]) < 1e-9 and abs(r.solenoidal_u) < 1e-9
+
+
+def test_least_squares_and_gates(spark):
+    df = spark.createDataFrame([("g", i, float(i), 2.0 * i + 1) for i in range(30)], "g string, i int, x double, y double").withColumn("one", F.lit(1.0))
+    w = {r.i: r.weights for r in R.recursive_least_squares(df, "g", "i", ["x", "one"], "y", 1.0, 1e6).collect()}
+    assert np.allclose(w[29], [2, 1], atol=1e-3)
+    times = spark.createDataFrame([("g", t) for t in (0.0, 0.0, 0.4, 1.0, 1.5, 2.1, None)], "g string, t double")
+    assert [r.t for r in R.spaced(times, "g", "t", 1.0).orderBy("t").collect()] == [0.0, 1.0, 2.1]
 
 
 def test_splits_and_violations(spark):
