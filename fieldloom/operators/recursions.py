@@ -96,6 +96,14 @@ def kalman(df: DataFrame, by, order, columns: list[str], transition, observation
 
     def kernel(z: np.ndarray) -> dict:
         x, p, states = np.asarray(x0, float), np.asarray(p0, float), []
+        if x.size == 1 and len(columns) == 1:  # plain numbers
+            (fa, fh, fq, fr, fx, fp) = (float(m.ravel()[0]) for m in (a, h, q, r, x, p))
+            for v in z[:, 0].tolist():
+                fx, fp = fa * fx, fa * fa * fp + fq
+                gain = fp * fh / (fh * fh * fp + fr)
+                fx, fp = fx + gain * (v - fh * fx), fp - gain * fh * fp
+                states.append([fx])
+            return {"i": np.arange(len(z)), "state": states}
         for row in z:
             x, p = a @ x, a @ p @ a.T + q
             gain = np.linalg.solve(h @ p @ h.T + r, h @ p).T
