@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars
+from fieldloom.operators import assimilation as E
 from fieldloom.operators import diagnostics as D
 from fieldloom.operators import joins as J
 from fieldloom.operators import morphology as M
@@ -16,6 +17,7 @@ from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
 from fieldloom.operators import rom
 from fieldloom.operators.frames import shared_root
+from fieldloom.streaming import sensors
 
 from .queries import _GRID, TIME, _grid, load, query, rounded, seconds
 
@@ -608,6 +610,44 @@ def helmholtz_decomp(spark, sf_dir):
     return rounded(D.helmholtz(g.agg((F.avg("p_retailprice") / 100).alias("f"), F.avg("p_size").alias("g")), "c", "i", "j", "f", "g"))
 
 
+# --- Assimilation and streams --------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_brand g, p_partkey k, p_size*1.0e0 a, p_retailprice/100 b, ((p_partkey%7)-3)*0.1e0 e FROM part), h AS (SELECT *, a+0.5*b hx FROM p), c AS (SELECT g, covar_samp(a,hx)/(var_samp(hx)+4) ga, covar_samp(b,hx)/(var_samp(hx)+4) gb FROM h GROUP BY 1)
+SELECT k, round(a+ga*(30+e-hx),5) a, round(b+gb*(30+e-hx),5) b FROM h JOIN c ON c.g=h.g""")
+def enkf(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), k.alias("k"), (F.col("p_size") * 1.0).alias("a"), (F.col("p_retailprice") / 100).alias("b"))
+    out = E.enkf_update(p, "g", ["a", "b"], F.col("a") + 0.5 * F.col("b"), F.lit(30.0), 4.0, (F.col("k") % 7 - 3) * 0.1)
+    return rounded(out.select("k", "a", "b"), 5)
+
+
+@query("""WITH p AS (SELECT p_brand g, p_partkey k, exp(-0.5*pow(25-p_size,2)/90) raw FROM part), w AS (SELECT g, k, raw/sum(raw) OVER (PARTITION BY g) w, count(*) OVER (PARTITION BY g) n FROM p),
+s AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY k ROWS UNBOUNDED PRECEDING) c, 1/sum(w*w) OVER (PARTITION BY g)<0.8*n few, row_number() OVER (PARTITION BY g ORDER BY k)=n z FROM w),
+m AS (SELECT g, k, n, w, few, greatest((CASE WHEN z THEN n ELSE ceil(c*n-0.37) END)-ceil((c-w)*n-0.37),0) m FROM s)
+SELECT g, k, CASE WHEN few THEN m ELSE 1 END::bigint copies, round(CASE WHEN few THEN 1.0/n ELSE w END,7) weight FROM m WHERE NOT few OR m>0""")
+def particle_filter(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("x"), F.lit(1.0).alias("weight"))
+    out = E.particle_update(p, "g", "k", F.col("x"), F.lit(25.0), 90.0, u=0.37, least=0.8)
+    return rounded(out.groupBy("g", "k").agg(F.count("*").alias("copies"), F.first("weight").alias("weight")), 7)
+
+
+@query("""WITH RECURSIVE d AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 i, value FROM events), h AS (SELECT user_id, i FROM d WHERE value>60),
+r AS (SELECT user_id, min(i) i FROM h GROUP BY 1 UNION ALL SELECT r.user_id, (SELECT min(h.i) FROM h WHERE h.user_id=r.user_id AND h.i-r.i>=7) FROM r WHERE r.i IS NOT NULL) SELECT user_id, i FROM r WHERE i IS NOT NULL""")
+def retrain_trigger(spark, sf_dir):
+    from fieldloom.operators.frames import indexed
+
+    e = indexed(load(spark, sf_dir, "events"), "user_id", TIME)
+    return rounded(E.retrain_steps(e, "user_id", "i", "value", 60.0, 7))
+
+
+@query("""WITH s AS (SELECT epoch_us(ts)/1e6 t, epoch_us(ts)/1e6+(event_id%13)-2 n, event_type<>'error' a FROM events)
+SELECT count(*) FILTER (WHERE a) accepted_samples, count(*) FILTER (WHERE NOT a) rejected_samples, round((SELECT greatest(n-t,0) FROM s WHERE a ORDER BY n DESC, t DESC LIMIT 1),4) latest_lag_seconds, round(max(greatest(n-t,0)) FILTER (WHERE a),4) maximum_lag_seconds FROM s""")
+def stream_metrics(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_type", seconds().alias("t"), (seconds() + F.col("event_id") % 13 - 2).alias("n"))
+    return rounded(sensors.metrics(e, F.col("event_type") != "error", "t", "n"), 4)
+
+
 # --- Morphology ----------------------------------------------------------------------------------------------------
 
 _MASK = "m AS (SELECT DISTINCT p_size::bigint i, (p_partkey*7%40) j FROM part WHERE p_partkey%10<7)"

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,7 +45,7 @@ def newest(samples: DataFrame, n: int) -> DataFrame:
 def store_batches(path: str, arrival: str = "arrival_id") -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each batch is one directory, so a batch that is tried again replaces itself.
 
-    Readers settle repeated keys with upserted(); compact() rewrites the store.
+    Readers settle repeated keys with upserted(); compacted() writes a settled copy.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -54,6 +54,18 @@ def store_batches(path: str, arrival: str = "arrival_id") -> Callable[[DataFrame
     return write
 
 
+def compacted(store: DataFrame, path: str, arrival: str = "arrival_id") -> None:
+    """Writes the settled samples of a store to another path, sorted by sensor and time in each file."""
+    upserted(store, arrival).drop("batch").repartition("sensor_id").sortWithinPartitions("sensor_id", "timestamp").write.parquet(path)
+
+
+def metrics(samples: DataFrame, accepted: Column, timestamp: str, now: str) -> DataFrame:
+    """One row: accepted and rejected samples, and the latest and the largest lag of accepted ones, at least 0."""
+    lag = F.when(accepted, F.greatest(F.col(now) - F.col(timestamp), F.lit(0.0)))
+    latest = F.max_by(lag, F.when(accepted, F.struct(now, timestamp)))
+    return samples.agg(F.count_if(accepted).alias("accepted_samples"), F.count_if(~accepted).alias("rejected_samples"), F.coalesce(latest, F.lit(0.0)).alias("latest_lag_seconds"), F.coalesce(F.max(lag), F.lit(0.0)).alias("maximum_lag_seconds"))
+
+
 def windowed(stream: DataFrame, ts: str, by: str, x: str, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Count, mean, minimum and maximum per sensor and event-time window, with a watermark for late samples."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
