@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from .common import components, discard, id_filter, maybe_in, skew_lookup, stored
 from .decontaminate import words
 
-ROUNDS = 8  # without effect: there are no leaders any more, but a test sets it
 BLOCK = 2048  # members of a large bucket that a task compares with as many others
 BLOCK_GRAMS = 1_000_000  # n-grams that the members of a block hold together, about
 SKETCH = 128  # bits of a text's sketch, one a MinHash
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 100_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -181,26 +180,39 @@ def _open_pairs(table: pa.Table, threshold: float, flips: int) -> tuple[np.ndarr
 
 
 def _links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, ok: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs among those marked in ok whose sets have a Jaccard similarity of threshold or more."""
-    size = np.array([len(g) for g in grams])
-    x, y = np.nonzero(ok)
-    if len(x) * size.mean() < 4 * size.sum():  # few pairs: each by itself
-        both = np.array([np.isin(grams[left[a]], grams[right[b]], assume_unique=True, kind="sort").sum() for a, b in zip(x, y)], np.int64)
-    else:  # many pairs: products of 0-1 matrices, over the n-grams that several texts hold
+    """(n, root) of each row: how many of the pairs marked in ok it is in whose sets have a Jaccard similarity of threshold
+    or more, and the least row of its connected component. Pairs are settled in strips, which bounds the memory."""
+    size = np.array([len(g) for g in grams], np.int32)
+    n, root = np.zeros(len(grams), np.int64), np.arange(len(grams))
+    common = None
+    if np.count_nonzero(ok) * size.mean() >= 4 * size.sum():  # many pairs: products of 0-1 matrices, over the n-grams that several texts hold
         _, term, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(grams)), size)[held[term] > 1]
-        term = (np.cumsum(held > 1) - 1)[term[held[term] > 1]]
+        several = held > 1
+        term = term.astype(np.int32)
+        shared = several[term]
+        owner, term = np.repeat(np.arange(len(grams), dtype=np.int32), size)[shared], (np.cumsum(several, dtype=np.int32) - 1)[term[shared]]
         order = np.argsort(term, kind="stable")
         owner, term = owner[order], term[order]
         common = np.zeros(ok.shape, np.float32)  # counts below 2**24 are exact
-        for first in range(0, int(term[-1]) + 1 if len(term) else 0, 2048):
-            lo, hi = np.searchsorted(term, [first, first + 2048])
-            m = np.zeros((len(grams), 2048), np.float32)
+        for first in range(0, int(term[-1]) + 1 if len(term) else 0, 1024):
+            lo, hi = np.searchsorted(term, [first, first + 1024])
+            m = np.zeros((len(grams), 1024), np.float32)
             m[owner[lo:hi], term[lo:hi] - first] = 1
             common += m[left] @ m[right].T
-        both = common[x, y].astype(np.int64)
-    similar = both / (size[left[x]] + size[right[y]] - both) >= threshold
-    return left[x[similar]], right[y[similar]]
+    for lo in range(0, len(left), 128):
+        x, y = np.nonzero(ok[lo : lo + 128])
+        if not len(x):
+            continue
+        if common is None:  # few pairs: each by itself
+            both = np.array([np.isin(grams[left[lo + a]], grams[right[b]], assume_unique=True, kind="sort").sum() for a, b in zip(x, y)], np.int64)
+        else:
+            both = common[lo + x, y].astype(np.int64)
+        x, y = left[lo + x], right[y]
+        similar = both / (size[x] + size[y] - both) >= threshold
+        x, y = x[similar], y[similar]
+        n += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+        root = _forest(len(n), np.concatenate([x, np.arange(len(n))]), np.concatenate([y, root]))
+    return n, root
 
 
 def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -243,11 +255,11 @@ def compare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for table in _groups(batches):
             left, right, ok = _open_pairs(table, threshold, flips)
             grams = [g for c in table.column("grams").chunks for g in np.split(c.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(c).to_numpy())[:-1])]
-            x, y = _links(grams, left, right, ok, threshold)
-            if len(x):
-                ids, n = table.column("id").to_numpy(), np.bincount(np.concatenate([x, y]), minlength=table.num_rows)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(ids[_forest(table.num_rows, x, y)[at]])], ["id", "n", "root"])
+            n, root = _links(grams, left, right, ok, threshold)
+            at = np.flatnonzero(n)
+            if len(at):
+                ids = table.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(ids[root[at]])], ["id", "n", "root"])
 
     needed = stored(grouped(placed).mapInArrow(sift, placed.schema), "open")
     out = stored(grouped(needed.join(sets, ["id", "digest"])).mapInArrow(count, "id long, n long, root long"), "found")

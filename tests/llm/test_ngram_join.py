@@ -78,7 +78,6 @@ def test_chains_across_leaders(spark):
 
 def test_blocks_of_large_buckets_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 8)
-    monkeypatch.setattr(N, "ROUNDS", 1)
     rows = corpus([(60, 10), (40, 14)], 3)
     got = joined(spark, rows)
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
