@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_BITS = 32768  # bits of one page of a broadcast filter
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 PAGES_AT_MOST = 2048  # 8 MB: bound of a broadcast filter at every input size
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs locally."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
@@ -29,10 +32,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most ``size`` on their way to Python, whatever the length of texts, unless the session has a bound of its own."""
+    if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here and survives lost executors."""
+    """df written to the shared folder and read back: lineage ends here and survives lost executors.
+
+    Zstandard streams over the heap, while the default codec holds a direct buffer a column until a full collection.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -55,11 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def skew_lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: int, keys_at_most: int = 1000) -> DataFrame:
-    """Inner join of rows with an index of one row per key, where column ``size`` counts a key's rows.
+def skew_lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: int, keys_at_most: int = 1000, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of rows with an index of one row per key, where column ``size`` counts a key's rows.
 
     Keys that hold over 1/keys_at_most of all rows go by broadcast; by counting there are at most keys_at_most
     of them, whatever the input. The rest go by an ordinary join, in which no key is then hot.
@@ -68,7 +81,7 @@ def skew_lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: i
     hot = index.filter(F.col(size) >= hot_size)
     cold = index.filter(F.col(size) < hot_size)
     by_broadcast = rows.join(F.broadcast(hot), key)
-    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return by_broadcast.unionByName(by_shuffle)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 DIMENSIONS = 1 << 18
-MEMO_TOKENS = 400_000
+MEMO_TOKENS = 150_000
 MAX_LABELLED = 20_000  # bound of the sample that the model is fitted on
 
 
@@ -40,7 +40,7 @@ def _shape(word: str) -> str:
     """The kind of a word: its case if it is all letters, else its signs with letters and digits as a and 0, runs as one."""
     if word.isalpha():
         return "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else "aA"
-    return regex.sub(r"(.)\1+", r"\1", "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]))[:12]
+    return regex.sub(r"(.)\1+", r"\1", "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 class _Tokens(dict):
@@ -48,7 +48,7 @@ class _Tokens(dict):
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         word = token.rstrip(_MARKS)
-        shape = _feature(_SHAPE, (_shape(word) + token[len(word) :][:4]).encode("utf-8", "surrogatepass"))
+        shape = _feature(_SHAPE, (_shape(word) + token[len(word) :]).encode("utf-8", "surrogatepass"))
         if word := word.lstrip(_MARKS).lower():
             raw = word.encode("utf-8", "surrogatepass")
             out = shape, _feature(_WORD, raw), _feature(_FIRST4, word[:4].encode("utf-8", "surrogatepass")), _feature(_FIRST5, word[:5].encode("utf-8", "surrogatepass"))
@@ -85,6 +85,8 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
     fitted: bool = True  # False: there was nothing to fit it on
+    steps: int = 0
+    gain: float = 0.0  # the last step's share of the loss; the fit has converged if it is below the tolerance
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. as columns."""
@@ -130,8 +132,11 @@ def featurise(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("grade").cast("int").alias("grade"), F.col("text").cast("string").alias("text")).mapInArrow(run, "grade int, features array<int>")
 
 
-def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int = 20, tasks: int = 8) -> OrdinalModel:
-    """Fits rows (grade, text) with grades 0..grades-1. Without rows, all weights are zero and every grade is as likely."""
+def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int = 20, tolerance: float = 1e-3, tasks: int = 8) -> OrdinalModel:
+    """Fits rows (grade, text) with grades 0..grades-1. Without rows, all weights are zero and every grade is as likely.
+
+    It ends when a step lowers the loss by less than tolerance of it, or after ``steps``; the model says which.
+    """
     spark = labelled.sparkSession
     table = stored(featurise(labelled), "features")
     sample = table.coalesce(tasks)
@@ -163,7 +168,9 @@ def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int
         discard(table)
         return OrdinalModel(np.zeros(DIMENSIONS), np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)), fitted=False)
     memory: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(steps):
+    taken, gain = 0, np.inf
+    while taken < steps and gain >= tolerance:
+        taken += 1
         d, alphas = g.copy(), []
         for s, y in reversed(memory):
             alphas.append(s @ d / (s @ y))
@@ -181,12 +188,18 @@ def fit(labelled: DataFrame, grades: int = 3, *, ridge: float = 0.1, steps: int
         s, y = new - x, g2 - g
         if s @ y > 1e-12:
             memory = [*memory[-7:], (s, y)]
-        done = f - f2 < 1e-3 * abs(f)
+        gain = (f - f2) / abs(f)
         x, f, g = new, f2, g2
-        if done:
-            break
     discard(table)
-    return OrdinalModel(x[:DIMENSIONS].copy(), _thresholds(x[DIMENSIONS:]))
+    return OrdinalModel(x[:DIMENSIONS].copy(), _thresholds(x[DIMENSIONS:]), steps=taken, gain=float(gain))
+
+
+def _scores(texts: pa.Array, model: OrdinalModel, memo: _Tokens) -> np.ndarray:
+    out = np.empty(len(texts))
+    for i, text in enumerate(texts):
+        found = features(text.as_py(), memo)
+        out[i] = model.weights[found].sum(dtype=float) * len(found) ** -0.25
+    return out
 
 
 def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,17 +213,31 @@ def predict(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, m = _Tokens(), sent.value
         for batch in batches:
-            score = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(1)):
-                found = features(text.as_py(), memo)
-                score[i] = m.weights[found].sum(dtype=float) * _scale(np.array([len(found)]))[0]
-            tails = m.tails(score)
+            tails = m.tails(_scores(batch.column(1), m, memo))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array((tails >= 0.5).sum(axis=1).astype(np.int32))], ["doc_id", "expected_grade", "tails", "grade"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, tails array<double>, grade int")
 
 
+def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", *, least_tail: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose P(best grade) is at least least_tail; all rows if the model isn't fitted.
+
+    Batches are filtered where they are: no join and no shuffle, so null and repeated ids play no part.
+    """
+    if not model.fitted:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(OrdinalModel(model.weights.astype(np.float32), model.thresholds))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, m = _Tokens(), sent.value
+        for batch in batches:
+            yield batch.filter(pa.array(m.tails(_scores(batch.column(at), m, memo))[:, -1] >= least_tail))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(grade, text) of at most max_labelled labelled documents: toxic 0, else poor quality 1, else 2.
 

@@ -76,3 +76,43 @@ def test_documents_whose_own_grade_is_best_are_kept(spark, monkeypatch):
         monkeypatch.setattr(Q, "fit", lambda *a, **k: Q.OrdinalModel(np.zeros(Q.DIMENSIONS), np.array([at - 1, at])))
         (r,) = Q.classify(docs, docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
         assert r.keep == (p > 0.5) == (r.grade == 2)
+
+
+def test_matches_brute_force(spark, model):
+    """Scores by definition from the model's weights, and a fit as good as that of many plain gradient steps."""
+    rows = corpus(60)
+    got = {r.doc_id: r for r in Q.predict(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), model).collect()}
+    for i, text, _ in rows:
+        seen = set()
+        for token in text.split():
+            word = token.rstrip(Q._MARKS)
+            seen.add(Q._feature(Q._SHAPE, (Q._shape(word) + token[len(word) :]).encode()))
+            if word := word.lstrip(Q._MARKS).lower():
+                seen |= {Q._feature(Q._WORD, word.encode()), Q._feature(Q._FIRST4, word[:4].encode()), Q._feature(Q._FIRST5, word[:5].encode())}
+        tokens = text.split()
+        seen.add(Q._feature(Q._REPEATS, b"%d" % round(10 * sum(a == b for a, b in zip(tokens, tokens[1:])) / len(tokens))))
+        score = sum(float(np.float32(model.weights[f])) for f in seen) / len(seen) ** 0.25
+        tails = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert np.allclose(got[i].tails, tails, atol=1e-6) and got[i].grade == sum(t >= 0.5 for t in tails)
+
+    train, memo = corpus(), Q._Tokens()
+    found = [Q.features(t, memo) for _, t, _ in train]
+    grade, flat, size = np.array([g for _, _, g in train]), np.concatenate(found), np.array([len(f) for f in found])
+
+    def loss(x):
+        f, g = Q._loss(x, grade, flat, size, 3)
+        g[: Q.DIMENSIONS] += 0.1 * x[: Q.DIMENSIONS]
+        return f + 0.05 * x[: Q.DIMENSIONS] @ x[: Q.DIMENSIONS], g
+
+    x = np.concatenate([np.zeros(Q.DIMENSIONS), [-1.0, 0.0]])
+    for _ in range(300):
+        x -= 0.02 * loss(x)[1]
+    own = np.concatenate([model.weights, [model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])]])
+    assert loss(own)[0] <= 1.05 * loss(x)[0] and (model.gain < 1e-3 or model.steps == 20)
+
+
+def test_shapes_are_whole():
+    long_ = "a1" * 40
+    assert Q._shape(long_ + "-") != Q._shape(long_) and Q._shape(long_ + "-b") != Q._shape(long_ + "-")
+    memo = Q._Tokens()
+    assert Q.features("word!!!!?", memo).tolist() != Q.features("word!!!!", memo).tolist()
