@@ -6,7 +6,7 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, common, decontaminate, exact_dedup, ngram_join, quality, registry
@@ -16,30 +16,33 @@ ROW = "row_"  # a stage's own name of a row: ids may be null or repeat
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with ROW, stored, so that every reader sees the same numbers."""
-    return common.stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """docs with ROW, a number of each row whose order is that of doc_id, nulls last.
 
-
-def _keep(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows that found has in its column doc_id, which holds ROW."""
-    return rows.join(found.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").drop(ROW)
+    If no id is null or repeats, it is the id. Else docs are stored in the order of ids with numbers, so that every
+    reader sees the same ones; the text's hash splits ids that very many rows share over several tasks.
+    """
+    common.bounded_batches(docs.sparkSession)
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return common.stored(in_order.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def _keep_first(rows: DataFrame, found: DataFrame, group: str, *order: Column) -> DataFrame:
-    """The first row of each group of found: by order, then by doc_id, nulls last, then by ROW."""
-    named = found.select(F.col("doc_id").alias(ROW), F.col(group).alias("group_"))
-    first = F.min(F.struct(*order, F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias(ROW))).alias("first")
-    return _keep(rows, named.join(rows, ROW).groupBy("group_").agg(first).select(F.col(f"first.{ROW}").alias("doc_id")))
+def _without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows less those that found names in its column doc_id, which holds ROW; a bitmap keeps most others out of the join."""
+    gone = common.stored(found.select(F.col("doc_id").alias(ROW)), "gone")
+    pages, slot = common.id_filter(gone, gone.count())
+    flagged = common.flag_in(rows, F.col(ROW), pages, slot)
+    rest = flagged.filter("found").drop("found").join(gone, ROW, "left_anti")
+    return flagged.filter("not found").drop("found").unionByName(rest).drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are probably toxic or of poor quality: P(best grade) under 0.5; none without labels.
 
-    Each row is judged by its own text, with a null or repeated id too; a null id has no label.
+    Each row is judged by its own text, with a null or repeated id too; a null id has no label. An empty table stays empty.
     """
-    labels = common.table(spark, sf_dir, "labels")
-    rows = _numbered(docs, "quality_rows")
-    return _keep(rows, quality.classify(rows, rows, labels, id_col=ROW).filter("keep"))
+    return quality.select(docs, quality.fit(quality.graded(docs, common.table(spark, sf_dir, "labels"))))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null ids come last among equals. Of rows that repeat an id each stands for its own text; a repeated row stays once.
     """
     rows = _numbered(docs, "exact_rows")
-    return _keep_first(rows, exact_dedup.exact_dedup(rows, ROW), "digest", -F.coalesce(F.length("text"), F.lit(0)))
+    return _without(rows, exact_dedup.exact_dedup(rows, ROW).filter(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null ids come last in a class. Rows that repeat an id are in the classes of their own texts.
     """
     rows = _numbered(docs, "near_rows")
-    return _keep_first(rows, ngram_join.ngram_join(rows, ROW), "class_id")
+    return _without(rows, ngram_join.ngram_join(rows, ROW).filter(F.col("doc_id") != F.col("class_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,11 +69,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Each row is judged by its own text, with a null or repeated id too.
     """
     rows = _numbered(docs, "decontamination_rows")
-    return _keep(rows, decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), ROW).filter(~F.col("contaminated")))
+    found = decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), ROW)
+    return _without(rows, found.filter("contaminated"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row that is left; ids pass through."""
+    common.bounded_batches(spark)
     found = bpe.encode_decode(docs, registry.tokenizer_path())
     return found.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
