@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, id_filter, maybe_in, skew_lookup, stored
 
+PER_PART = 2000  # index rows of a hot key that a part of its probes meets
 LEAST_CHARS = 1  # default floor of near-duplicates; lines of k or fewer code points, all within k edits of each other, have none anyhow
 
 
@@ -49,18 +50,19 @@ def line_links(lines: DataFrame, k: int, least_chars: int = LEAST_CHARS) -> Data
     keyed = _keyed(long_, k)
     # Somebody's segment must be met by somebody else: two index keys, or an index key and a probe that is no index key.
     counts = keyed.groupBy("key").agg(F.sum(F.col("index").cast("int")).alias("n_index"), F.sum((~F.col("index")).cast("int")).alias("n_probe"))
-    live = stored(counts.filter("n_index > 1 or (n_index = 1 and n_probe > 0)").select("key"), "live_keys")
-    pages, slot = id_filter(live, live.count())
-    held = stored(maybe_in(keyed, F.col("key"), pages, slot).join(live, "key", "left_semi"), "held_keys")
+    live = stored(counts.filter("n_index > 1 or (n_index = 1 and n_probe > 0)").select("key", F.ceil(F.col("n_index") / PER_PART).cast("int").alias("parts")), "live_keys")
+    pages, slot = id_filter(live.select("key"), live.count())
+    held = stored(maybe_in(keyed, F.col("key"), pages, slot).join(live, "key"), "held_keys")
     ids = held.select("lid").distinct()
     pages, slot = id_filter(ids, ids.count())
     sign = F.expr("aggregate(split(line, ''), 0L, (a, c) -> if(c = '', a, a ^ shiftleft(1L, pmod(ascii(c), 63))))")
     texts = stored(maybe_in(long_, F.col("lid"), pages, slot).withColumn("sign", sign), "live_lines")
     signed = held.join(texts.select("lid", "sign"), "lid")
-    index = signed.filter("index").select("key", F.col("lid").alias("b"), F.col("sign").alias("sb"))
-    probe = signed.select("key", "shorter", F.col("lid").alias("a"), F.col("sign").alias("sa"))
+    # A hot key's probes are dealt to parts, each of which meets the whole index of the key.
+    index = signed.filter("index").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("sign").alias("sb"))
+    probe = signed.select("key", F.pmod(F.xxhash64("lid"), "parts").cast("int").alias("part"), "shorter", F.col("lid").alias("a"), F.col("sign").alias("sa"))
     meet = ((F.col("shorter") > 0) | (F.col("a") > F.col("b"))) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * k)
-    pairs = probe.join(index, "key").filter(meet).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = probe.join(index, ["key", "part"]).filter(meet).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.levenshtein("la", "lb", k).alias("distance"))
     out = stored(found.filter("distance > 0"), "line_links")
@@ -80,7 +82,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     numbered = F.expr(r"filter(transform(split(text, '\n'), (x, i) -> named_struct('no', i, 'line', trim(both ' \t\r\u000C' from x))), x -> x.line <> '')")
     each = rows.select("row", "doc_id", F.explode_outer(numbered).alias("x")).select("row", "doc_id", F.col("x.no").alias("line_no"), F.col("x.line").alias("line"))
-    each = each.select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))  # 128 bits name a line
+    each = each.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))  # 128 bits name a line: the second hash has another seed
     places = stored(each.select("row", "doc_id", "line_no", "k1", "k2"), "places")
     real = each.filter("line_no is not null")
     lines = stored(real.groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("lid"), "k1", "k2", "line", F.length("line").alias("len"), "n"), "lines")

@@ -72,7 +72,8 @@ def test_matches_brute_force(spark, k):
     assert {key: (r.n_links, r.kept) for key, r in by_line.items()} == {key: w[1:] for key, w in want.items()}
     assert len({(by_line[key].class_id, w[0]) for key, w in want.items()}) == len({w[0] for w in want.values()}) == len({r.class_id for r in by_line.values()})
     docs = {r.doc_id: r for r in L.by_document(got).collect()}
-    assert len(docs) == len(rows) and docs[100].n_lines == docs[101].n_lines == 0 and docs[103].removed == [1] or docs[103].n_removed == 2
+    assert len(docs) == len(rows) and docs[100].n_lines == docs[101].n_lines == 0
+    assert docs[103].removed in ([1], [0, 1]) and docs[103].n_removed == len(docs[103].removed)
 
 
 def test_repeated_rows_and_empty(spark):
@@ -95,3 +96,14 @@ def test_short_lines_have_near_duplicates(spark, k):
     of = {lines[r.doc_id]: r.class_id for r in got}
     assert of["All rights reserved."] == of["All rights reserved"] and of["a"] != of["b"]
     assert all(of[x] == of[y] for x in lines for y in near[x])
+
+
+def test_many_variants_of_a_template(spark):
+    # All lines share both outer segments; few are within two edits of each other.
+    n, rng = 20_000, random.Random(4)
+    numbers = [f"{rng.randrange(10**10):010d}" for _ in range(n)]
+    numbers += [x[:3] + ("1" if x[3] == "0" else "0") + x[4:] for x in numbers[:50]]
+    lines = [f"GET /index/page/of/the/site request {x} was done in time" for x in numbers]
+    got = L.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    links = {r.doc_id: r.n_links for r in got.collect()}
+    assert all(links[i] >= 1 and links[n + i] >= 1 for i in range(50)) and sum(links.values()) < 1000
