@@ -19,103 +19,145 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ALPHABETS = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="}
-#: Candidates that are no secrets: placeholders, counted-up alphabets, repeated signs, slugs and paths of words.
-ALLOWED = (
-    r"(?i)example|sample|placeholder|changeme|dummy|redacted",
-    r"(?i)abcdefgh|01234567|qwertyui",
-    r"(.)\1{7,}",
-    r"^[a-z]+([-_/][a-z]+)*([-_/]?[0-9]{1,4})?$",
-)
+#: What is no secret inside a candidate: placeholders, counted-up alphabets, repeated signs. No window overlaps a match.
+ALLOWED = r"(?i:example|sample|placeholder|changeme|dummy|redacted|abcdefgh|01234567|qwertyui)|(.)\1{7,}"
+#: Whole candidates that are no secrets: slugs and paths of words, with a number of four digits at most.
+BENIGN = r"^[a-z][a-z/_-]*[0-9]{0,4}$"
+_SPANS = "array<struct<start:int,end:int>>"
+_EMPTY = f"cast(array() as {_SPANS})"
+_BLOCK = 256  # elements of a block of a running fold
+_UNIT = 1 << 20  # units of n*log2(n): sums of whole numbers don't depend on their order
 
 
 @dataclass(frozen=True)
 class Entropy:
-    """Windows of ``window`` signs whose Shannon entropy in bits reaches the class's threshold."""
+    """Windows of ``window`` signs (at most 31) with a digit and a letter whose Shannon entropy in bits reaches the class's threshold."""
 
     window: int = 24
     least: dict[str, float] = field(default_factory=lambda: {"hex": 3.2, "base64": 3.95})
-    allowed: tuple[str, ...] = ALLOWED
+    allowed: str = ALLOWED
+    benign: str = BENIGN
 
 
 def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with value bound to a name, so that a lambda in body doesn't evaluate it for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, both: str) -> str:
+    """SQL: running fold of an array of int by ``both`` of {a} and {b}, from 0.
+
+    In blocks, because SQL can only append to an array by copying it.
+    """
+    add = lambda a, b: f"concat({a}, array({both.format(a=f'element_at({a}, -1)', b=b)}))"
+    blocks = f"transform(sequence(0, greatest(size(v_) - 1, 0), {_BLOCK}), s_ -> slice(v_, s_ + 1, {_BLOCK}))"
+    before = f"aggregate(k_, array(0), (a_, b_) -> {add('a_', f"aggregate(b_, 0, (y_, x_) -> {both.format(a='y_', b='x_')})")})"
+    inside = f"(b_, f_) -> slice(aggregate(b_, array(f_), (a_, x_) -> {add('a_', 'x_')}), 2, size(b_))"
+    return _let("v_", values, _let("k_", blocks, f"flatten(zip_with(k_, slice({before}, 1, size(k_)), {inside}))"))
+
+
 def _placed(found: str, between: str) -> str:
     """SQL: (start, end) of each match, from the matches and the parts between them; code points, end exclusive."""
-    return f"""
-      if(size({found}) = 0, cast(array() as array<struct<start:int,end:int>>),
-        aggregate(sequence(0, size({found}) - 1),
-          named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)),
-          (a, i) -> named_struct(
-            'at', a.at + length({between}[i]) + length({found}[i]),
-            'out', concat(a.out, array(named_struct('start', a.at + length({between}[i]), 'end', a.at + length({between}[i]) + length({found}[i]))))),
-          a -> a.out))"""
+    length = f"zip_with({found}, slice({between}, 1, size({found})), (f_, g_) -> length(f_) + length(g_))"
+    return f"zip_with({_running(length, '{a} + {b}')}, {found}, (e_, f_) -> named_struct('start', e_ - length(f_), 'end', e_))"
 
 
-def _windows(text: str, letters: str, window: int, least: str) -> str:
-    """SQL: merged (start, end) of the windows of a candidate whose entropy is at least ``least``.
+def _matches(text: str, pattern: str) -> str:
+    """SQL: (start, end) of the pattern's matches in a text; null if there are none."""
+    found = f"regexp_extract_all({text}, {_lit(pattern)}, 0)"
+    return _let("m_", found, f"if(size(m_) = 0, cast(null as {_SPANS}), {_let('p_', f'split({text}, {_lit(pattern)}, -1)', _placed('m_', 'p_'))})")
 
-    Counts per sign are kept while the window slides: one sign comes, one goes, and the sum of n*log2(n) follows.
+
+def _windows(text: str, signs: str, fold_case: bool, e: Entropy, least: float) -> str:
+    """SQL: starts of the windows of a string of ASCII signs that reach the entropy and hold a digit and a letter.
+
+    While the window slides, one sign comes and one goes; their counts are kept, five bits a sign and twelve signs a
+    long, and so is the sum of n*log2(n). A fold serves 64 windows, a bit each, so the work is linear in the string.
     """
-    xlog = "array(" + ",".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
-    came = f"instr({letters}, substring({text}, i + 1, 1)) - 1"
-    went = f"if(i >= {window}, instr({letters}, substring({text}, i - {window} + 1, 1)) - 1, -1)"
-    # Two folds in one: b adds the sign that comes and the one that goes, a then opens or extends a span.
-    step = f"""
-      aggregate(array({came}), named_struct('n', a.n, 's', a.s, 'open', a.open, 'close', a.close, 'out', a.out),
-        (b, c) -> named_struct(
-          'n', transform(b.n, (x, k) -> x + int(k = c) - int(k = {went})),
-          's', b.s + if(c = {went}, 0D, {xlog}[b.n[c] + 1] - {xlog}[b.n[c]] + if({went} < 0, 0D, {xlog}[b.n[{went}] - 1] - {xlog}[b.n[{went}]])),
-          'open', b.open, 'close', b.close, 'out', b.out),
-        b -> if(i < {window} - 1 or {math.log2(window)!r}D - b.s / {window} < {least},
-          b,
-          if(b.open >= 0 and i - {window} + 1 <= b.close,
-            named_struct('n', b.n, 's', b.s, 'open', b.open, 'close', i + 1, 'out', b.out),
-            named_struct('n', b.n, 's', b.s, 'open', i - {window} + 1, 'close', i + 1,
-              'out', if(b.open < 0, b.out, concat(b.out, array(named_struct('start', b.open, 'end', b.close))))))))"""
-    return f"""
-      aggregate(sequence(0, length({text}) - 1),
-        named_struct('n', array_repeat(0, length({letters})), 's', 0D, 'open', -1, 'close', -1, 'out', cast(array() as array<struct<start:int,end:int>>)),
-        (a, i) -> {step},
-        a -> if(a.open < 0, a.out, concat(a.out, array(named_struct('start', a.open, 'end', a.close)))))"""
+    w = e.window
+    slots = [-1] * 128
+    for i, c in enumerate(signs):
+        slots[ord(c)] = i
+        if fold_case:
+            slots[ord(c.upper())] = i
+    sign = "array(" + ",".join(f"named_struct('id',{i},'w',{i // 12},'sh',{5 * (i % 12)},'one',{1 << 5 * (i % 12)}L,'d',{int(chr(c).isdigit())},'l',{int(chr(c).isalpha())})" if i >= 0 else "null" for c, i in enumerate(slots)) + ")"
+    xlog = "array(" + ",".join(f"{round(n * math.log2(n) * _UNIT) if n else 0}L" for n in range(w + 2)) + ")"
+    bound = math.floor((math.log2(w) - least) * w * _UNIT)
+    came, went = "part_[i_]", f"get(part_, i_ - {w})"
+    held = lambda x: f"cast(shiftright(a_.n[{x}.w], {x}.sh) & 31L as int)"
+    high = f"a_.s <= {bound}L and a_.d > 0 and a_.l > 0"
+    step = f"""named_struct(
+        'n', transform(a_.n, (x_, k_) -> x_ + if(k_ = {came}.w, {came}.one, 0L) - if(k_ = {went}.w, {went}.one, 0L)),
+        's', a_.s + if({came}.id = {went}.id, 0L, {xlog}[{held(came)} + 1] - {xlog}[{held(came)}]
+            + if({went} is null, 0L, {xlog}[{held(went)} - 1] - {xlog}[{held(went)}])),
+        'd', a_.d + {came}.d - coalesce({went}.d, 0),
+        'l', a_.l + {came}.l - coalesce({went}.l, 0),
+        'bits', if(i_ >= {w} and {high}, a_.bits | shiftleft(1L, i_ - {w}), a_.bits))"""
+    start = f"named_struct('n', array_repeat(0L, {-(-len(signs) // 12)}), 's', 0L, 'd', 0, 'l', 0, 'bits', 0L)"
+    bits = f"aggregate(sequence(0, size(part_) - 1), {start}, (a_, i_) -> {step}, a_ -> if({high}, a_.bits | shiftleft(1L, size(part_) - {w}), a_.bits))"
+    marked = "if(bits_ = 0L, cast(array() as array<int>), filter(transform(sequence(0, 63), b_ -> if((shiftright(bits_, b_) & 1L) = 1L, from_ + b_, -1)), y_ -> y_ >= 0))"
+    each = _let("part_", f"slice(codes_, from_ + 1, {63 + w})", _let("bits_", bits, marked))
+    return _let("codes_", f"transform(split({text}, ''), c_ -> {sign}[ascii(c_)])", f"flatten(transform(sequence(0, size(codes_) - {w}, 64), from_ -> {each}))")
 
 
 def _labelled(spans: str, order: int, kind: str) -> str:
     return f"transform({spans}, x -> named_struct('start', x.start, 'kind_order', {order}, 'end', x.end, 'kind', '{kind}'))"
 
 
+def _high(text: str, e: Entropy) -> str:
+    """SQL: merged (start, end) of the windows of high entropy in a text.
+
+    A unit is a string to slide over and its place: the parts of a candidate between its allowed matches, and the runs
+    of hexadecimal digits in them.
+    """
+    cand, hexa = f"[A-Za-z0-9+/_=-]{{{e.window},}}", f"[0-9A-Fa-f]{{{e.window},}}"
+    both = lambda x: f"length({x}) >= {e.window} and {x} rlike '[0-9]' and {x} rlike '[A-Za-z]'"
+    unit = lambda s, at: f"named_struct('s', {s}, 'at', {at})"
+    # Parts of candidate c_ between its allowed matches m2_, which stand at w2_.
+    parts = _let("r_", f"split(c_, {_lit(e.allowed)}, -1)", _let("w2_", _placed("m2_", "r_"), f"transform(r_, (q_, j_) -> {unit('q_', 'coalesce(get(w2_, j_ - 1).end, 0)')})"))
+    parts = _let("m2_", f"regexp_extract_all(c_, {_lit(e.allowed)}, 0)", f"if(size(m2_) = 0, array({unit('c_', '0')}), {parts})")
+    parts = f"transform(filter({parts}, u_ -> {both('u_.s')}), u_ -> {unit('u_.s', 'u_.at + o_.start')})"
+    units = f"flatten(zip_with(c0_, o0_, (c_, o_) -> if({both('c_')} and not (c_ rlike {_lit(e.benign)}), {parts}, cast(array() as array<struct<s:string,at:int>>))))"
+    units = _let("c0_", f"regexp_extract_all({text}, {_lit(cand)}, 0)", f"if(size(c0_) = 0, cast(null as array<struct<s:string,at:int>>), {_let('o0_', _let('r0_', f'split({text}, {_lit(cand)}, -1)', _placed('c0_', 'r0_')), units)})")
+    digits = f"zip_with(h_, {_placed('h_', 'n_')}, (z_, o_) -> {unit('z_', 'o_.start + u_.at')})"
+    runs = _let("h_", f"regexp_extract_all(u_.s, {_lit(hexa)}, 0)", f"if(size(h_) = 0, cast(array() as array<struct<s:string,at:int>>), {_let('n_', f'split(u_.s, {_lit(hexa)}, -1)', digits)})")
+    runs = f"filter(flatten(transform(units_, u_ -> {runs})), u_ -> {both('u_.s')})"
+    found = [f"flatten(transform({us}, u_ -> transform({_windows('u_.s', ALPHABETS[k], k == 'hex', e, e.least[k])}, x_ -> x_ + u_.at)))" for us, k in (("units_", "base64"), (runs, "hex"))]
+    opens = f"filter(q_, (x_, i_) -> coalesce(x_ > get(q_, i_ - 1) + {e.window}, true))"
+    closes = f"filter(q_, (x_, i_) -> coalesce(get(q_, i_ + 1) > x_ + {e.window}, true))"
+    spans = _let("q_", f"array_sort(array_distinct(concat({', '.join(found)})))", f"zip_with({opens}, {closes}, (a_, b_) -> named_struct('start', a_, 'end', b_ + {e.window}))")
+    return _let("units_", units, f"if(units_ is null or size(units_) = 0, {_EMPTY}, {spans})")
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, entropy: Entropy | None = Entropy()) -> DataFrame:
     """(doc_id, spans array<struct<start, kind_order, end, kind>>) for each row of docs, spans by start, then kind.
 
-    Kinds are those of BASE, leftmost and without overlap per kind, and ``entropy``: windows of high entropy that no
-    span of BASE covers. Null and empty texts have no spans. Null and repeated ids pass through; other columns are
-    ignored. An empty table gives an empty result.
+    Kinds are those of BASE, leftmost and without overlap per kind, and ``entropy``: merged windows of high entropy that
+    no span of BASE covers. A window lies in a candidate, a run of base64 signs; it holds a digit and a letter and
+    overlaps no match of ``allowed``; windows of hexadecimal digits only reach the lower threshold of their class.
+    Candidates that match ``benign`` have none. Null and empty texts have no spans. Null and repeated ids pass through;
+    other columns are ignored. An empty table gives an empty result. The work grows as the text, for a text of one
+    candidate or of many matches too.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    patterns = {k: p for k, p, _, _ in BASE}
-    if entropy:
-        patterns["cand"] = f"[A-Za-z0-9+/_=-]{{{entropy.window},}}"
-    rows = rows.select("doc_id", "text", *(F.expr(f"regexp_extract_all(text, {_lit(p)}, 0)").alias(f"{k}_all") for k, p in patterns.items()))
-    rows = rows.select("doc_id", "text", *(F.col(f"{k}_all") for k in patterns), *(F.expr(f"if(size({k}_all) = 0, cast(null as array<string>), split(text, {_lit(p)}, -1))").alias(f"{k}_gap") for k, p in patterns.items()), F.expr(f"if(size(assign_all) = 0, assign_all, regexp_extract_all(text, {_lit(BASE[0][1])}, 2))").alias("assign_value"))
-    rows = rows.select("doc_id", *(F.col(f"{k}_all") for k in patterns), "assign_value", *(F.expr(_placed(f"{k}_all", f"{k}_gap")).alias(f"{k}_at") for k in patterns))
     parts = []
-    for order, (kind, _, group, least) in enumerate(BASE):
-        size = "assign_value[i]" if group else f"{kind}_all[i]"
-        parts.append(_labelled(f"filter({kind}_at, (x, i) -> length({size}) >= {least})", order, kind))
+    for order, (kind, pattern, group, least) in enumerate(BASE):
+        at = _matches("text", pattern)
+        if group:  # its length counts, not the match's
+            long_ = f"zip_with(at_, regexp_extract_all(text, {_lit(pattern)}, {group}), (x_, g_) -> if(length(g_) >= {least}, x_, null))"
+            at = _let("at_", at, f"if(at_ is null, at_, filter({long_}, x_ -> x_ is not null))")
+        parts.append(_labelled(f"coalesce({at}, {_EMPTY})", order, kind))
+    rows = rows.select("doc_id", "text", F.array_sort(F.expr(f"concat({', '.join(parts)})")).alias("base"))
     if not entropy:
-        return rows.select("doc_id", F.array_sort(F.expr(f"concat({', '.join(parts)})")).alias("spans"))
-    rows = rows.select("doc_id", "cand_all", "cand_at", F.array_sort(F.expr(f"concat({', '.join(parts)})")).alias("base"))
-    allowed = " or ".join(f"cand rlike {_lit(p)}" for p in entropy.allowed) or "false"
-    hex_, b64 = (_windows(t, _lit(ALPHABETS[k]), entropy.window, f"{entropy.least[k]}D") for k, t in (("hex", "lower(cand)"), ("base64", "cand")))
-    windows = f"""
-      flatten(transform(cand_all, (cand, j) ->
-        transform(if(not (cand rlike '[0-9]' and cand rlike '[A-Za-z]') or {allowed}, cast(array() as array<struct<start:int,end:int>>),
-            if(cand rlike '^[0-9A-Fa-f]+$', {hex_}, {b64})),
-          w -> named_struct('start', cand_at[j].start + w.start, 'end', cand_at[j].start + w.end))))"""
-    rows = rows.select("doc_id", "base", F.expr(windows).alias("high"))
-    new = "filter(high, w -> not exists(base, x -> x.start <= w.start and x.end >= w.end))"
-    return rows.select("doc_id", F.array_sort(F.concat("base", F.expr(_labelled(new, len(BASE), "entropy")))).alias("spans"))
+        return rows.select("doc_id", F.col("base").alias("spans"))
+    kept = f"filter(all_, (x_, i_) -> x_.kind_order < {len(BASE)} or top_[i_] < x_.end)"
+    ends = f"transform(all_, x_ -> if(x_.kind_order < {len(BASE)}, x_.end, -1))"
+    merged = _let("all_", f"array_sort(concat(base, {_labelled('high_', len(BASE), 'entropy')}))", _let("top_", _running(ends, "greatest({a}, {b})"), kept))
+    return rows.select("doc_id", F.expr(_let("high_", _high("text", entropy), f"if(size(high_) = 0, base, {merged})")).alias("spans"))
 
 
 def written(spans: Column) -> Column:
