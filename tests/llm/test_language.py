@@ -41,3 +41,39 @@ def test_bundle_is_the_sum_of_bound_permuted_vectors():
 
 def test_empty(spark):
     assert L.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_matches_brute_force(spark):
+    """Profiles and cosines by definition: every trigram's vector is bound and added one by one."""
+    d, rows = 128, corpus(45)
+    rng = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (L.SIGNS, d)).astype(float)
+    table = L._fold_table()
+
+    def vector(text):
+        signs = [0]
+        for c in text:
+            s = int(table[min(ord(c), L.TABLE_END)])
+            if s or signs[-1]:
+                signs.append(s)
+        if signs[-1]:
+            signs.append(0)
+        v, counts = np.zeros(d), {}
+        for x, y, z in zip(signs, signs[1:], signs[2:]):
+            v += np.roll(rng[x], 2) * np.roll(rng[y], 1) * rng[z]
+            counts[x, y, z] = counts.get((x, y, z), 0) + 1
+        return v, sum(n * n for n in counts.values()) ** 0.5
+
+    sums = {}
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            v, size = vector(text)
+            sums[lang] = sums.get(lang, 0) + v / size
+    names = sorted(sums)
+    unit = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    unit -= unit.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, x string"), dimension=d).collect()}
+    for i, text, _, _ in rows:
+        v, _ = vector(text)
+        cosine = unit @ v / np.linalg.norm(v)
+        assert got[i].lang_pred == names[int(cosine.argmax())] and abs(got[i].score - (1 + cosine.max()) / 2) < 1e-5
