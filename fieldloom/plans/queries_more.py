@@ -19,7 +19,7 @@ from fieldloom.operators import rom
 from fieldloom.operators.frames import shared_root
 from fieldloom.streaming import sensors
 
-from .queries import _GRID, TIME, _grid, load, query, rounded, seconds
+from .queries import _GRID, SCALE, TIME, _grid, load, query, rounded, seconds
 
 LINES = ["l_orderkey", "l_linenumber"]
 
@@ -496,9 +496,10 @@ def bic_model_average(spark, sf_dir):
     return rounded(D.bic_weights(m).select("p_brand", "weight"), 8)
 
 
-@query("""WITH m AS (SELECT l_orderkey, sum(l_linenumber) w, sum(l_linenumber*l_quantity) p, sum(l_linenumber*l_quantity*l_quantity) q FROM lineitem GROUP BY 1) SELECT l_orderkey, round(p/w,6) average, round(greatest(q/w-(p/w)*(p/w),0),5) variance FROM m""")
+@query(f"""WITH d AS (SELECT *, l_quantity*{SCALE} x FROM lineitem), m AS (SELECT l_orderkey, sum(l_linenumber) w, sum(l_linenumber*x) p, sum(l_linenumber*x*x) q FROM d GROUP BY 1) SELECT l_orderkey, round(p/w,6) average, round(greatest(q/w-(p/w)*(p/w),0),5) variance FROM m""")
 def ensemble_variance(spark, sf_dir):
-    return rounded(D.ensemble(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber"), 6, variance=5)
+    d = load(spark, sf_dir, "lineitem").withColumn("x", F.col("l_quantity") * SCALE)
+    return rounded(D.ensemble(d, "l_orderkey", "x", "l_linenumber"), 6, variance=5)
 
 
 @query("""WITH d AS (SELECT l_quantity a, l_discount*100+1 b, l_extendedprice/1000 y FROM lineitem), g AS (SELECT sum(a*a) aa, sum(a*b) ab, sum(b*b) bb, sum(a*y) ay, sum(b*y) "by" FROM d),
