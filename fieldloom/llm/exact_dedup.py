@@ -1,19 +1,21 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-Level 0 are sorted runs: a memtable is the partial aggregation of a task, and each flush writes its digests sorted,
-with parquet's Bloom filters and row-group fences. Compaction merges all runs into one sorted level that keeps a
-row a digest: the row to keep and the number of rows. Rows that hit a digest held by another row are verified on
-their bytes; digests whose texts differ (a collision) are then split by the text itself.
+A memtable is what a task reads: it is sorted by digest and flushed as a run, without an exchange. A level is sorted
+too and holds a row a digest: the row to keep and the number of rows. Compaction merges runs and levels into a level; a
+further batch is flushed and merged with the level that is there. A level's filter, a bitmap of the digests that it
+holds more than once, tells most other rows that they are alone, so that only hits are looked up. Hits are verified
+on their bytes; digests whose texts differ (a collision) are then split by the text itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, maybe_in, scratch_path, shared_dir, skew_lookup
+from .common import discard, flag_in, id_filter, maybe_in, skew_lookup, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -27,9 +29,39 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def _write_run(df: DataFrame, path: str) -> DataFrame:
-    df.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _write(df: DataFrame, name: str) -> DataFrame:
+    """df, sorted by digest in each file, in the shared folder."""
+    return stored(df.sortWithinPartitions("digest"), name)
+
+
+def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Stored sorted runs (digest, doc_id, points, row) of docs, one a task; row tells rows apart that repeat an id."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(digest(normalised(text)).cast("string").alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("points"), F.monotonically_increasing_id().alias("row"))
+    return _write(rows, "runs")
+
+
+def as_level(runs: DataFrame) -> DataFrame:
+    """Runs in the shape of a level, not merged yet."""
+    return runs.select("digest", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("points").alias("keep_points"), F.col("row").alias("keep_row"))
+
+
+def compact(*levels: DataFrame) -> DataFrame:
+    """One stored level of several: of a digest the row with the most points, then the smallest id, nulls last, stays."""
+    every = reduce(DataFrame.unionByName, levels)
+    best = F.min(F.struct((-F.col("keep_points")).alias("p"), F.col("keep_id").isNull().alias("n"), F.col("keep_id").alias("d"), F.col("keep_row").alias("r")))
+    merged = every.groupBy("digest").agg(F.sum("group_size").alias("group_size"), best.alias("b"))
+    return _write(merged.select("digest", "group_size", F.col("b.d").alias("keep_id"), (-F.col("b.p")).alias("keep_points"), F.col("b.r").alias("keep_row")), "level")
+
+
+def _look_up(runs: DataFrame, level: DataFrame, flagged: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest): rows that the level's filter rules out are alone; the others are joined."""
+    several = level.filter("group_size > 1")
+    rows = flagged(runs)
+    hits = skew_lookup(rows.filter("found").drop("found"), several, "digest", "group_size", total, how="left")
+    hits = hits.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
+    alone = rows.filter("not found").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return hits.unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -40,52 +72,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equals. Of rows that repeat id and length in a group exactly one is kept. Other columns are ignored. An empty
     table gives an empty result. ``digest`` may be weak: equality is settled on bytes.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    norm = rows.select("doc_id", normalised(F.col("text")).alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("points"))
-
-    # Flush: one sorted run a task. Repeated (digest, id, length) rows collapse before the shuffle.
-    flushed = norm.groupBy(digest(F.col("norm")).cast("string").alias("digest"), "doc_id", "points").agg(F.count("*").alias("copies"))
-    runs = _write_run(flushed, scratch_path(spark, "runs"))
-    level = _compact(runs, ["digest"], scratch_path(spark, "level"))
-
-    shape = level.agg(F.sum("group_size"), F.sum(F.when(F.col("group_size") > 1, F.col("group_size")))).first()
-    total, n_hits = shape[0] or 0, shape[1] or 0
-    clash = None
-    if n_hits:
-        multi = level.filter("group_size > 1")
-        hits = skew_lookup(runs.select("digest", "doc_id"), multi.select("digest", "group_size"), "digest", "group_size", total)
-        pages, slot = id_filter(hits.select(F.coalesce("doc_id", F.lit(-1))), n_hits)
-        seen = maybe_in(rows, F.coalesce("doc_id", F.lit(-1)), pages, slot).select(normalised(F.col("text")).alias("norm"))
+    runs = flush(rows, digest=digest)
+    level = compact(as_level(runs))
+    n_several, total = level.agg(F.count_if(F.col("group_size") > 1), F.coalesce(F.sum("group_size"), F.lit(0))).first()
+    several = level.filter("group_size > 1").select("digest")
+    pages, slot = id_filter(several, n_several)
+    if n_several:
         # Byte verification: the least and the greatest text of a digest are the same bytes, or the digest collides.
-        ends = seen.groupBy(digest(F.col("norm")).cast("string").alias("digest")).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
-        clash = ends.filter("lo <> hi").select("digest")
-        clash = spark.read.schema(clash.schema).parquet(_put(clash, scratch_path(spark, "clash")))
-        if clash.isEmpty():
-            clash = None
-    if clash is not None:
-        # Exact way for collided digests: the text becomes part of the digest.
-        fixed = norm.withColumn("digest", digest(F.col("norm")).cast("string")).join(clash.withColumn("c", F.lit(1)), "digest", "left")
-        flushed = fixed.groupBy(F.when(F.col("c") == 1, F.concat_ws(":", "digest", "norm")).otherwise(F.col("digest")).alias("digest"), "doc_id", "points").agg(F.count("*").alias("copies"))
-        runs = _write_run(flushed, scratch_path(spark, "runs"))
-        level = _compact(runs, ["digest"], scratch_path(spark, "level"))
-
-    found = skew_lookup(runs, level, "digest", "group_size", total)
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    each = found.select("doc_id", "keep_id", "group_size", first.alias("first"), "digest", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "digest")
-
-
-def _put(df: DataFrame, path: str) -> str:
-    df.write.parquet(path)
-    return path
-
-
-def _compact(runs: DataFrame, key: list[str], path: str) -> DataFrame:
-    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d")))
-    merged = runs.groupBy(*key).agg(F.sum("copies").alias("group_size"), best.alias("best"))
-    return _write_run(merged.select(*key, "group_size", F.col("best.d").alias("keep_id"), (-F.col("best.p")).alias("keep_points")), path)
+        norm = rows.select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")).cast("string"))
+        ends = maybe_in(norm, F.col("digest"), pages, slot).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+        clash = stored(ends.filter("lo <> hi").select("digest"), "clash")
+        if not clash.isEmpty():
+            # Exact way for collided digests: the text becomes part of the digest.
+            fixed = rows.withColumn("norm", normalised(F.col("text"))).withColumn("digest", digest(F.col("norm")).cast("string")).join(clash.withColumn("c", F.lit(1)), "digest", "left")
+            exact = F.when(F.col("c") == 1, F.concat_ws(":", "digest", "norm")).otherwise(F.col("digest"))
+            discard(runs, level)
+            runs = _write(fixed.select(exact.alias("digest"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), F.monotonically_increasing_id().alias("row")), "runs")
+            level = compact(as_level(runs))
+            several = level.filter("group_size > 1").select("digest")
+            pages, slot = id_filter(several, several.count())
+        discard(clash)
+    return _look_up(runs, level, lambda df: flag_in(df, F.col("digest"), pages, slot), total)
 
 
 ORACLE = r"""

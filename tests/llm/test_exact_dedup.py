@@ -2,6 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from fieldloom.llm import exact_dedup as E
 from fieldloom.llm.exact_dedup import exact_dedup
 
 ROWS = [(1, "a b"), (2, "ab"), (3, " a\tb "), (4, None), (5, ""), (6, "é x"), (7, "éx"), (8, "zz"), (8, "zz"), (None, "z z"), (9, "long " * 5000), (10, "long" * 5000)]
@@ -38,3 +39,21 @@ def test_colliding_digests_are_split_on_bytes(spark):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_of_batches_merge_into_the_level_of_all(spark):
+    schema = "doc_id long, text string"
+    batches = [spark.createDataFrame(ROWS[i::3], schema) for i in range(3)]
+    level = E.compact(E.as_level(E.flush(batches[0])), E.as_level(E.flush(batches[1])))
+    level = E.compact(level, E.as_level(E.flush(batches[2])))
+    whole = E.compact(E.as_level(E.flush(spark.createDataFrame(ROWS, schema))))
+    shape = lambda df: sorted((tuple(r) for r in df.drop("keep_row").collect()), key=key)
+    assert shape(level) == shape(whole) and level.count() == len({x[3] for x in brute(ROWS)})
+
+
+def test_flush_has_no_exchange(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "cast(id % 7 AS string) AS text")
+    runs = E.flush(docs)
+    assert runs.rdd.getNumPartitions() >= 1 and runs.count() == 1000
+    found = exact_dedup(docs).collect()
+    assert sum(r.kept for r in found) == 7 and {r.keep_id for r in found} == set(range(7))
