@@ -2,16 +2,18 @@
 
 Every window of ``length`` bytes holds a suffix that its content alone picks: the one whose leading ``length // 2`` bytes
 hash lowest (the leftmost of equals). Equal windows pick it at the same offset, so only these suffixes, about one in
-a hundred, are compared. Suffixes whose leading bytes stand nowhere else are done. Equal surroundings collapse to one
-row, and all their windows repeat. What is left, where repeats begin and end, is range-partitioned by the hash of
-the leading bytes, with splitters that Spark samples, so a partition holds whole groups. Each partition sorts its
-suffixes to the right and to the left by bytes; neighbours' common lengths bound the windows that can repeat, and
-those are settled by window fingerprints. Groups too large for a task are settled by shuffling the fingerprints.
+a hundred, are compared. Suffixes whose leading bytes stand nowhere else are done. Equal surroundings, by 128 bits of
+fingerprints, collapse to one row, and all their windows repeat. What is left, where repeats begin and end, is
+range-partitioned by the leading bytes, with splitters that Spark samples; equal leading bytes never cross a boundary.
+Each partition sorts its suffixes, and the reversed bytes to their left, by multikey quicksort. What neighbours share
+bounds the windows that can repeat; those are found by fingerprints and compared byte by byte. Groups too large for
+a task are settled by shuffling two fingerprints of each window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Roller:
     """Fingerprints of any substring from prefix sums modulo 2**64."""
 
-    def __init__(self):
-        odd = 0x9E3779B97F4A7C15
-        self.value = np.random.default_rng(3).integers(0, 2**63, 256, dtype=U) * U(2) + U(1)
+    def __init__(self, odd: int = 0x9E3779B97F4A7C15, seed: int = 3):
+        self.value = np.random.default_rng(seed).integers(0, 2**63, 256, dtype=U) * U(2) + U(1)
         self.base, self.inverse = U(odd), U(pow(odd, -1, 2**64))
         self.up = self.down = np.ones(1, U)
 
@@ -125,13 +126,31 @@ def _matrix(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8).reshape(len(parts), width)
 
 
-def _common(lead: np.ndarray, parts: list[bytes], width: int) -> np.ndarray:
-    """For each part the longest common prefix with another part of its group: sort, then look at both neighbours."""
-    m = np.concatenate([lead.astype(">u8").view(np.uint8).reshape(-1, 8), _matrix(parts, width)], axis=1)
-    order = np.argsort(np.ascontiguousarray(m).view(f"S{width + 8}").ravel(), kind="stable")
-    m = m[order]
+def multikey_order(m: np.ndarray) -> np.ndarray:
+    """The order of the rows of a matrix of words: a three-way quicksort by one word, the equal part by the next word."""
+    out, todo = [], [(np.arange(len(m)), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        if len(rows) < 2 or depth == m.shape[1]:
+            out.append(rows)
+        elif len(rows) < 24:
+            out.append(np.array(sorted(rows.tolist(), key=lambda i: m[i, depth:].tolist())))
+        else:
+            x = m[rows, depth]
+            pivot = np.sort(x[[0, len(x) // 2, -1]])[1]
+            low, high = x < pivot, x > pivot
+            todo += [(rows[high], depth), (rows[~(low | high)], depth + 1), (rows[low], depth)]  # the last comes first
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _common(group: np.ndarray, parts: list[bytes], width: int) -> np.ndarray:
+    """For each part the longest common prefix with another part of its group, -1 if there is none: sort, then look at both neighbours."""
+    m = _matrix(parts, -(-width // 8) * 8)
+    order = multikey_order(np.concatenate([group[:, None].astype(U), m.view(">u8").astype(U)], axis=1))
+    m, group = m[order], group[order]
     differ = m[1:] != m[:-1]
-    same = np.where(differ.any(axis=1), differ.argmax(axis=1), width + 8) - 8  # under 0 in another group
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    same = np.where(group[1:] == group[:-1], np.minimum(same, width), -1)
     best = np.full(len(parts), -1)
     best[order[1:]] = same
     best[order[:-1]] = np.maximum(best[order[:-1]], same)
@@ -156,28 +175,45 @@ def _fingerprints(lead: np.ndarray, data: list[bytes], which: np.ndarray, start:
     return _mix(_mix(out) + _mix(lead[which] + (before[which] - start).astype(U)))
 
 
+def settle(rows: list[tuple], length: int, roll: Roller) -> pa.RecordBatch:
+    """(k1, k2, lo, hi) of the windows that repeat, of whole groups of rows (lead, n, k1, k2, at, before, data)."""
+    half = length // 2
+    lead, n, k1, k2, at, before = (np.array(x, np.int64) for x in list(zip(*rows))[:6])
+    data, b = [r[6] for r in rows], before.tolist()
+    # Rows come in the order of their leading bytes, so a group's rows follow each other.
+    group = np.concatenate([[0], np.cumsum(lead[1:] != lead[:-1])])
+    windows = np.array([len(d) for d in data]) - length + 1
+    right = _common(group, [d[i + half : i + length] for d, i in zip(data, b)], length - half)
+    right = np.where(right < 0, right, right + half)  # a group's leading bytes are equal
+    left = _common(group, [d[:i][::-1] for d, i in zip(data, b)], length - half)
+    # A window that starts d bytes left of the suffix needs d common bytes to the left and length - d to the right.
+    first, last = np.maximum(before - windows + 1, length - right), np.minimum(before, left)
+    which, d = _ragged(first, np.maximum(0, last - first + 1))
+    key = _fingerprints(group.astype(U), data, which, before[which] - d, before, length, roll)
+    _, example, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    other = which[example][inverse]  # the row of the first window with this fingerprint
+    several = count[inverse] > 1
+
+    def window(w: int, lo: int, hi: int) -> bytes:
+        return data[w][b[w] - hi : b[w] - lo + length]
+
+    # Byte by byte: neighbouring windows with the same example are compared at once.
+    new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (other[1:] != other[:-1]) | (d[1:] != d[:-1] + 1)])) if len(which) else np.empty(0, np.int64)
+    end = np.concatenate([new[1:], [len(which)]]).astype(np.int64) - 1 if len(which) else new
+    wrong = [k for w, o, lo, hi, k in zip(which[new].tolist(), other[new].tolist(), d[new].tolist(), d[end].tolist(), new.tolist()) if w != o and window(w, lo, hi) != window(o, lo, hi)]
+    if wrong:  # two windows share a fingerprint by chance: the bytes decide
+        exact = Counter((group[w], i, window(w, i, i)) for w, i in zip(which.tolist(), d.tolist()))
+        several = np.array([exact[group[w], i, window(w, i, i)] > 1 for w, i in zip(which.tolist(), d.tolist())])
+    twice = several & (n[which] == 1)
+    which, d = which[twice], d[twice]
+    edge = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (d[1:] != d[:-1] + 1)])) if len(which) else np.empty(0, np.int64)
+    end = np.concatenate([edge[1:], [len(which)]]).astype(np.int64) - 1 if len(which) else edge
+    w = which[edge]
+    return pa.RecordBatch.from_arrays([pa.array(k1[w]), pa.array(k2[w]), pa.array(at[w] - d[end]), pa.array(at[w] - d[edge])], ["k1", "k2", "lo", "hi"])
+
+
 def _compare(cut: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, lo, hi): starts of windows that repeat, of rows (lead, n, k1, k2, at, before, data) sorted by lead; those with n over 1 only serve."""
-
-    def settle(rows: list[tuple], roll: Roller) -> pa.RecordBatch:
-        lead, n, k1, k2, at, before = (np.array(x, np.int64) for x in list(zip(*rows))[:6])
-        data = [r[6] for r in rows]
-        lead = lead.view(U)
-        windows = np.array([len(d) for d in data]) - length + 1
-        right = _common(lead, [d[b : b + length] for d, b in zip(data, before.tolist())], length)
-        left = _common(lead, [d[:b][::-1] for d, b in zip(data, before.tolist())], length)
-        # A window that starts d bytes left of the suffix needs d common bytes to the left and length - d to the right.
-        first, last = np.maximum(before - windows + 1, length - right), np.minimum(before, left)
-        which, d = _ragged(first, np.maximum(0, last - first + 1))
-        start = before[which] - d
-        key = _fingerprints(lead, data, which, start, before, length, roll)
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        twice = (count[inverse] > 1) & (n[which] == 1)
-        which, d = which[twice], d[twice]
-        edge = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (d[1:] != d[:-1] + 1)])) if len(which) else np.empty(0, np.int64)
-        end = np.concatenate([edge[1:], [len(which)]]).astype(np.int64) - 1 if len(which) else edge
-        w = which[edge]
-        return pa.RecordBatch.from_arrays([pa.array(k1[w]), pa.array(k2[w]), pa.array(at[w] - d[end]), pa.array(at[w] - d[edge])], ["k1", "k2", "lo", "hi"])
+    """(k1, k2, lo, hi): starts of windows that repeat, of rows (lead, n, k1, k2, at, before, data) sorted by their leading bytes; those with n over 1 only serve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, held = Roller(), []
@@ -187,10 +223,10 @@ def _compare(cut: DataFrame, length: int) -> DataFrame:
                 cut_at = len(held) - 1
                 while held[cut_at - 1][0] == held[-1][0]:
                     cut_at -= 1
-                yield settle(held[:cut_at], roll)
+                yield settle(held[:cut_at], length, roll)
                 held = held[cut_at:]
         if held:
-            yield settle(held, roll)
+            yield settle(held, length, roll)
 
     columns = cut.select("lead", "n", "k1", "k2", "at", "before", "data")
     return columns.mapInArrow(run, "k1 long, k2 long, lo long, hi long")
@@ -200,7 +236,7 @@ def _spread(cut: DataFrame, length: int) -> DataFrame:
     """The same as _compare for groups of any size: every window's fingerprint is shuffled and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Roller()
+        rolls = Roller(), Roller(0xD6E8FEB86659FD93, 4)
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             for i in range(0, len(rows), 2048):
@@ -208,11 +244,11 @@ def _spread(cut: DataFrame, length: int) -> DataFrame:
                 data = [r[6] for r in rows[i : i + 2048]]
                 windows = np.array([len(d) for d in data]) - length + 1
                 which, start = _ragged(np.zeros(len(data), np.int64), windows)
-                key = _fingerprints(lead.view(U), data, which, start, before, length, roll)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[which]), pa.array(k1[which]), pa.array(k2[which]), pa.array(at[which] - before[which] + start)], ["key", "n", "k1", "k2", "lo"])
+                keys = [pa.array(_fingerprints(lead.view(U), data, which, start, before, length, roll).view(np.int64)) for roll in rolls]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n[which]), pa.array(k1[which]), pa.array(k2[which]), pa.array(at[which] - before[which] + start)], ["f1", "f2", "n", "k1", "k2", "lo"])
 
     columns = cut.select("lead", "n", "k1", "k2", "at", "before", "data")
-    windows = stored(columns.mapInArrow(run, "key long, n long, k1 long, k2 long, lo long"), "windows")
+    windows = stored(columns.mapInArrow(run, "f1 long, f2 long, n long, k1 long, k2 long, lo long").withColumn("key", F.struct("f1", "f2")).drop("f1", "f2"), "windows")
     twice = stored(windows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "twice")
     found = skew_lookup(windows, twice, "key", "size", windows.count())
     return found.filter("n = 1").select("k1", "k2", "lo", F.col("lo").alias("hi"))
@@ -241,7 +277,8 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, length: int, group_at_
         return rows, spans
     small = open_.filter(F.col("m") <= group_at_most)
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-small.count() // 20_000))
-    bucket = _cut_out(rows, small, length).repartitionByRange(tasks, "lead").sortWithinPartitions("lead")
+    leading = F.expr(f"substring(data, before + 1, {length // 2})")
+    bucket = _cut_out(rows, small, length).repartitionByRange(tasks, leading).sortWithinPartitions(leading)
     spans = spans.unionByName(_compare(bucket, length))
     large = open_.filter(F.col("m") > group_at_most)
     if not large.isEmpty():

@@ -38,3 +38,27 @@ def test_long_texts_in_chunks(spark, monkeypatch):
 
 def test_empty(spark):
     assert S.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_multikey_order():
+    rng = S.np.random.default_rng(0)
+    for shape, top in (((500, 6), 3), ((40, 1), 5), ((1, 2), 2), ((300, 4), 2**63)):
+        m = rng.integers(0, top, shape).astype(S.U)
+        order = S.multikey_order(m)
+        assert sorted(order.tolist()) == list(range(shape[0]))
+        assert m[order].tolist() == sorted(m.tolist())
+    assert len(S.multikey_order(S.np.empty((0, 3), S.U))) == 0
+
+
+def test_bytes_decide_when_fingerprints_collide(monkeypatch):
+    length, lead = 8, b"wxyz"
+    rows = [(1, 1, i, i, 10, 4, left + lead + right) for i, (left, right) in enumerate([(b"abcd", b"efgh"), (b"abcd", b"efzz"), (b"zzcd", b"efgh"), (b"qqqq", b"qqqq")])]
+    want = S.settle(rows, length, S.Roller()).to_pydict()
+    assert {k: (lo, hi) for k, lo, hi in zip(want["k1"], want["lo"], want["hi"])} == {0: (6, 10), 1: (6, 8), 2: (8, 10)}
+    monkeypatch.setattr(S, "_fingerprints", lambda group, data, which, *a: S.np.zeros(len(which), S.U))
+    assert S.settle(rows, length, S.Roller()).to_pydict() == want
+
+
+def test_groups_without_a_common_window():
+    rows = [(1, 1, i, i, 10, 4, left + b"wxyz" + right) for i, (left, right) in enumerate([(b"abcd", b"efgh"), (b"qqqq", b"qqqq")])]
+    assert S.settle(rows, 8, S.Roller()).num_rows == 0 and S.settle(rows[:1], 8, S.Roller()).num_rows == 0
