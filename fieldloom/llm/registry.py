@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, fim, language, line_dedup, ngram_join, quality, secrets, suffix_dedup, url_filter, warc
+from . import bpe, collocations, decontaminate, exact_dedup, fim, language, line_dedup, ngram_join, quality, secrets, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     text = fim.restored(F.col("form"), F.col("output"))
@@ -87,5 +91,5 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", F.round("bound", 4).alias("bad_bound"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_line_dedup": op9_line_dedup, "op10_ngram_join": op10_ngram_join, "op12_fill_in_middle": op12_fill_in_middle, "op13_url_filter": op13_url_filter}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_url_filter": url_filter.ORACLE}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_warc": op6_warc, "op7_language": op7_language, "op2_exact_dedup": op2_exact_dedup, "op8_benchmark_decontamination": op8_benchmark_decontamination, "op9_line_dedup": op9_line_dedup, "op10_ngram_join": op10_ngram_join, "op11_collocations": op11_collocations, "op12_fill_in_middle": op12_fill_in_middle, "op13_url_filter": op13_url_filter}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_url_filter": url_filter.ORACLE}
