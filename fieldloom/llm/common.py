@@ -104,17 +104,29 @@ def id_filter(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Col
     return held.select("page", F.expr(f"transform(sequence(0, {PAGE_BITS // 64 - 1}), w -> coalesce(m[w], 0L))").alias("bitmap")), slot
 
 
-def flag_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
-    """df with ``found``, false where the filter rules the key out; the filter goes by broadcast, within its bound."""
-    at = df.withColumn("at_", slot(key))
-    paged = at.withColumn("page", F.expr(f"at_ div {PAGE_BITS}")).join(F.broadcast(pages), "page", "left")
-    bit = f"shiftright(bitmap[cast((at_ % {PAGE_BITS}) div 64 as int)], cast(at_ % 64 as int)) & 1L = 1L"
-    return paged.withColumn("found", F.coalesce(F.expr(bit), F.lit(False))).drop("page", "at_", "bitmap")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def flag_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column], into: str = "found") -> DataFrame:
+    """df with a column ``into``, false where the filter rules the key out; the filter goes by broadcast, within its bound."""
+    at, page, bitmap = fresh(df, "at_", "page", "bitmap")
+    paged = df.withColumn(at, slot(key)).withColumn(page, F.expr(f"`{at}` div {PAGE_BITS}")).join(F.broadcast(pages.toDF(page, bitmap)), page, "left")
+    bit = f"shiftright(`{bitmap}`[cast((`{at}` % {PAGE_BITS}) div 64 as int)], cast(`{at}` % 64 as int)) & 1L = 1L"
+    return paged.withColumn(into, F.coalesce(F.expr(bit), F.lit(False))).drop(page, at, bitmap)
 
 
 def maybe_in(df: DataFrame, key: Column, pages: DataFrame, slot: Callable[[Column], Column]) -> DataFrame:
     """The rows whose key the filter doesn't rule out."""
-    return flag_in(df, key, pages, slot).filter("found").drop("found")
+    found = fresh(df, "found")[0]
+    return flag_in(df, key, pages, slot, found).filter(F.col(found)).drop(found)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -126,11 +138,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna().filter("u <> v")
     both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    total = label.count()
     while True:
         heard = both.join(label.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("m"))
         nearer = label.join(heard, "u").select("u", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = nearer.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = cut(nearer.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        # Very many ids may share a label: those labels are looked up once and go by broadcast.
+        jump = nearer.select(F.col("u").alias("l"), F.col("l").alias("ll")).join(nearer.groupBy("l").agg(F.count("*").alias("uses")), "l")
+        new = cut(skew_lookup(nearer, jump, "l", "uses", total).select("u", "old", F.least("l", "ll").alias("l")))
         label = new.select("u", "l")
         if new.filter("l <> old").isEmpty():
             discard(both)

@@ -3,7 +3,7 @@
 Every window of ``length`` bytes holds a suffix that its content alone picks: the one whose leading ``length // 2`` bytes
 hash lowest (the leftmost of equals). Equal windows pick it at the same offset, so only these suffixes, about one in
 a hundred, are compared. Suffixes whose leading bytes stand nowhere else are done. Equal surroundings, by 128 bits of
-fingerprints, collapse to one row, and all their windows repeat. What is left, where repeats begin and end, is
+two independent fingerprints, collapse to one row, and all their windows repeat. What is left, where repeats begin and end, is
 range-partitioned by the leading bytes, with splitters that Spark samples; equal leading bytes never cross a boundary.
 Each partition sorts its suffixes, and the reversed bytes to their left, by multikey quicksort. What neighbours share
 bounds the windows that can repeat; those are found by fingerprints and compared byte by byte. Groups too large for
@@ -26,6 +26,7 @@ from .common import discard, flag_in, id_filter, maybe_in, skew_lookup, stored
 U = np.uint64
 _POSITION_BITS = 24
 _CHUNK = 1 << 23  # bytes of a text that are worked on at once
+_SECOND = 0xD6E8FEB86659FD93, 4  # base and seed of a second, independent fingerprint
 _GROUP_AT_MOST = 50_000  # surroundings of one group that a task compares
 
 
@@ -68,10 +69,11 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def picked(data: np.ndarray, length: int, roll: Roller) -> tuple[np.ndarray, ...]:
-    """(lead, around, at, lo, hi): suffixes at ``at`` that the windows starting at lo..hi pick.
+def picked(data: np.ndarray, length: int, roll: Roller, other: Roller) -> tuple[np.ndarray, ...]:
+    """(lead, around, around2, at, lo, hi): suffixes at ``at`` that the windows starting at lo..hi pick.
 
-    lead is the fingerprint of the suffix's leading bytes, around that of data[lo : hi + length] and its offsets.
+    lead is the fingerprint of the suffix's leading bytes, around and around2 are independent ones of data[lo : hi + length]
+    and its offsets.
     """
     half, parts = length // 2, []
     for start in range(0, max(1, len(data) - length + 1), _CHUNK):
@@ -85,18 +87,22 @@ def picked(data: np.ndarray, length: int, roll: Roller) -> tuple[np.ndarray, ...
         lo = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         hi = np.concatenate([lo[1:], [len(m)]]) - 1
         at = (m[lo] & U((1 << _POSITION_BITS) - 1)).astype(np.int64)
-        around = _mix((s[hi + length] - s[lo]) * down[lo]) + _mix((at - lo).astype(U) * U(4096) + (hi - lo).astype(U))
-        parts.append((lead[at], _mix(around), at + start, lo + start, hi + start))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, U), np.empty(0, U), *[np.empty(0, np.int64)] * 3)
+        place = _mix((at - lo).astype(U) * U(4096) + (hi - lo).astype(U))
+        around = [_mix(_mix((x[hi + length] - x[lo]) * y[lo]) + place) for x, y in ((s, down), (other.sums(b), other.powers(n + 1)[1]))]
+        parts.append((lead[at], *around, at + start, lo + start, hi + start))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (*[np.empty(0, U)] * 3, *[np.empty(0, np.int64)] * 3)
 
 
 def _sample(rows: DataFrame, length: int) -> DataFrame:
+    """The suffixes that rows (k1, k2, w, text) pick."""
+    names = ["k1", "k2", "w", "lead", "around", "around2", "at", "lo", "hi"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Roller()
+        roll, other = Roller(), Roller(*_SECOND)
         for batch in batches:
             held, n = [], 0
-            for i, text in enumerate(batch.column(2)):
-                found = picked(np.frombuffer(text.as_buffer(), np.uint8), length, roll)
+            for i, text in enumerate(batch.column(3)):
+                found = picked(np.frombuffer(text.as_buffer(), np.uint8), length, roll, other)
                 if len(found[0]):
                     held.append((np.full(len(found[0]), i), *found))
                     n += len(found[0])
@@ -107,10 +113,22 @@ def _sample(rows: DataFrame, length: int) -> DataFrame:
                 yield out(batch, held)
 
     def out(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
-        i, lead, around, at, lo, hi = (np.concatenate(x) for x in zip(*held))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(lead.view(np.int64)), pa.array(around.view(np.int64)), pa.array(at), pa.array(lo), pa.array(hi)], ["k1", "k2", "lead", "around", "at", "lo", "hi"])
+        i, *found = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in range(3)), *(pa.array(x.view(np.int64)) for x in found)], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
-    return rows.mapInArrow(run, "k1 long, k2 long, lead long, around long, at long, lo long, hi long")
+
+def _weighted(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows (k1, k2, doc_id, text) with w, one for each (k1, k2), w of which there are; and (k, n) of those that repeat, if any do."""
+    twice = stored(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "repeated_rows")
+    many = twice.count()
+    if not many:
+        return rows.withColumn("w", F.lit(1).cast("long")), None
+    pages, slot = id_filter(twice.select("k1"), many)
+    flagged = flag_in(rows, F.col("k1"), pages, slot)
+    one = flagged.filter("found").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("w"))
+    return flagged.filter("not found").drop("found").withColumn("w", F.lit(1).cast("long")).unionByName(one), twice.select(F.struct("k1", "k2").alias("k"), "n")
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -118,7 +136,7 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     n_rows = wanted.select("k1").distinct()
     pages, slot = id_filter(n_rows, n_rows.count())
     each = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("lead", "n", "at", "lo", "hi")).alias("w"))
-    both = maybe_in(rows, F.col("k1"), pages, slot).join(each, ["k1", "k2"])
+    both = maybe_in(rows.select("k1", "k2", "text"), F.col("k1"), pages, slot).join(each, ["k1", "k2"])
     return both.select("k1", "k2", "text", F.explode("w").alias("w")).select("w.lead", "w.n", "k1", "k2", "w.at", (F.col("w.at") - F.col("w.lo")).cast("int").alias("before"), F.expr(f"substring(text, cast(w.lo + 1 as int), cast(w.hi - w.lo + {length} as int))").alias("data"))
 
 
@@ -236,7 +254,7 @@ def _spread(cut: DataFrame, length: int) -> DataFrame:
     """The same as _compare for groups of any size: every window's fingerprint is shuffled and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = Roller(), Roller(0xD6E8FEB86659FD93, 4)
+        rolls = Roller(), Roller(*_SECOND)
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             for i in range(0, len(rows), 2048):
@@ -254,19 +272,17 @@ def _spread(cut: DataFrame, length: int) -> DataFrame:
     return found.filter("n = 1").select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, length: int, group_at_most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (k1, k2, doc_id, text binary), and (k1, k2, lo, hi) of all starts of windows that stand elsewhere too."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("k1"), F.xxhash64(text, F.col(id_col).cast("long"), F.lit(1)).alias("k2"), F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
-    suffixes = stored(_sample(rows.select("k1", "k2", "text"), length), "suffixes")
+def repeated(rows: DataFrame, length: int, group_at_most: int) -> DataFrame:
+    """(k1, k2, lo, hi) of all starts of windows that stand elsewhere too, of rows (k1, k2, w, text) without repeats, w of which there are."""
+    suffixes = stored(_sample(rows.select("k1", "k2", "w", "text"), length), "suffixes")
     total = suffixes.count()
-    leads = stored(suffixes.groupBy("lead").agg(F.count("*").alias("size")).filter("size > 1"), "leads")
+    leads = stored(suffixes.groupBy("lead").agg(F.sum("w").alias("size")).filter("size > 1"), "leads")
     shared = stored(skew_lookup(suffixes, leads, "lead", "size", total), "shared")
     discard(suffixes, leads)
-    around = shared.groupBy("lead", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one"))
-    around = stored(around.select("lead", "around", "n", "one.*"), "around")
-    all_repeat = around.filter("n > 1").select("lead", "around", "n")
-    whole = skew_lookup(shared.withColumn("g", F.struct("lead", "around")).drop("lead", "around"), all_repeat.withColumn("g", F.struct("lead", "around")).drop("lead", "around"), "g", "n", total)
+    around = shared.groupBy("lead", "around", "around2").agg(F.sum("w").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one"))
+    around = stored(around.select("lead", "around", "around2", "n", "one.*"), "around")
+    place = F.struct("lead", "around", "around2").alias("g")
+    whole = skew_lookup(shared.select(place, "k1", "k2", "lo", "hi"), around.filter("n > 1").select(place, "n"), "g", "n", total)
     spans = whole.select("k1", "k2", "lo", "hi")
 
     # Groups of several surroundings, at least one of which stands once: there the windows decide.
@@ -274,16 +290,16 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, length: int, group_at_
     groups = stored(groups, "groups")
     open_ = stored(skew_lookup(around.select("lead", "n", "k1", "k2", "at", "lo", "hi"), groups.select("lead", "m"), "lead", "m", total), "open")
     if open_.isEmpty():
-        return rows, spans
+        return spans
     small = open_.filter(F.col("m") <= group_at_most)
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-small.count() // 20_000))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-small.count() // 20_000))
     leading = F.expr(f"substring(data, before + 1, {length // 2})")
     bucket = _cut_out(rows, small, length).repartitionByRange(tasks, leading).sortWithinPartitions(leading)
     spans = spans.unionByName(_compare(bucket, length))
     large = open_.filter(F.col("m") > group_at_most)
     if not large.isEmpty():
         spans = spans.unionByName(_spread(_cut_out(rows, large, length), length))
-    return rows, spans
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, group_at_most: int = _GROUP_AT_MOST) -> DataFrame:
@@ -291,9 +307,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A text's UTF-8 bytes that a string of ``length`` bytes covers which also starts anywhere else, in the same text or
     another, are removed; strings are judged on the input. Null texts count as empty. Rows that repeat id and text repeat
-    each other. Null ids pass through; other columns are ignored. kept may cut through a character.
+    each other; they are worked on once, however many there are. Null ids pass through; other columns are ignored. An
+    empty table gives an empty result. kept may cut through a character.
     """
-    rows, spans = repeated(docs, id_col, text_col, length, group_at_most)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("k1"), F.xxhash64(text, F.col(id_col).cast("long"), F.lit(1)).alias("k2"), F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    weighted, twice = _weighted(rows)
+    spans = repeated(weighted, length, group_at_most)
     each = stored(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     pages, slot = id_filter(each.select("k1"), each.count())
     flagged = flag_in(rows, F.col("k1"), pages, slot)
@@ -326,7 +346,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    touched = flagged.filter("found").join(each, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    found = flagged.filter("found")
+    if twice is None:
+        touched = found.join(each, ["k1", "k2"], "left")
+    else:  # very many rows may be the same one
+        index = each.withColumn("k", F.struct("k1", "k2")).join(twice, "k", "left").select("k", "spans", F.coalesce("n", F.lit(1)).alias("n"))
+        touched = skew_lookup(found.withColumn("k", F.struct("k1", "k2")), index, "k", "n", rows.count(), how="left")
+    touched = touched.select("doc_id", "text", "spans")
     changed = touched.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     same = flagged.filter("not found").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))

@@ -31,7 +31,7 @@ def test_matches_brute_force(spark, length, most, monkeypatch):
 def test_long_texts_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(S, "_CHUNK", 64)
     data = S.np.frombuffer(corpus(40)[5][1].encode() * 3, S.np.uint8)
-    lead, _, at, lo, hi = S.picked(data, 40, S.Roller())
+    lead, _, _, at, lo, hi = S.picked(data, 40, S.Roller(), S.Roller(*S._SECOND))
     assert sorted(x for a, b in zip(lo, hi) for x in range(a, b + 1)) == list(range(len(data) - 39))
     assert ((at >= hi) & (at <= lo + 20)).all()
 
@@ -40,6 +40,22 @@ def test_empty(spark):
     assert S.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_that_repeat_id_and_text_cost_no_more_than_others(spark):
+    import time
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(8000))
+    other = text[:3000] + "".join(rng.choice("xyz") for _ in range(3000))
+    took = []
+    for i in ("id", "cast(null as long)"):
+        df = spark.range(5000, numPartitions=4).select(F.expr(i).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(-1, other)], "doc_id long, text string"))
+        began = time.time()
+        got = S.suffix_dedup(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+        took.append(time.time() - began)
+        assert sorted(map(tuple, got)) == [(6000, 3000, 1, 1), (8000, 8000, 1, 5000)]
+    assert took[1] < 2 * took[0] + 5
+
+
 def test_multikey_order():
     rng = S.np.random.default_rng(0)
     for shape, top in (((500, 6), 3), ((40, 1), 5), ((1, 2), 2), ((300, 4), 2**63)):
