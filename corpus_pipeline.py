@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each with an operator of fieldloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of documents.
+of documents, others that documents may have among them, whatever their names. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,29 +12,28 @@ from pyspark.sql import functions as F
 from fieldloom.llm import bpe, common, decontaminate, exact_dedup, ngram_join, quality, registry
 
 
-ROW = "row_"  # a stage's own name of a row: ids may be null or repeat
-
-
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with ROW, a number of each row whose order is that of doc_id, nulls last.
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs with a number of each row, whose order is that of doc_id, nulls last; and the number's column, a name that docs don't have.
 
     If no id is null or repeats, it is the id. Else docs are stored in the order of ids with numbers, so that every
     reader sees the same ones; the text's hash splits ids that very many rows share over several tasks.
     """
     common.bounded_batches(docs.sparkSession)
+    row = common.fresh(docs, "row_")[0]
     if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
     in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return common.stored(in_order.withColumn(ROW, F.monotonically_increasing_id()), name)
+    return common.stored(in_order.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def _without(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows less those that found names in its column doc_id, which holds ROW; a bitmap keeps most others out of the join."""
-    gone = common.stored(found.select(F.col("doc_id").alias(ROW)), "gone")
+def _without(rows: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """rows less those that found names in its column doc_id, which holds numbers of rows; a bitmap keeps most others out of the join."""
+    gone = common.stored(found.select(F.col("doc_id").alias(row)), "gone")
     pages, slot = common.id_filter(gone, gone.count())
-    flagged = common.flag_in(rows, F.col(ROW), pages, slot)
-    rest = flagged.filter("found").drop("found").join(gone, ROW, "left_anti")
-    return flagged.filter("not found").drop("found").unionByName(rest).drop(ROW)
+    maybe = common.fresh(rows, "found")[0]
+    flagged = common.flag_in(rows, F.col(row), pages, slot, maybe)
+    rest = flagged.filter(F.col(maybe)).drop(maybe).join(gone, row, "left_anti")
+    return flagged.filter(~F.col(maybe)).drop(maybe).unionByName(rest).drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +49,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null ids come last among equals. Of rows that repeat an id each stands for its own text; a repeated row stays once.
     """
-    rows = _numbered(docs, "exact_rows")
-    return _without(rows, exact_dedup.exact_dedup(rows, ROW).filter(~F.col("kept")))
+    rows, row = _numbered(docs, "exact_rows")
+    return _without(rows, row, exact_dedup.exact_dedup(rows, row).filter(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +58,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null ids come last in a class. Rows that repeat an id are in the classes of their own texts.
     """
-    rows = _numbered(docs, "near_rows")
-    return _without(rows, ngram_join.ngram_join(rows, ROW).filter(F.col("doc_id") != F.col("class_id")))
+    rows, row = _numbered(docs, "near_rows")
+    return _without(rows, row, ngram_join.ngram_join(rows, row).filter(F.col("doc_id") != F.col("class_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +67,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Each row is judged by its own text, with a null or repeated id too.
     """
-    rows = _numbered(docs, "decontamination_rows")
-    found = decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), ROW)
-    return _without(rows, found.filter("contaminated"))
+    rows, row = _numbered(docs, "decontamination_rows")
+    found = decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), row)
+    return _without(rows, row, found.filter("contaminated"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
