@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from fieldloom.llm import decontaminate as D
 from fieldloom.llm import registry
@@ -57,7 +59,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [n for n in registry.QUERIES if n.startswith("op")] and len(registry.QUERIES) == 10
+    assert [n for n in registry.QUERIES if n.startswith("op")] and len(registry.QUERIES) == 13
 
 
 def test_null_and_repeated_ids(spark, tmp_path):
@@ -79,3 +81,28 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert left("ngram_join", [*ids, (1, b + " more"), (5, a + " more"), (None, "")]) == sorted([(1, b + " more"), (5, a + " more"), (5, c), (None, "")], key=str)
     bad = a + " " + text("bench", 12)
     assert left("decontamination", [*ids, (5, bad), (None, bad)]) == sorted(ids, key=str)
+
+
+def test_columns_that_clash_with_helpers_come_back(spark, tmp_path):
+    rows, labels, items = corpus()
+    extra = ["page", "bitmap", "found", "at_", "row_", "k1", "kept", "class_id", "digest", "h", "expected_grade"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = spark.createDataFrame(rows, schema)
+    docs = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        want = {r.doc_id for r in stage(spark, plain, str(tmp_path)).collect()}
+        got = got.collect()
+        assert {r.doc_id for r in got} == want and all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra), name
+    repeated = docs.unionByName(docs.filter("doc_id < 3"))
+    assert P.exact_dedup_stage(spark, repeated, str(tmp_path)).columns == docs.columns
+
+
+def test_empty_documents_stay_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
