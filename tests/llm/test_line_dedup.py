@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -98,12 +99,41 @@ def test_short_lines_have_near_duplicates(spark, k):
     assert all(of[x] == of[y] for x in lines for y in near[x])
 
 
+def two_edits(numbers):
+    """Pairs of different numbers of equal length within two edits: those that agree after a deletion of two signs each."""
+    by_rest, pairs = {}, set()
+    for x in set(numbers):
+        for rest in {x[:i] + x[i + 1 : j] + x[j + 1 :] for i in range(len(x)) for j in range(i + 1, len(x))}:
+            by_rest.setdefault(rest, []).append(x)
+    for same in by_rest.values():
+        pairs.update((x, y) for x in same for y in same if x < y and distance(x, y) <= 2)
+    return pairs
+
+
+@pytest.mark.parametrize("k, most", [(1, 0), (2, 0), (2, 20), (3, 40)])
+def test_hot_keys_are_split_further(spark, k, most):
+    rng = random.Random(k)
+    head, tail = "the head of a template ", " and its tail, é."
+    lines = [head + "".join(rng.choice("01é") for _ in range(rng.randint(0, 5))) + tail for _ in range(60)]
+    lines += [rng.choice(["", "x", "xy"]) + head + tail[: rng.randint(0, 9)] + str(rng.randint(0, 99)) for _ in range(30)]
+    lines += ["ab" * 8 + "c" * i for i in range(6)] + ["a" * i for i in range(k + 1, 12)] + ["X" + "ab" * 4, "ab" * 2 + "X" + "ab" * 2, "ab" * 4 + "X"]
+    lines = sorted(set(x.strip() for x in lines))
+    near = {(y, x) for x in range(len(lines)) for y in range(x) if min(len(lines[x]), len(lines[y])) > k and distance(lines[x], lines[y]) <= k}
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "lid long, line string, len int")
+    got = L.line_links(df, k, pairs_at_most=most).collect()
+    assert {(r.a, r.b) for r in got} == near and len(got) == len(near)
+
+
 def test_many_variants_of_a_template(spark):
     # All lines share both outer segments; few are within two edits of each other.
-    n, rng = 2_000, random.Random(4)
+    n, rng = 20_000, random.Random(4)
     numbers = [f"{rng.randrange(10**10):010d}" for _ in range(n)]
     numbers += [x[:3] + ("1" if x[3] == "0" else "0") + x[4:] for x in numbers[:50]]
     lines = [f"GET /index/page/of/the/site request {x} was done in time" for x in numbers]
     got = L.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     links = {r.doc_id: r.n_links for r in got.collect()}
-    assert all(links[i] >= 1 and links[n + i] >= 1 for i in range(50)) and sum(links.values()) < 1000
+    first = {x: i for i, x in reversed(list(enumerate(lines)))}
+    near = Counter()
+    for pair in two_edits(numbers):
+        near.update(pair)
+    assert all(links[i] == near[numbers[i]] for i in first.values()) and all(links[i] >= 1 and links[n + i] >= 1 for i in range(50))
