@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from fieldloom.functions import expression, scalars
 from fieldloom.operators import aggregates as A
+from fieldloom.operators import bases as B
 from fieldloom.operators import diagnostics as D
 from fieldloom.operators import geometry as G
 from fieldloom.operators import joins as J
@@ -17,7 +18,9 @@ from fieldloom.operators import probes as P
 from fieldloom.operators import recursions as R
 from fieldloom.operators import relations as S
 from fieldloom.operators import rom
+from fieldloom.operators import sampling
 from fieldloom.operators import series as T
+from fieldloom.operators import trajectories
 
 
 class Operation(NamedTuple):
@@ -75,7 +78,9 @@ OPERATIONS: dict[str, Operation] = {
     "find_motifs": _op("similarity", D.motifs),
     "rom_envelope": _op("rom", rom.envelope),
     "subspace_drift": _op("rom", rom.subspace_drift),
-    "gappy_reconstruct": _op("rom", rom.gappy_coefficients),
+    "gappy_reconstruct": _op("rom", rom.gappy_reconstruct),
+    "trajectory_clustering": _op("rom", trajectories.trajectory_clustering),
+    "basis_interpolate": _op("rom", B.basis_interpolate),
     "mode_summary": _op("rom", rom.mode_summary),
     "save_rom": _op("rom", rom.save_modes),
     "load_rom": _op("rom", rom.load_modes),
