@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import geometry as G
+from fieldloom.operators import surfaces
 
 from .queries import load, query, rounded
 
@@ -67,3 +68,42 @@ def dbscan(spark, sf_dir):
     k = F.col("s_suppkey")
     p = load(spark, sf_dir, "supplier").select(k.alias("id"), (k * 7 % 50 * 1.0).alias("x"), (k * 13 % 60 * 1.0).alias("y"))
     return rounded(G.dbscan(p, "id", ["x", "y"], 7.5, 3))
+
+
+_SEGMENT = "power(px-{u}x-t{k}*({v}x-{u}x),2)+power(py-{u}y-t{k}*({v}y-{u}y),2)+power(pz-{u}z-t{k}*({v}z-{u}z),2)"
+_CLAMPED = "least(1.0, greatest(0.0, ((px-{u}x)*({v}x-{u}x)+(py-{u}y)*({v}y-{u}y)+(pz-{u}z)*({v}z-{u}z)) / (power({v}x-{u}x,2)+power({v}y-{u}y,2)+power({v}z-{u}z,2))))"
+_SIDES = (("a", "e", 0), ("e", "c", 1), ("c", "a", 2))  # e: the name by is taken in SQL
+
+
+@query(f"""
+WITH t AS (SELECT s_suppkey AS tri, (s_suppkey % 50)::double AS ax, s_acctbal/500 AS ay, s_nationkey::double AS az FROM supplier),
+u AS (SELECT *, ax+9 AS ex, ay+tri%3 AS ey, az+1 AS ez, ax AS cx, ay+4 AS cy, az+tri%5 AS cz FROM t),
+p AS (SELECT p_partkey AS pid, p_size*1.0::double AS px, p_retailprice/50 AS py, (p_partkey%37)::double AS pz FROM part),
+n AS (SELECT *, (ey-ay)*(cz-az)-(ez-az)*(cy-ay) AS nx, (ez-az)*(cx-ax)-(ex-ax)*(cz-az) AS ny, (ex-ax)*(cy-ay)-(ey-ay)*(cx-ax) AS nz, {', '.join(f'{_CLAMPED.format(u=u, v=v)} AS t{k}' for u, v, k in _SIDES)} FROM u, p),
+o AS (SELECT *, nx*nx+ny*ny+nz*nz AS nn, (px-ax)*nx+(py-ay)*ny+(pz-az)*nz AS h FROM n),
+b AS (SELECT *, px-h*nx/nn AS qx, py-h*ny/nn AS qy, pz-h*nz/nn AS qz FROM o),
+i AS (SELECT *, {' AND '.join(f'(({v}y-{u}y)*(qz-{u}z)-({v}z-{u}z)*(qy-{u}y))*nx+(({v}z-{u}z)*(qx-{u}x)-({v}x-{u}x)*(qz-{u}z))*ny+(({v}x-{u}x)*(qy-{u}y)-({v}y-{u}y)*(qx-{u}x))*nz >= 0' for u, v, _ in _SIDES)} AS inside FROM b)
+SELECT pid, round(sqrt(min(least({', '.join(_SEGMENT.format(u=u, v=v, k=k) for u, v, k in _SIDES)}, CASE WHEN inside THEN h*h/nn ELSE 'infinity'::double END))), 6) AS distance FROM i GROUP BY pid""")
+def surface_distance(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tri"), (F.col("s_suppkey") % 50).cast("double").alias("ax"), (F.col("s_acctbal") / 500).alias("ay"), F.col("s_nationkey").cast("double").alias("az"))
+    t = s.selectExpr("tri", "ax", "ay", "az", "ax + 9 bx", "ay + tri % 3 by", "az + 1 bz", "ax cx", "ay + 4 cy", "az + tri % 5 cz")
+    p = load(spark, sf_dir, "part").selectExpr("p_partkey pid", "cast(p_size as double) x", "p_retailprice / 50 y", "cast(p_partkey % 37 as double) z")
+    return rounded(surfaces.nearest_triangle(p, t, "pid", "tri", 2.0).select("pid", "distance"), 6)
+
+
+@query("""
+WITH c AS (SELECT avg(p_size)::double AS m FROM part), p AS (SELECT p_partkey, abs(p_size - m) + abs(p_retailprice/40 - m) + abs((p_partkey%50) - m) AS d FROM part, c)
+SELECT p_partkey, d < 30 AS inside, CASE WHEN d < 30 THEN round((30 - d)/sqrt(3), 6) END AS depth FROM p""")
+def wall_features(spark, sf_dir):
+    """Points in and around a closed octahedron; inside, the distance is that to the nearest of its planes."""
+    p = load(spark, sf_dir, "part").selectExpr("p_partkey", "cast(p_size as double) x", "p_retailprice / 40 y", "cast(p_partkey % 50 as double) z")
+    tip = lambda axis, sign: F.array(*(F.col("m") + (30.0 * sign if i == axis else 0.0) for i in range(3)))
+    faces = []
+    for x in (1, -1):
+        for y in (1, -1):
+            for z in (1, -1):  # corners so that normals point outward
+                v = [tip(0, x), tip(1, y), tip(2, z)] if x * y * z > 0 else [tip(0, x), tip(2, z), tip(1, y)]
+                faces.append(F.struct(F.lit(4 * x + 2 * y + z).alias("tri"), *(w[i].alias(f"{n}{k}") for n, w in zip("abc", v) for i, k in enumerate("xyz"))))
+    t = p.agg(F.avg("x").alias("m")).select(F.explode(F.array(*faces)).alias("f")).select("f.*")
+    found = surfaces.attach_wall_features(p, t, "p_partkey", "tri", 8.0)
+    return rounded(found.select("p_partkey", (F.col("wall_sdf") < 0).alias("inside"), F.when(F.col("wall_sdf") < 0, F.col("wall_distance")).alias("depth")), 6)
