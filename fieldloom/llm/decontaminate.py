@@ -154,27 +154,42 @@ class ShardIndex:
         return known[which], start
 
     def near(self, terms: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase number, position of its rarest term) where all its terms stand at most ``within`` words from that one, in any order."""
-        found_phrase, found_at = [], []
-        size = np.diff(self.offsets)
-        for p, row in enumerate(terms):
-            if not len(self.keys) or (row < 0).any():
-                continue
-            row = np.unique(row)
-            row = row[np.argsort(size[row], kind="stable")]
-            at = self.positions[self.offsets[row[0]] : self.offsets[row[0] + 1]].astype(np.int64)
-            doc = np.searchsorted(self.starts, at, "right")
-            for t in row[1:]:
-                other = self.positions[self.offsets[t] : self.offsets[t + 1]].astype(np.int64)
-                i = np.searchsorted(other, at)
-                ok = np.zeros(len(at), bool)
-                for j in (i - 1, i):
-                    q = other[np.clip(j, 0, len(other) - 1)]
-                    ok |= (np.abs(q - at) <= within) & (np.searchsorted(self.starts, q, "right") == doc)
-                at, doc = at[ok], doc[ok]
-            found_phrase += [p] * len(at)
-            found_at += at.tolist()
-        return np.array(found_phrase, np.int64), np.array(found_at, np.int64)
+        """(phrase number, document) wherever all terms of a phrase stand, in any order, at most ``within`` words apart.
+
+        Around each place of the rarest term the others must stand, next rarest first; then their places there, as bits,
+        must fit a stretch of within + 1 words. within is below the gap, so no stretch crosses documents.
+        """
+        known = np.flatnonzero((terms >= 0).all(axis=1)) if len(self.keys) else np.empty(0, np.int64)
+        if not len(known):
+            return known, known
+        terms = terms[known]
+        order = np.argsort(np.diff(self.offsets)[terms], axis=1, kind="stable")
+        terms = np.take_along_axis(terms, order, 1)  # rarest first
+        n = np.diff(self.offsets)[terms[:, 0]]
+        which = np.repeat(np.arange(len(terms)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = self.positions[np.repeat(self.offsets[terms[:, 0]], n) + inner].astype(np.int64)
+        for k in range(1, terms.shape[1]):
+            t = terms[which, k] * self.span
+            i = np.searchsorted(self.keys, t + np.maximum(at - within, 0))
+            there = (i < len(self.keys)) & (self.keys[np.minimum(i, len(self.keys) - 1)] <= t + np.minimum(at + within, self.span - 1))
+            which, at = which[there], at[there]
+        found = []
+        full = np.uint64((1 << within + 1) - 1)
+        for c in range(0, len(which), 50_000):
+            w, p = which[c : c + 50_000], at[c : c + 50_000]
+            fits = np.full((within + 1, len(w)), True)
+            for k in range(terms.shape[1]):
+                bits = np.zeros(len(w), np.uint64)
+                for d in range(2 * within + 1):
+                    bits |= self.has(terms[w, k], p + (d - within)).astype(np.uint64) << np.uint64(d)
+                for s in range(within + 1):
+                    fits[s] &= (bits >> np.uint64(s)) & full != 0
+            ok = fits.any(axis=0)
+            doc = np.searchsorted(self.starts, p[ok], "right") - 1
+            found.append(np.unique(np.stack([known[w[ok]], doc]), axis=1))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pairs[0], pairs[1]
 
 
 def _numbered(phrases: list[list[bytes]], index: ShardIndex) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,53 +200,64 @@ def _numbered(phrases: list[list[bytes]], index: ShardIndex) -> Iterator[tuple[n
         yield np.array(group), np.array([[index.number.get(t, -1) for t in phrases[i]] for i in group], np.int64)
 
 
-def search(index: DataFrame, phrases: DataFrame, *, block: int = 200_000, within: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_hit, items array<string>) for every document of the index.
+def search(index: DataFrame, phrases: DataFrame, *, block: int = 200_000, block_bytes: int = 32 << 20, within: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, items array<string>, exact array<string>) for every document of the index.
 
-    n_hit counts the words inside an occurrence of a phrase; items are the sorted ids of items with an occurrence. With
-    ``within``, a phrase also matches where all its terms stand at most so many words from its rarest one (a proximity
-    match hits the word of the rarest term). Phrases are a stated query set: they are sent to the shards in blocks of at
-    most ``block`` rows (some 20 MB), each block a pass over the index, so no broadcast grows beyond that.
+    n_hit counts the words inside an occurrence of a phrase; exact are the sorted ids of items with an occurrence. items
+    are the same, and with ``within`` also those with a proximity match: all words of a phrase stand in a stretch of
+    within + 1 words of the document, in any order. Phrases are a stated query set: they are sent to the shards in blocks
+    of about ``block`` rows and ``block_bytes`` bytes at most, each block a pass over the index, so no broadcast grows
+    beyond that.
     """
+    if within is not None and not 0 <= within <= 31:
+        raise ValueError("within is at most 31")
     spark = index.sparkSession
-    held = stored(phrases.withColumn("n", F.monotonically_increasing_id()), "phrases")
-    blocks = max(1, -(-held.count() // block))
+    held = stored(phrases, "phrases")
+    size = held.agg(F.count("*"), F.sum(F.octet_length(F.array_join(F.col("phrase").cast("array<string>"), " ")))).first()
+    blocks = max(1, -(-size[0] // block), -(-(size[1] or 0) // block_bytes))
     if blocks > 1 and getattr(index, "_stored_at", None) is None:
         index = stored(index, "postings")  # blocks meet by the names of shards
     parts = []
     for b in range(blocks):
         part = held.filter(F.pmod(F.xxhash64("item_id", "phrase"), F.lit(blocks)) == b).select("item_id", "phrase").collect()
         sent = spark.sparkContext.broadcast(([r[0] for r in part], [[bytes(t) for t in r[1]] for r in part]))
-        parts.append(index.mapInArrow(_searcher(sent, within), "shard string, doc long, doc_id long, n_words long, hits array<long>, items array<string>"))
+        parts.append(index.mapInArrow(_searcher(sent, within), "shard string, doc long, doc_id long, n_words long, hits array<long>, items array<string>, exact array<string>"))
     if blocks == 1:
-        return parts[0].select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items")
+        return parts[0].select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "exact")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("shard", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.select("doc_id", "n_words", F.size(F.array_distinct("hits")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "exact")]
+    merged = every.groupBy("shard", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
+    return merged.select("doc_id", "n_words", F.size(F.array_distinct("hits")).cast("long").alias("n_hit"), *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "exact")))
 
 
 def _searcher(sent, within: int | None):
+    def named(index: ShardIndex, items: list, doc: np.ndarray, who: np.ndarray) -> list[list[str]]:
+        """The sorted items whose phrases ``who`` were found in documents ``doc``."""
+        found: list[list[str]] = [[] for _ in range(len(index.doc_ids))]
+        for d, ps in zip(*_split(doc, who)):
+            found[d] = sorted({items[p] for p in ps if items[p] is not None})
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, phrases = sent.value
         for batch in batches:
             for row in batch.to_pylist():
                 index = ShardIndex(row)
-                starts, lengths, whose = [], [], []
+                starts, lengths, whose, near_doc, near_whose = [], [], [], [], []
                 for group, terms in _numbered(phrases, index):
                     which, at = index.phrases(terms)
                     starts.append(at)
                     lengths.append(np.full(len(at), terms.shape[1]))
                     whose.append(group[which])
                     if within is not None:
-                        which, at = index.near(terms, within)
-                        starts.append(at)
-                        lengths.append(np.ones(len(at), np.int64))
-                        whose.append(group[which])
+                        which, doc = index.near(terms, within)
+                        near_doc.append(doc)
+                        near_whose.append(group[which])
                 n_docs = len(index.doc_ids)
                 hits: list[np.ndarray] = [np.empty(0, np.int64)] * n_docs
-                found: list[list[str]] = [[] for _ in range(n_docs)]
+                exact: list[list[str]] = [[] for _ in range(n_docs)]
                 if starts and sum(map(len, starts)):
                     at, n, who = (np.concatenate(x) for x in (starts, lengths, whose))
                     covered = np.zeros(index.span + 1, np.int64)
@@ -241,12 +267,14 @@ def _searcher(sent, within: int | None):
                     doc = np.searchsorted(index.starts, covered, "right") - 1
                     for d, places in zip(*_split(doc, covered)):
                         hits[d] = places - index.starts[d]
-                    doc = np.searchsorted(index.starts, at, "right") - 1
-                    for d, ps in zip(*_split(doc, who)):
-                        found[d] = sorted({items[p] for p in ps if items[p] is not None})
+                    exact = named(index, items, np.searchsorted(index.starts, at, "right") - 1, who)
+                both = exact
+                if near_doc and sum(map(len, near_doc)):
+                    near = named(index, items, np.concatenate(near_doc), np.concatenate(near_whose))
+                    both = [sorted({*a, *b}) if b else a for a, b in zip(exact, near)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * n_docs, pa.string()), pa.array(range(n_docs), pa.int64()), pa.array(index.doc_ids, mask=index.nulls), pa.array(index.n_words), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
-                    ["shard", "doc", "doc_id", "n_words", "hits", "items"],
+                    [pa.array([row["shard"]] * n_docs, pa.string()), pa.array(range(n_docs), pa.int64()), pa.array(index.doc_ids, mask=index.nulls), pa.array(index.n_words), pa.array(hits, pa.list_(pa.int64())), pa.array(both, pa.list_(pa.string())), pa.array(exact, pa.list_(pa.string()))],
+                    ["shard", "doc", "doc_id", "n_words", "hits", "items", "exact"],
                 )
 
     return run
@@ -258,13 +286,15 @@ def _split(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return unique, np.split(values[order], first[1:])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, items_sha256, contaminated) for each row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 10, within: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, items_sha256, contaminated) for each row of docs, and with ``within`` near_items: items with an exact or a proximity match.
 
     Null and repeated ids pass through; each row is a document. Documents without words have n_hit 0. Without benchmark phrases nothing is hit.
-    Columns other than id and text are ignored.
+    Columns other than id and text are ignored. An empty table gives an empty result.
     """
-    found = search(stored(build_index(docs, id_col, text_col), "postings"), phrases_of(benchmark, n=n))
+    found = search(stored(build_index(docs, id_col, text_col), "postings"), phrases_of(benchmark, n=n), within=within)
+    near = [F.col("items").alias("near_items")] if within is not None else []
+    found = found.select("doc_id", "n_words", "n_hit", F.col("exact").alias("items"), *near)
     return found.withColumns({"items_sha256": F.sha2(F.concat_ws(",", "items"), 256), "contaminated": F.col("n_hit") > 0})
 
 
@@ -287,3 +317,14 @@ def brute_force(docs: list[tuple], items: list[tuple], n: int = 10) -> list[tupl
                     whose.add(str(i))
         out.append((doc_id, len(w), len(hit), len(whose), sha256(",".join(sorted(whose)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def brute_near(docs: list[tuple], items: list[tuple], n: int, within: int) -> list[tuple]:
+    """Proximity matches by definition, for tests: (doc_id, sorted ids of items)."""
+    out = []
+    cut = [(str(i), [set(w[k : k + n]) for k in range(max(1, len(w) - n + 1))] if w else []) for i, t in items for w in [words((t or "").encode())]]
+    for doc_id, text in docs:
+        w = words((text or "").encode())
+        stretches = [set(w[k : k + within + 1]) for k in range(len(w))]
+        out.append((doc_id, sorted({i for i, phrases in cut if any(p <= s for p in phrases for s in stretches)})))
+    return out

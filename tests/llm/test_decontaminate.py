@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate as D
@@ -59,3 +62,24 @@ def test_null_and_repeated_ids_are_separate_documents_in_any_blocks(spark):
     for block in (1, 100):
         got = D.search(index, phrases, block=block).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == want
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["a", "b", "c", "d", "e", "rare", "é", "x1"]
+    text = lambda k: " ".join(rng.choice(pool) for _ in range(k))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(60)] + [(None, None), (70, "rare"), (70, "a b"), (71, "filler " * 70 + "rare a " + "b " * 70 + "c")]
+    items = [(i, text(rng.randint(1, 9))) for i in range(25)] + [(90, None), (91, "rare rare"), (92, "unknown words")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for n, within in ((4, 6), (3, 2), (1, 0), (10, 31)):  # below n - 1 exact matches are no proximity matches
+        got = D.decontaminate(d, b, n=n, within=within)
+        assert sorted(((r.doc_id, r.near_items) for r in got.collect()), key=str) == sorted(D.brute_near(docs, items, n, within), key=str)
+        assert got.filter("size(array_except(items, near_items)) > 0").isEmpty()
+        same = D.decontaminate(d, b, n=n).drop("near_items")
+        assert sorted(map(str, same.collect())) == sorted(map(str, got.drop("near_items").collect()))
+    index, phrases = D.build_index(d, words_per_shard=40).cache(), D.phrases_of(b, n=4)
+    whole = sorted(map(str, D.search(index, phrases, within=6).collect()))
+    assert whole == sorted(map(str, D.search(index, phrases, within=6, block_bytes=100).collect()))
+    with pytest.raises(ValueError):
+        D.search(index, phrases, within=32)

@@ -95,6 +95,11 @@ def test_decontamination(spark):
     assert found(spark, "op8_benchmark_decontamination", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want)
 
 
+def test_proximity(spark):
+    want = [(i, len(near), sha(",".join(near))) for i, near in decontaminate.brute_near(rows("documents", "doc_id", "text"), rows("benchmark", "item_id", "text"), 10, 19)]
+    assert found(spark, "op8_benchmark_decontamination", "doc_id", "n_near_items", "near_items_sha256") == sorted(want)
+
+
 def test_held_out_language(spark):
     lang = dict(rows("documents", "doc_id", "lang"))
     got = registry.QUERIES["op7_language"](spark, DIR).collect()
