@@ -73,6 +73,7 @@ OPERATIONS: dict[str, Operation] = {
     "coord_transform": _op("preprocessing", scalars.cylindrical),
     "bic_model_average": _op("validation", D.bic_weights),
     "stacking": _op("validation", D.stacking),
+    "morris_sensitivity": _op("validation", sampling.morris_sensitivity),
     "permutation_importance": _op("validation", D.permutation_importance),
     "batch_predict": _op("validation", D.batch_predict),
     "find_motifs": _op("similarity", D.motifs),

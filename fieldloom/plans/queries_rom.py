@@ -1,10 +1,12 @@
-"""Registered queries of regimes, growing sets of modes and bases over a parameter."""
+"""Registered queries of regimes, growing sets of modes, bases over a parameter, mesh hashes and designs."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import bases as B
+from fieldloom.operators import meshhash, sampling
 from fieldloom.operators import trajectories as T
 from fieldloom.operators.incremental import IncrementalModes
 
@@ -110,3 +112,56 @@ def basis_interpolate(spark, sf_dir):
 def basis_distance_curve(spark, sf_dir):
     inner = B.products(_bases(spark, sf_dir))
     return rounded(spark.createDataFrame(list(zip(inner.params, B.distance_curve(inner))), "i long, distance double"), 6)
+
+
+_M = "(('0x' || substr(md5({t}), {at}, 15))::hugeint)"
+
+
+@query(f"""
+WITH o AS (SELECT p_brand AS b, p_partkey AS pid, p_size AS x, p_retailprice AS y, p_partkey % 10 AS z, lead(p_partkey) OVER w AS v1, lead(p_partkey, 2) OVER w AS v2 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+p AS (SELECT b || '-1' AS mesh, pid, x, y, z FROM o UNION ALL SELECT b || '-2', -pid, x, y, z FROM o UNION ALL SELECT b || '-3', pid, x, y, z + (pid = (SELECT min(p_partkey) FROM part WHERE p_brand = b))::int FROM o),
+c AS (SELECT b || '-1' AS mesh, pid AS a, v1 AS d, v2 AS e FROM o WHERE v2 IS NOT NULL UNION ALL SELECT b || '-2', -v1, -v2, -pid FROM o WHERE v2 IS NOT NULL UNION ALL SELECT b || '-3', pid, v1, v2 FROM o WHERE v2 IS NOT NULL),
+h AS (SELECT mesh, pid, {_M.format(t="t", at=1)} AS h0, {_M.format(t="t", at=16)} AS h1 FROM (SELECT *, round(x / 0.01)::bigint || ',' || round(y / 0.01)::bigint || ',' || round(z / 0.01)::bigint AS t FROM p)),
+hp AS (SELECT mesh, count(*) AS n_points, sum(h0)::varchar || ':' || sum(h1)::varchar AS coordinate_hash FROM h GROUP BY 1),
+k AS (SELECT mesh, '3:' || (x.h0 + y.h0 + z.h0)::varchar || ':' || (x.h1 + y.h1 + z.h1)::varchar AS t FROM c JOIN h x USING (mesh) JOIN h y USING (mesh) JOIN h z USING (mesh) WHERE x.pid = a AND y.pid = d AND z.pid = e),
+hc AS (SELECT mesh, count(*) AS n_cells, sum({_M.format(t="t", at=1)})::varchar || ':' || sum({_M.format(t="t", at=16)})::varchar AS topology_hash FROM k GROUP BY 1)
+SELECT mesh, n_points, n_cells, coordinate_hash, topology_hash, min(mesh) OVER (PARTITION BY coordinate_hash, topology_hash) AS same_as FROM hp JOIN hc USING (mesh)""")
+def mesh_classes(spark, sf_dir):
+    """Meshes of parts, each with a renumbered and reordered copy, which has the same hashes, and one in which a point moved."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    o = load(spark, sf_dir, "part").select(F.col("p_brand").alias("b"), F.col("p_partkey").alias("pid"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 10).cast("double").alias("z"), F.lead("p_partkey").over(w).alias("v1"), F.lead("p_partkey", 2).over(w).alias("v2"), (F.row_number().over(w) == 1).cast("double").alias("first"))
+    copy = lambda k: F.concat("b", F.lit(f"-{k}")).alias("mesh")
+    p = o.select(copy(1), "pid", "x", "y", "z").unionByName(o.select(copy(2), (-F.col("pid")).alias("pid"), "x", "y", "z")).unionByName(o.select(copy(3), "pid", "x", "y", (F.col("z") + F.col("first")).alias("z")))
+    t = o.filter("v2 is not null")
+    c = t.select(copy(1), F.array("pid", "v1", "v2").alias("v")).unionByName(t.select(copy(2), F.array(-F.col("v1"), -F.col("v2"), -F.col("pid")).alias("v"))).unionByName(t.select(copy(3), F.array("pid", "v1", "v2").alias("v")))
+    hashes = meshhash.mesh_hashes(p, c.orderBy(F.desc("mesh")), "mesh", "pid", ["x", "y", "z"], "v", 0.01)
+    return meshhash.mesh_classes(hashes, "mesh")
+
+
+@query("""
+WITH RECURSIVE m2(k, m) AS (SELECT 1, 1::bigint UNION ALL SELECT k + 1, xor(2 * m, m) FROM m2 WHERE k < 32),
+m3(k, m, n) AS (SELECT 1, 1::bigint, 3::bigint UNION ALL SELECT k + 1, n, xor(xor(2 * n, 4 * m), m) FROM m3 WHERE k < 32),
+v AS (SELECT 0 AS d, k, (1::bigint << (32 - k)::int) AS v FROM m2 UNION ALL SELECT 1, k, m << (32 - k)::int FROM m2 UNION ALL SELECT 2, k, m << (32 - k)::int FROM m3),
+g AS (SELECT p_partkey, xor(p_partkey, p_partkey >> 1) AS g FROM part),
+x AS (SELECT p_partkey, d, coalesce(bit_xor(v) FILTER ((g >> (k - 1)::int) & 1 = 1), 0) / 4294967296.0::double AS u FROM g, v GROUP BY 1, 2)
+SELECT p_partkey, round(max(u) FILTER (d = 0), 8) AS x0, round(-1 + 3 * max(u) FILTER (d = 1), 8) AS x1, round(10 * max(u) FILTER (d = 2), 8) AS x2 FROM x GROUP BY 1""")
+def sobol_design(spark, sf_dir):
+    """A Sobol point for each part, by its number."""
+    x = sampling.sobol_point(F.col("p_partkey"), [(0.0, 1.0), (-1.0, 2.0), (0.0, 10.0)])
+    return rounded(load(spark, sf_dir, "part").select("p_partkey", *(c.alias(f"x{i}") for i, c in enumerate(x))), 8)
+
+
+_DRAW = "('0x' || substr(md5('7-{what}-' || p_partkey), 1, 8))::bigint"
+
+
+@query(f"""
+WITH l AS (SELECT p_partkey, p_brand, {_DRAW.format(what="level-u")} % 6 AS u, {_DRAW.format(what="level-v")} % 6 AS v, {_DRAW.format(what="order-u")} AS ou, {_DRAW.format(what="order-v")} AS ov FROM part),
+s AS (SELECT *, CASE WHEN u < 5 THEN 1 ELSE -1 END AS su, CASE WHEN v < 5 THEN 1 ELSE -1 END AS sv, (ou, 'u') < (ov, 'v') AS first FROM l),
+e AS (SELECT p_brand, 'u' AS moved, (pow(2 * (u + su) / 5.0::double, 2) - pow(2 * u / 5.0::double, 2)) * (1 + 3 * CASE WHEN first THEN v ELSE v + sv END / 5.0::double) / (su / 5.0::double) AS e FROM s
+  UNION ALL SELECT p_brand, 'v', pow(2 * CASE WHEN first THEN u + su ELSE u END / 5.0::double, 2) * (3 * sv / 5.0::double) / (sv / 5.0::double) FROM s)
+SELECT p_brand, moved, round(avg(abs(e)), 6) AS mu_star, round(stddev_pop(e), 6) AS sigma, count(*) AS n FROM e GROUP BY 1, 2""")
+def morris_trajectories(spark, sf_dir):
+    """Elementary effects of u * u * v by brand, a walk a part."""
+    walks = sampling.morris_walks(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey", {"u": (0.0, 2.0), "v": (1.0, 4.0)}, 6, 7)
+    named = walks.join(load(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").withColumn("f", F.col("u") * F.col("u") * F.col("v"))
+    return rounded(sampling.elementary_effects(named, "p_partkey", "f", 6, "p_brand"), 6)
