@@ -48,7 +48,7 @@ def bootstrap_mean(df: DataFrame, by, tie, x: str, replicates: int = 200, alpha:
     by replicate and summed before the shuffle, which carries a row a task, group and replicate.
     """
     k = keys(by)
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep_", *keys(tie)), F.lit(1 << 30)) / (1 << 30)
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep_").cast("string"), *(F.col(c).cast("string") for c in keys(tie)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     # Poisson(1) by its distribution function.
     cut, weight, p, total = [], F.lit(0), 0.36787944117144233, 0.0
     for m in range(1, 9):
