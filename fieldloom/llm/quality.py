@@ -241,15 +241,16 @@ def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", *, leas
 def graded(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(grade, text) of at most max_labelled labelled documents: toxic 0, else poor quality 1, else 2.
 
-    Labels with a null are left out; of repeated labels of a document the worst grade counts. The sample is taken by a
-    hash of the id, the same at every run.
+    Labels with a null are left out; of repeated labels of a document the worst grade counts, and of rows that repeat its
+    id the least text. The sample is taken by a hash of the id, the same at every run. Empty tables give none.
     """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna()
     each = known.select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").select("grade", "text")  # the sample's size is bounded by max_labelled
+    held = texts.join(F.broadcast(sample), "doc_id")  # the sample's size is bounded by max_labelled
+    return held.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
 
 def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, least_tail: float = 0.5, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id") -> DataFrame:

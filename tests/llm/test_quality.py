@@ -116,3 +116,10 @@ def test_shapes_are_whole():
     assert Q._shape(long_ + "-") != Q._shape(long_) and Q._shape(long_ + "-b") != Q._shape(long_ + "-")
     memo = Q._Tokens()
     assert Q.features("word!!!!?", memo).tolist() != Q.features("word!!!!", memo).tolist()
+
+
+def test_rows_that_repeat_an_id_don_t_exceed_the_sample(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {j}") for j in range(50) for i in range(8)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)] + [(9, 1, 0)], "doc_id long, quality int, toxic int")
+    assert Q.graded(docs, labels, max_labelled=3).count() <= 3
+    assert {r.text for r in Q.graded(docs, labels).collect()} == {"text 0", None}
