@@ -133,7 +133,11 @@ def recursive_least_squares(df: DataFrame, by, order, inputs: list[str], target:
 
 
 def partition_changes(df: DataFrame, by, order, x: str, least: int = 5) -> DataFrame:
-    """(by, change): optimal partition into constant segments of at least ``least`` samples, penalty 2 var ln n."""
+    """(by, change): optimal partition into constant segments of at least ``least`` samples, penalty 2 var ln n.
+
+    Beginnings that can't be best any more are dropped (PELT), so the work grows with the lengths of segments, not with the
+    square of a series that changes now and then.
+    """
 
     def kernel(z: np.ndarray) -> dict:
         v = z[:, 0]
@@ -144,12 +148,16 @@ def partition_changes(df: DataFrame, by, order, x: str, least: int = 5) -> DataF
         penalty = 2 * (v.var() + 1e-30) * np.log(n)
         best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
         best[0] = -penalty
+        starts, until = np.zeros(0, int), np.zeros(0, int)  # beginnings of a last segment, and the last end that may take them
         for end in range(least, n + 1):
-            t = np.arange(end - least + 1)
-            cost = s2[end] - s2[t] - (s1[end] - s1[t]) ** 2 / (end - t)
-            total = best[t] + cost + penalty
-            last[end] = total.argmin()
-            best[end] = total[last[end]]
+            starts, until = np.append(starts, end - least), np.append(until, n)
+            starts, until = starts[until >= end], until[until >= end]
+            cost = best[starts] + s2[end] - s2[starts] - (s1[end] - s1[starts]) ** 2 / (end - starts)
+            at = cost.argmin()
+            last[end], best[end] = starts[at], cost[at] + penalty
+            # A worse one is no use once a segment that begins here is long enough.
+            worse = cost > best[end] + 1e-9 * max(abs(best[end]), penalty)
+            until[worse] = np.minimum(until[worse], end + least - 1)
         out, at = [], last[n]
         while at > 0:
             out.append(at)

@@ -758,7 +758,14 @@ def ewma(spark, sf_dir):
     return rounded(R.ewma(load(spark, sf_dir, "events"), "user_id", TIME, "value", 0.2, 1.0), 5)
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v, count(*) AS n, var_pop(value) AS var FROM events GROUP BY 1 HAVING count(*) >= 10),
+p AS (SELECT user_id, n, 2 * (var + 1e-30) * ln(n) AS pen, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(v[1:k]), 0.0)) AS s1, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(list_transform(v[1:k], lambda x: x * x)), 0.0)) AS s2 FROM s),
+b(user_id, n, pen, s1, s2, e, best, last) AS (SELECT user_id, n, pen, s1, s2, 4::bigint, [-pen, 'inf'::double, 'inf'::double, 'inf'::double, 'inf'::double], [0::bigint, 0, 0, 0, 0] FROM p UNION ALL
+  SELECT user_id, n, pen, s1, s2, e + 1, list_append(best, list_min(t)), list_append(last, list_position(t, list_min(t)) - 1) FROM (
+    SELECT *, list_transform(range(0, e - 3), lambda k: best[k + 1] + s2[e + 2] - s2[k + 1] - power(s1[e + 2] - s1[k + 1], 2) / (e + 1 - k) + pen) AS t FROM b WHERE e < n)),
+back(user_id, pos, last) AS (SELECT user_id, last[n + 1], last FROM b WHERE e = n UNION ALL SELECT user_id, last[pos + 1], last FROM back WHERE pos > 0)
+SELECT user_id, pos AS change FROM back WHERE pos > 0""")
 def change_points(spark, sf_dir):
     return rounded(R.partition_changes(load(spark, sf_dir, "events"), "user_id", TIME, "value"))
 

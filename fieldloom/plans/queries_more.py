@@ -89,7 +89,7 @@ def apply_validity_mask(spark, sf_dir):
 _NAMES = "['rhoU','Pressure','massFlowRate','Q','Total_Energy','velocity','heatFlux']"
 
 
-@query(f"WITH f AS (SELECT p_partkey, {_NAMES}[(p_partkey%7)+1] AS name FROM part) SELECT p_partkey, name FROM f WHERE regexp_matches(lower(name),'{'|'.join(S.CONSERVED)}')")
+@query(f"WITH f AS (SELECT p_partkey, {_NAMES}[(p_partkey%7)+1] AS name FROM part) SELECT p_partkey, name FROM f WHERE regexp_matches(lower(name),'rho|density|mass|flux|flow_rate|flowrate|momentum|total_energy|totalenergy|enthalpy_flow')")
 def flag_conserved_fields(spark, sf_dir):
     names = F.array(*map(F.lit, ("rhoU", "Pressure", "massFlowRate", "Q", "Total_Energy", "velocity", "heatFlux")))
     return load(spark, sf_dir, "part").select("p_partkey", names[(F.col("p_partkey") % 7).cast("int")].alias("name")).filter(S.is_conserved("name"))
@@ -361,17 +361,21 @@ def _phi(z: str) -> str:
 
 
 def _quantile(p: str) -> str:
-    """SQL: the normal quantile, by the coefficients of diagnostics.normal_quantile."""
+    """SQL: the normal quantile by a rational approximation; its coefficients are fixed values, written out here once more."""
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 
     def horner(c, x):
         out = "0.0e0"
-        for a in c:
-            out = f"({out}*{x}+({a!r}))"
+        for k in c:
+            out = f"({out}*{x}+({k!r}))"
         return out
 
-    low = lambda q: f"({horner(D._QC, q)}/{horner((*D._QD, 1.0), q)})"
+    low = lambda q: f"({horner(c, q)}/{horner(d, q)})"
     q = f"({p}-0.5)"
-    middle = f"({horner(D._QA, f'({q}*{q})')}*{q}/{horner((*D._QB, 1.0), f'({q}*{q})')})"
+    middle = f"({horner(a, f'({q}*{q})')}*{q}/{horner(b, f'({q}*{q})')})"
     return f"(CASE WHEN {p}<0.02425 THEN {low(f'sqrt(-2*ln({p}))')} WHEN {p}>1-0.02425 THEN -{low(f'sqrt(-2*ln(1-{p}))')} ELSE {middle} END)"
 
 
@@ -604,7 +608,14 @@ def load_rom(spark, sf_dir):
     return rounded(rom.load_modes(spark, path)[0].filter("mode < 2").select("mode", "point", "phi"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT (p_partkey // 20) % 2 AS c, p_partkey % 4 AS i, (p_partkey // 4) % 5 AS j, avg(p_retailprice) / 100 AS f, avg(p_size) AS g FROM part GROUP BY 1, 2, 3),
+w AS (SELECT p, q, CASE WHEN p < 2 THEN p ELSE p - 4 END AS ky, CASE WHEN q < 3 THEN q ELSE q - 5 END AS kx FROM range(4) AS a(p), range(5) AS b(q)),
+h AS (SELECT c, p, q, kx, ky, greatest(kx * kx + ky * ky, 1) AS k2, sum(f * cos(t)) AS ur, -sum(f * sin(t)) AS ui, sum(g * cos(t)) AS vr, -sum(g * sin(t)) AS vi FROM (SELECT *, 2 * pi() * (p * i / 4.0::double + q * j / 5.0::double) AS t FROM g, w) GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT *, (kx * ur + ky * vr) / k2 AS ar, (kx * ui + ky * vi) / k2 AS ai, (p = 0 AND q = 0) AS mean FROM h),
+r AS (SELECT *, CASE WHEN mean THEN ur ELSE kx * ar END AS iur, CASE WHEN mean THEN ui ELSE kx * ai END AS iui, CASE WHEN mean THEN vr ELSE ky * ar END AS ivr, CASE WHEN mean THEN vi ELSE ky * ai END AS ivi FROM l),
+o AS (SELECT g.c, g.i, g.j, g.f, g.g, sum(iur * cos(t) - iui * sin(t)) / 20 AS iu, sum(ivr * cos(t) - ivi * sin(t)) / 20 AS iv FROM (SELECT *, 2 * pi() * (p * i / 4.0::double + q * j / 5.0::double) AS t FROM g JOIN r USING (c)) AS g GROUP BY 1, 2, 3, 4, 5)
+SELECT c, i, j, round(f - iu, 6) AS solenoidal_u, round(g - iv, 6) AS solenoidal_v, round(iu, 6) AS irrotational_u, round(iv, 6) AS irrotational_v FROM o""")
 def helmholtz_decomp(spark, sf_dir):
     k = F.col("p_partkey")
     g = load(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 20 % 2").alias("c"), (k % 4).alias("i"), F.expr("p_partkey div 4 % 5").alias("j"))
