@@ -12,18 +12,25 @@ from .frames import keys, ordered
 from .recursions import grouped
 
 
-def enkf_update(ensemble: DataFrame, by, states: Sequence[str], predicted: Column, observed: Column, r: float, noise: Column | None = None, inflation: float = 1.0) -> DataFrame:
+def _normal(seed: int, columns: Sequence[str]) -> Column:
+    """A standard normal number by hash of the columns."""
+    u = [(F.pmod(F.xxhash64(F.lit(f"{seed}:{i}"), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in range(2)]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+
+
+def enkf_update(ensemble: DataFrame, by, states: Sequence[str], predicted: Column, observed: Column, r: float, noise: Column | None = None, inflation: float = 1.0, seed: int = 0) -> DataFrame:
     """The ensemble after one observation of variance r: each member moves by gain * (observed + noise - predicted).
 
     predicted is a linear expression of the states; its covariances with them are one aggregate a group, which is joined back.
-    noise perturbs the observation per member, normal with variance r by default. Several independent observations are
-    taken one after another. Inflation widens the ensemble about its mean first.
+    noise perturbs the observation per member, by default normal with variance r and drawn by a hash of seed and the
+    member's columns, so that a repeated run gives the same. Several independent observations are taken one after another,
+    each with a seed of its own. Inflation widens the ensemble about its mean first.
     """
     k = keys(by)
     if inflation != 1.0:
         mean = Window.partitionBy(*k)
         ensemble = ensemble.withColumns({c: F.avg(c).over(mean) + inflation * (F.col(c) - F.avg(c).over(mean)) for c in states})
-    noise = F.randn(0) * float(np.sqrt(r)) if noise is None else noise
+    noise = _normal(seed, ensemble.columns) * float(np.sqrt(r)) if noise is None else noise
     e = ensemble.withColumn("hx_", predicted).withColumn("gap_", observed + noise - F.col("hx_"))
     gain = e.groupBy(*k).agg(*((F.covar_samp(c, "hx_") / (F.var_samp("hx_") + r)).alias(f"{c}_gain_") for c in states))
     return e.join(gain, k).withColumns({c: F.col(c) + F.col(f"{c}_gain_") * F.col("gap_") for c in states}).select(*ensemble.columns)

@@ -263,15 +263,16 @@ def stacking(df: DataFrame, predictions: Sequence[str], target: str, nonnegative
     return w / w.sum() if abs(w.sum()) >= 1e-30 else np.full(m, 1 / m)
 
 
-def permutation_importance(df: DataFrame, tie, inputs: Sequence[str], target: str, model: Callable[[dict[str, Column]], Column], repeats: int = 5, buckets: int = 64) -> DataFrame:
+def permutation_importance(df: DataFrame, tie, inputs: Sequence[str], target: str, model: Callable[[dict[str, Column]], Column], repeats: int = 5, buckets: int | None = None) -> DataFrame:
     """(input, importance): mean rise of a model's root mean square error when an input's values change places.
 
-    Rows change places inside buckets that a hash of the id picks, in the order of another hash, so no sort is global;
-    model makes a prediction of named columns.
+    Rows change places inside buckets that a hash of the id picks, in the order of another hash, so no sort is global; by
+    default there is a bucket for 100,000 rows, and 64 at least. model makes a prediction of named columns.
     """
     t = keys(tie)
+    buckets = max(64, -(-df.count() // 100_000)) if buckets is None else buckets
     h = lambda *salt: F.md5(F.concat_ws(":", *(F.lit(str(s)) for s in salt), *t))
-    bucket = F.conv(F.substring(h("bucket"), 1, 4), 16, 10).cast("long") % buckets
+    bucket = F.conv(F.substring(h("bucket"), 1, 4 if buckets <= 4096 else 8), 16, 10).cast("long") % buckets
     d = df.select(*t, *inputs, F.col(target).alias("y_")).withColumn("bucket_", bucket)
     error = lambda p: F.sqrt(F.avg((F.col("y_") - p) ** 2))
     base = d.agg(error(model({c: F.col(c) for c in inputs})).alias("base_"))
