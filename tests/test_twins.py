@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,34 @@ def test_analysis_of_several_observed_numbers():
     members = np.random.default_rng(0).normal(size=(4000, 2))
     after = rules.analysis(members, np.array([2.0, 2.0]), np.random.default_rng(1))
     assert after.mean(axis=0) == pytest.approx([2 / 1.01, 2 / 5], abs=0.1) and after.var(axis=0) == pytest.approx([0.0099, 0.8], rel=0.15)
+
+
+EVENTS = "/root/testdata/sf0.001/events.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(EVENTS), reason="needs the tables")
+def test_stream_of_events_equals_the_fold(spark, tmp_path):
+    rules = W.Twin(lambda x, dt: x, lambda rng: rng.normal(40, 30, size=(20, 1)), np.eye(1), np.eye(1) * 900.0, 2.0, 5 * 86_400.0)
+    events = spark.read.parquet(EVENTS).filter("user_id < 12").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.array("value").alias("value"), "event_id")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * 3 / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)))), F.lit(2))
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        q = W.follow_twins(stream, rules, "user_id", "ts", "value", ["event_id"]).writeStream.format("memory").queryName("users").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        got = {(r.twin, r.step): (r.t, r.kind, r.estimate[0]) for r in spark.table("users").collect()}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    table = events.withColumn("t", F.unix_micros("ts") / 1e6)
+    want = {(r.twin, r.step): (r.t, r.kind, r.estimate[0]) for r in W.fold_twins(table, rules, "user_id", "t", "value", ["event_id"]).collect()}
+    assert want.keys() <= got.keys() and all(got[k][1] == v[1] and np.allclose([got[k][0], got[k][2]], [v[0], v[2]]) for k, v in want.items())
+    # What only the stream tells are silences that no observation ends.
+    last = {}
+    for twin, step in got:
+        last[twin] = max(last.get(twin, -1), step)
+    assert all(got[k][1] == "gap" and k[1] == last[k[0]] for k in got.keys() - want.keys())
+    assert len(want) > 50
