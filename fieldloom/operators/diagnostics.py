@@ -247,6 +247,16 @@ def ensemble(predictions: DataFrame, on, prediction: str, weight: str | None = N
     return m.select(*keys(on), mean.alias("average"), F.greatest(F.col("q_") / F.col("w_") - mean * mean, F.lit(0.0)).alias("variance"))
 
 
+def bic_model_average(predictions: DataFrame, models: DataFrame, on, model: str, prediction: str, bic: str = "bic") -> tuple[DataFrame, DataFrame]:
+    """The models' weights, and (on, average, variance) of predictions (on, model, prediction) by these weights.
+
+    Models without predictions somewhere leave their weight there to the others.
+    """
+    weights = bic_weights(models, bic)
+    return weights, ensemble(predictions.join(weights.select(model, "weight"), model), on, prediction, "weight")
+
+
+
 def stacking(df: DataFrame, predictions: Sequence[str], target: str, nonnegative: bool = True) -> np.ndarray:
     """Least-squares weights of models' predictions, negative ones cut to 0, sum 1; even if they cancel.
 

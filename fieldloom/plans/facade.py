@@ -71,7 +71,7 @@ OPERATIONS: dict[str, Operation] = {
     "surface_forces": _op("integrals", G.pressure_forces),
     "plane_flux": _op("integrals", G.plane_flux),
     "coord_transform": _op("preprocessing", scalars.cylindrical),
-    "bic_model_average": _op("validation", D.bic_weights),
+    "bic_model_average": _op("validation", D.bic_model_average),
     "stacking": _op("validation", D.stacking),
     "morris_sensitivity": _op("validation", sampling.morris_sensitivity),
     "permutation_importance": _op("validation", D.permutation_importance),

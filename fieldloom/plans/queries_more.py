@@ -500,6 +500,16 @@ def bic_model_average(spark, sf_dir):
     return rounded(D.bic_weights(m).select("p_brand", "weight"), 8)
 
 
+@query(f"""WITH m AS (SELECT p_brand, avg(p_retailprice)/10 bic FROM part GROUP BY 1), w AS (SELECT p_brand, exp(-0.5*(bic-(SELECT min(bic) FROM m))) w FROM m),
+p AS (SELECT p_size, p_brand, avg(p_retailprice)*{SCALE} x FROM part GROUP BY 1, 2), s AS (SELECT p_size, sum(w) w, sum(w*x) p, sum(w*x*x) q FROM p JOIN w USING (p_brand) GROUP BY 1)
+SELECT p_size, round(p/w,6) average, round(greatest(q/w-(p/w)*(p/w),0),3) variance FROM s""")
+def bic_average(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    models = p.groupBy("p_brand").agg((F.avg("p_retailprice") / 10).alias("bic"))
+    each = p.groupBy("p_size", "p_brand").agg((F.avg("p_retailprice") * SCALE).alias("x"))
+    return rounded(D.bic_model_average(each, models, "p_size", "p_brand", "x")[1], 6, variance=3)
+
+
 @query(f"""WITH d AS (SELECT *, l_quantity*{SCALE} x FROM lineitem), m AS (SELECT l_orderkey, sum(l_linenumber) w, sum(l_linenumber*x) p, sum(l_linenumber*x*x) q FROM d GROUP BY 1) SELECT l_orderkey, round(p/w,6) average, round(greatest(q/w-(p/w)*(p/w),0),5) variance FROM m""")
 def ensemble_variance(spark, sf_dir):
     d = load(spark, sf_dir, "lineitem").withColumn("x", F.col("l_quantity") * SCALE)
