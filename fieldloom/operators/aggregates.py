@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, indexed, keys, ordered, ranked, safe_div
+from .frames import TINY, indexed, keys, ordered, ranked, running, safe_div
 
 
 def reynolds(df: DataFrame, by, u: str, v: str, w: str | None = None) -> DataFrame:
@@ -258,13 +258,12 @@ def ece(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFra
 def ks_statistic(df: DataFrame, by, x: str, is_first) -> DataFrame:
     """Largest gap of the two samples' right-continuous distribution functions per group.
 
-    Values are counted before they are ordered, so the window holds a row a distinct value.
+    Values are counted before they are ordered, and a group's values are spread over ranges.
     """
     k = keys(by)
     v = df.groupBy(*k, x).agg(F.count_if(is_first).alias("a_"), F.count_if(~is_first).alias("b_"))
-    w, every = ordered(by, x), Window.partitionBy(*k)
-    gap = F.abs(F.sum("a_").over(w) / F.sum("a_").over(every) - F.sum("b_").over(w) / F.sum("b_").over(every))
-    return v.withColumn("gap_", gap).groupBy(*k).agg(F.max("gap_").alias("ks"))
+    r = running(v, k, x, {"c_": F.col("a_"), "d_": F.col("b_")}, {"m_": F.sum("a_"), "n_": F.sum("b_")})
+    return r.groupBy(*k).agg(F.max(F.abs(F.col("c_") / F.col("m_") - F.col("d_") / F.col("n_"))).alias("ks"))
 
 
 def exact_quantiles(df: DataFrame, x: str, shares) -> list[float]:

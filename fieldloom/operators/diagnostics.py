@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from fieldloom.functions.scalars import normal_cdf
 
-from .frames import cut, keys, ordered
+from .frames import cut, keys, ordered, running
 from .joins import pareto
 from .recursions import grouped
 
@@ -51,28 +51,30 @@ def normality(df: DataFrame, by, tie, x: str, bins: int = 5, first: int = 50) ->
 
     The normal has the sample's mean and deviation. W takes the first ``first`` rows by tie; chi-square compares ``bins``
     equal bins with even counts, bins - 1 degrees of freedom. Groups of fewer than 8 rows or without spread give none.
+    A group is ranked over ranges of its values, so its size is no bound.
     """
-    k = keys(by)
-    g = Window.partitionBy(*k)
-    d = df.select(*k, *keys(tie), F.col(x).cast("double").alias("x_")).withColumns({
-        "n_": F.count("*").over(g), "m_": F.avg("x_").over(g), "s_": F.stddev_samp("x_").over(g), "a_": F.min("x_").over(g), "b_": F.max("x_").over(g),
-        "i_": F.row_number().over(g.orderBy("x_", *keys(tie))), "f_": F.row_number().over(ordered(by, tie)),
-    }).filter("n_ >= 8 and s_ > 0")
-    p = normal_cdf((F.col("x_") - F.col("m_")) / F.col("s_"))
-    d = d.withColumn("p_", p).withColumn("c_", F.greatest(F.least("p_", F.lit(1 - 1e-12)), F.lit(1e-12)))
+    k, x_ = keys(by), F.col("x_")
+    d = df.select(*k, *keys(tie), F.col(x).cast("double").alias("x_"))
+    least = {"n_": F.count("*"), "m_": F.avg("x_"), "s_": F.stddev_samp("x_"), "a_": F.min("x_"), "b_": F.max("x_")}
+    r = running(d, k, ["x_", *keys(tie)], {"i_": F.lit(1)}, least).filter("n_ >= 8 and s_ > 0")
+    p = normal_cdf((x_ - F.col("m_")) / F.col("s_"))
+    r = r.withColumn("p_", p).withColumn("c_", F.greatest(F.least("p_", F.lit(1 - 1e-12)), F.lit(1e-12)))
     gap = F.greatest(F.col("i_") / F.col("n_") - F.col("p_"), F.col("p_") - (F.col("i_") - 1) / F.col("n_"))
     term = (2 * F.col("i_") - 1) * F.log("c_") + (2 * (F.col("n_") - F.col("i_")) + 1) * F.log(1 - F.col("c_"))
-    bin_ = F.least(F.floor((F.col("x_") - F.col("a_")) / (F.col("b_") - F.col("a_")) * bins), F.lit(bins - 1))
+    bin_ = F.least(F.floor((x_ - F.col("a_")) / (F.col("b_") - F.col("a_")) * bins), F.lit(bins - 1))
     counts = [F.count_if(bin_ == i) for i in range(bins)]
-    one = d.groupBy(*k).agg(F.count("*").alias("n"), F.max(gap).alias("ks_d"), F.sum(term).alias("t_"), *(c.alias(f"c{i}_") for i, c in enumerate(counts)))
+    one = r.groupBy(*k).agg(F.count("*").alias("n"), F.max(gap).alias("ks_d"), F.sum(term).alias("t_"), *(c.alias(f"c{i}_") for i, c in enumerate(counts)))
     n = F.col("n")
     a2 = (-n - F.col("t_") / n) * (1 + 0.75 / n + 2.25 / (n * n))
     chi = sum((F.col(f"c{i}_") - n / bins) ** 2 / (n / bins) for i in range(bins))
     one = one.select(*k, "n", "ks_d", kolmogorov_p(F.col("ks_d"), n.cast("double")).alias("ks_p"), a2.alias("anderson_a2"), chi.alias("chi_square"), F.lit(bins - 1).alias("chi_square_dof"))
-    few = d.filter(F.col("f_") <= first).withColumns({"j_": F.row_number().over(g.orderBy("x_", *keys(tie))), "k_": F.count("*").over(g)})
+    # Spark keeps the first rows of each task before they move, so a group is small from here on.
+    g = Window.partitionBy(*k)
+    few = d.withColumn("f_", F.row_number().over(ordered(by, tie))).filter(F.col("f_") <= first)
+    few = few.withColumns({"j_": F.row_number().over(g.orderBy("x_", *keys(tie))), "k_": F.count("*").over(g)})
     score = normal_quantile((F.col("j_") - 0.375) / (F.col("k_") + 0.25))
-    few = few.withColumn("q_", score).groupBy(*k).agg(F.sum(F.col("q_") * F.col("x_")).alias("u_"), F.sum(F.col("q_") ** 2).alias("v_"), (F.var_pop("x_") * F.count("*")).alias("w_"))
-    return one.join(few.select(*k, (F.col("u_") ** 2 / F.col("v_") / F.col("w_")).alias("shapiro_w")), k)
+    few = few.withColumn("q_", score).groupBy(*k).agg(F.sum(F.col("q_") * x_).alias("u_"), F.sum(F.col("q_") ** 2).alias("v_"), (F.var_pop("x_") * F.count("*")).alias("w_"))
+    return one.join(few.select(*k, F.try_divide(F.col("u_") ** 2 / F.col("v_"), F.col("w_")).alias("shapiro_w")), k)
 
 
 def chi_square(df: DataFrame, by, observed: str, expected: str, ddof: int = 0) -> DataFrame:
@@ -342,9 +344,16 @@ def committee(predictions: DataFrame, point: str, prediction: str, n: int) -> Da
 
 
 def propagate(df: DataFrame, by, model: Column, percentiles: Sequence[float] = (5.0, 50.0, 95.0)) -> DataFrame:
-    """(by, mean, std, p5, ...) of a model's output over a sample of its inputs; percentiles are exact, per group."""
-    y = df.withColumn("y_", model)
-    return y.groupBy(*keys(by)).agg(F.avg("y_").alias("mean"), F.stddev_pop("y_").alias("std"), *(F.percentile("y_", q / 100).alias(f"p{q:g}") for q in percentiles))
+    """(by, mean, std, p5, ...) of a model's output over a sample of its inputs; percentiles are exact, by ranks over ranges of a group."""
+    k = keys(by)
+    y = df.select(*k, model.cast("double").alias("y_")).filter("y_ IS NOT NULL")
+    r = running(y, k, "y_", {"i_": F.lit(1)}, {"n_": F.count("*")})
+    found, out = [], []
+    for j, q in enumerate(percentiles):
+        at = q / 100 * (F.col("n_") - 1)
+        found += [F.max(F.when(F.col("i_") - 1 == F.floor(at), F.col("y_"))).alias(f"l{j}_"), F.max(F.when(F.col("i_") - 1 == F.ceil(at), F.col("y_"))).alias(f"h{j}_"), F.max(at - F.floor(at)).alias(f"w{j}_")]
+        out.append((F.col(f"l{j}_") + (F.col(f"h{j}_") - F.col(f"l{j}_")) * F.col(f"w{j}_")).alias(f"p{q:g}"))
+    return r.groupBy(*k).agg(F.avg("y_").alias("mean"), F.stddev_pop("y_").alias("std"), *found).select(*k, "mean", "std", *out)
 
 
 def channel_rmse(df: DataFrame, channel: str, truth: str, prediction: str) -> DataFrame:
@@ -352,28 +361,47 @@ def channel_rmse(df: DataFrame, channel: str, truth: str, prediction: str) -> Da
 
 
 # Motifs.
-def motifs(df: DataFrame, by, order, x: str, window: int, k: int = 1, exclusion: int | None = None) -> DataFrame:
+def motifs(df: DataFrame, by, order, x: str, window: int, k: int = 1, exclusion: int | None = None, block: int = 2048) -> DataFrame:
     """(by, a, b, distance): the k closest pairs of stretches of a series by z-normalised distance, a < b.
 
-    Each stretch meets its nearest outside the exclusion zone (half a window). The work is quadratic in a series.
+    Each stretch meets its nearest outside the exclusion zone (half a window). A series is cut into blocks of stretches and
+    each pair of blocks is a task's group, so one long series spreads over many tasks and a group holds ``block`` squared
+    products; the work is quadratic in a series. order must be total.
     """
-    zone = window // 2 if exclusion is None else exclusion
-
-    def kernel(z: np.ndarray) -> dict:
-        v = z[:, 0]
-        n = len(v) - window + 1
-        found: dict[tuple[int, int], float] = {}
-        if n > 1:
-            s = np.lib.stride_tricks.sliding_window_view(v, window)
-            s = (s - s.mean(axis=1, keepdims=True)) / (s.std(axis=1, keepdims=True) + 1e-12)
-            nearest = []
-            for at in range(n):
-                d = np.sqrt(np.maximum(2 * (window - s @ s[at]), 0))
-                d[max(0, at - zone) : at + zone + 1] = np.inf
-                nearest.append((d.min(), at, int(d.argmin())))
-            for d, a, b in sorted(nearest):
-                if np.isfinite(d) and len(found) < k:
-                    found.setdefault((min(a, b), max(a, b)), d)
-        return {"a": [p[0] for p in found], "b": [p[1] for p in found], "distance": list(found.values())}
-
-    return grouped(df, by, order, [x], "a int, b int, distance double", kernel)
+    zone, keyed = window // 2 if exclusion is None else exclusion, keys(by)
+    at = running(df.select(*keyed, *keys(order), F.col(x).cast("double").alias("x_")), keyed, order, {"i_": F.lit(1)}, {"n_": F.count("*")})
+    at = at.select(*keyed, (F.col("i_") - 1).alias("i_"), (F.col("n_") - window + 1).alias("m_"), "x_").filter("m_ > 1")
+    # A row is in the blocks of all stretches that it is part of.
+    first = F.greatest(F.floor((F.col("i_") - window + 1) / block), F.lit(0))
+    last = F.least(F.floor(F.col("i_") / block), F.floor((F.col("m_") - 1) / block))
+    at = at.withColumn("b_", F.explode(F.sequence(first, last)))
+    held = cut(at.groupBy(*keyed, "b_", "m_").agg(F.array_sort(F.collect_list(F.struct("i_", "x_"))).alias("v_")).withColumn("v_", F.col("v_.x_")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m_") - 1) / block)))
+    pair = held.withColumn("o_", other).select(*keyed, F.least("b_", "o_").alias("p_"), F.greatest("b_", "o_").alias("q_"), "b_", "v_")
+
+    def kernel(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        def stretches(b: int) -> np.ndarray:
+            s = np.lib.stride_tricks.sliding_window_view(np.asarray(blocks["v_"][blocks["b_"] == b].iloc[0], float), window)
+            return (s - s.mean(axis=1, keepdims=True)) / (s.std(axis=1, keepdims=True) + 1e-12)
+
+        p, q = key[-2:]
+        s, t = stretches(p), stretches(q)
+        i, j = np.arange(len(s)) + p * block, np.arange(len(t)) + q * block
+        d = np.maximum(2 * (window - s @ t.T), 0)
+        d[np.abs(i[:, None] - j[None, :]) <= zone] = np.inf
+        out = [pd.DataFrame({"at": i, "to": j[d.argmin(axis=1)], "d": d.min(axis=1)})]
+        if p != q:
+            out.append(pd.DataFrame({"at": j, "to": i[d.argmin(axis=0)], "d": d.min(axis=0)}))
+        found = pd.concat(out)
+        found = found[np.isfinite(found["d"])]
+        for n, value in zip(keyed, key):
+            found[n] = value
+        return found
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"`{n}` {types[n]}" for n in keyed), "at long", "to long", "d double"])
+    near = pair.groupBy(*keyed, "p_", "q_").applyInPandas(kernel, schema)
+    near = near.groupBy(*keyed, "at").agg(F.min(F.struct("d", "to")).alias("m_"))
+    near = near.groupBy(*keyed, F.least("at", "m_.to").cast("int").alias("a"), F.greatest("at", "m_.to").cast("int").alias("b")).agg(F.sqrt(F.min("m_.d")).alias("distance"))
+    best = Window.partitionBy(*keyed).orderBy("distance", "a", "b")
+    return near.withColumn("r_", F.row_number().over(best)).filter(F.col("r_") <= k).drop("r_")

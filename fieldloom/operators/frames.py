@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -82,3 +82,30 @@ def ranked(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
     at = df.sparkSession.createDataFrame(offsets, "part_ int, before_ long")
     n = F.row_number().over(Window.partitionBy("part_").orderBy(*o)) + F.col("before_")
     return s.join(F.broadcast(at), "part_").withColumn(name, n.cast("long")).drop("part_", "before_")
+
+
+def running(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None) -> DataFrame:
+    """df with running sums over each group by order, the row itself included, and ``totals`` (aggregates) of its group.
+
+    Rows are range-partitioned by group and order, so a group of any size spreads over as many partitions as it needs; a
+    row a group and partition carries what comes before. order must be total in a group for a defined result; null keys
+    are a group.
+    """
+    k, o, totals = keys(by), keys(order), dict(totals or {})
+    s = cut(df.withColumns({f"s{i}_": c for i, c in enumerate(sums.values())}).orderBy(*k, *o).withColumn("part_", F.spark_partition_id()))
+    before = Window.partitionBy(*k).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    at = s.groupBy("part_", *k).agg(*(F.sum(f"s{i}_").alias(f"b{i}_") for i in range(len(sums))))
+    at = at.select(F.col("part_").alias("at_"), *(F.col(c).alias(f"k{j}_") for j, c in enumerate(k)), *(F.coalesce(F.sum(f"b{i}_").over(before), F.lit(0)).alias(f"b{i}_") for i in range(len(sums))))
+    if totals:
+        every = s.groupBy(*k).agg(*(c.alias(f"t{i}_") for i, c in enumerate(totals.values())))
+        every = every.withColumnsRenamed({c: f"g{j}_" for j, c in enumerate(k)})
+        same = F.lit(True)
+        for j in range(len(k)):
+            same = same & F.col(f"k{j}_").eqNullSafe(F.col(f"g{j}_"))
+        at = at.join(every, same)
+    same = F.col("part_") == F.col("at_")
+    for j, c in enumerate(k):
+        same = same & s[c].eqNullSafe(F.col(f"k{j}_"))
+    w = Window.partitionBy("part_", *k).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {name: F.sum(f"s{i}_").over(w) + F.col(f"b{i}_") for i, name in enumerate(sums)}
+    return s.join(at, same).select(*df.columns, *(c.alias(n) for n, c in found.items()), *(F.col(f"t{i}_").alias(n) for i, n in enumerate(totals)))
