@@ -92,20 +92,25 @@ def running(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str],
     are a group.
     """
     k, o, totals = keys(by), keys(order), dict(totals or {})
-    s = cut(df.withColumns({f"s{i}_": c for i, c in enumerate(sums.values())}).orderBy(*k, *o).withColumn("part_", F.spark_partition_id()))
-    before = Window.partitionBy(*k).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    at = s.groupBy("part_", *k).agg(*(F.sum(f"s{i}_").alias(f"b{i}_") for i in range(len(sums))))
-    at = at.select(F.col("part_").alias("at_"), *(F.col(c).alias(f"k{j}_") for j, c in enumerate(k)), *(F.coalesce(F.sum(f"b{i}_").over(before), F.lit(0)).alias(f"b{i}_") for i in range(len(sums))))
+    own = "r_"  # no column of the caller's begins like our own ones
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    part, at_ = f"{own}part", f"{own}at"
+    s = cut(df.withColumns({f"{own}s{i}": c for i, c in enumerate(sums.values())}).orderBy(*k, *o).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(*k).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    at = s.groupBy(part, *k).agg(*(F.sum(f"{own}s{i}").alias(f"{own}b{i}") for i in range(len(sums))))
+    offsets = [F.coalesce(F.sum(f"{own}b{i}").over(before), F.lit(0)).alias(f"{own}b{i}") for i in range(len(sums))]
+    at = at.select(F.col(part).alias(at_), *(F.col(c).alias(f"{own}k{j}") for j, c in enumerate(k)), *offsets)
     if totals:
-        every = s.groupBy(*k).agg(*(c.alias(f"t{i}_") for i, c in enumerate(totals.values())))
-        every = every.withColumnsRenamed({c: f"g{j}_" for j, c in enumerate(k)})
+        every = s.groupBy(*k).agg(*(c.alias(f"{own}t{i}") for i, c in enumerate(totals.values())))
+        every = every.withColumnsRenamed({c: f"{own}g{j}" for j, c in enumerate(k)})
         same = F.lit(True)
         for j in range(len(k)):
-            same = same & F.col(f"k{j}_").eqNullSafe(F.col(f"g{j}_"))
+            same = same & F.col(f"{own}k{j}").eqNullSafe(F.col(f"{own}g{j}"))
         at = at.join(every, same)
-    same = F.col("part_") == F.col("at_")
+    same = F.col(part) == F.col(at_)
     for j, c in enumerate(k):
-        same = same & s[c].eqNullSafe(F.col(f"k{j}_"))
-    w = Window.partitionBy("part_", *k).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = {name: F.sum(f"s{i}_").over(w) + F.col(f"b{i}_") for i, name in enumerate(sums)}
-    return s.join(at, same).select(*df.columns, *(c.alias(n) for n, c in found.items()), *(F.col(f"t{i}_").alias(n) for i, n in enumerate(totals)))
+        same = same & F.col(c).eqNullSafe(F.col(f"{own}k{j}"))
+    w = Window.partitionBy(part, *k).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {name: F.sum(f"{own}s{i}").over(w) + F.col(f"{own}b{i}") for i, name in enumerate(sums)}
+    return s.join(at, same).select(*df.columns, *(c.alias(n) for n, c in found.items()), *(F.col(f"{own}t{i}").alias(n) for i, n in enumerate(totals)))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .gmsh import read_gmsh
+
 SCHEMA = "path string, kind string, id long, name string, values array<double>, vertices array<long>"
 Row = tuple[str, int, str | None, list[float] | None, list[int] | None]
 
@@ -168,6 +170,8 @@ def read_mesh(spark: SparkSession, path: str, kind: str | None = None) -> dict[s
     kind = kind or path.rpartition(".")[2].lower()
     if kind not in PARSERS:
         raise ValueError(f"no reader for {kind}; known are {', '.join(sorted(PARSERS))}")
+    if kind == "msh":
+        return read_gmsh(spark, path)
     parse = PARSERS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
