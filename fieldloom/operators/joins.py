@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,27 +150,55 @@ def idw(points: DataFrame, targets: DataFrame, pid: str, tid: str, coordinates:
     return knn(points, targets, pid, tid, coordinates, k, cell, value).groupBy(tid).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("value"))
 
 
-def pareto(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
+def _dominated(x: np.ndarray, by: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """Which rows of x some row of ``by`` dominates."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), chunk):
+        c = x[at : at + chunk, None, :]
+        out[at : at + chunk] = ((by[None] <= c).all(axis=2) & (by[None] < c).any(axis=2)).any(axis=1)
+    return out
+
+
+def _objectives(rows: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
+    x = np.column_stack([np.asarray(rows.column(c).to_pylist() if pa.types.is_decimal(rows.column(c).type) else rows.column(c), float) for c in names])
+    return np.nan_to_num(x, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def pareto(df: DataFrame, objectives: Sequence[str], block: int = 2048) -> DataFrame:
     """Rows that no row dominates (all objectives at most, one less; minimisation).
 
-    Equal rows collapse, then each partition keeps its own front by the sorted sweep of two objectives, and only local
-    fronts meet in the anti-join. With other than two objectives the distinct rows meet directly.
+    Equal rows collapse. Each partition drops what its own rows dominate, holding ``block`` rows at most, so what is left
+    is little more than the local fronts; these meet by pairs of blocks, a pair a group, so a front of any size is met
+    without a broadcast. Objectives are compared as doubles, NaN as infinite; rows with a null objective are no members.
     """
     o = list(objectives)
-    front = df.select(*o).distinct()
-    if len(o) == 2:
-        local = Window.partitionBy(F.spark_partition_id()).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
-        front = front.withColumn("best_", F.min(o[1]).over(local)).filter(F.col("best_").isNull() | (F.col(o[1]) < F.col("best_"))).drop("best_")
-    other = front.select(*(F.col(c).alias(f"{c}_o") for c in o))
-    worse = [F.col(f"{c}_o") <= F.col(c) for c in o]
-    less = [F.col(f"{c}_o") < F.col(c) for c in o]
-    cond = worse[0]
-    for c in worse[1:]:
-        cond = cond & c
-    strictly = less[0]
-    for c in less[1:]:
-        strictly = strictly | c
-    return df.join(front.join(other, cond & strictly, "left_anti"), o, "left_semi")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, len(o)))
+        for rows in batches:
+            for at in range(0, rows.num_rows, block):
+                part = rows.slice(at, block)
+                x = _objectives(part, o)
+                keep = ~(_dominated(x, held) | _dominated(x, x))
+                held = np.concatenate([held[~_dominated(held, x[keep])], x[keep]])[:block]
+                yield part.filter(pa.array(keep))
+
+    def beaten(rows: pa.Table) -> pa.Table:
+        is_mine = rows.column("mine_")
+        mine, others = rows.filter(is_mine), rows.filter(pc.invert(is_mine))
+        return mine.filter(pa.array(_dominated(_objectives(mine, o), _objectives(others, o)))).select(o)
+
+    distinct = df.select(*o).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in o)).distinct()
+    front = cut(distinct.mapInArrow(local, distinct.schema))
+    n = -(-front.count() // block)
+    if n == 0:
+        return df.limit(0)
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    dealt = front.withColumn("block_", F.pmod(F.hash(*o), F.lit(n)))
+    mine = dealt.select(*o, F.lit(True).alias("mine_"), F.col("block_").alias("p_"), F.explode(numbers).alias("q_"))
+    others = dealt.select(*o, F.lit(False).alias("mine_"), F.explode(numbers).alias("p_"), F.col("block_").alias("q_"))
+    lost = mine.unionByName(others).groupBy("p_", "q_").applyInArrow(beaten, distinct.schema).distinct()
+    return df.join(front.join(lost, o, "left_anti"), o, "left_semi")
 
 
 def compare_fields(truth: DataFrame, prediction: DataFrame, on, value: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries as _queries
-from . import queries_geometry, queries_more, queries_rom, queries_sampling, queries_tensors  # noqa: F401  (they register their queries)
+from . import queries_analytic, queries_geometry, queries_more, queries_rom, queries_sampling, queries_tensors  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:
