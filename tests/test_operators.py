@@ -147,6 +147,35 @@ def test_fewer_points_than_neighbours(spark):
     assert J.knn(points.limit(0), targets, "p", "t", ["x", "y"], 5, 1.0).count() == 0
 
 
+def test_neighbours_among_copies_and_dense_points(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.integers(0, 4, (300, 2)) * 1.0, rng.random((300, 2)) / 100, rng.random((20, 2)) * 50])
+    targets = np.concatenate([xy[::9], rng.random((30, 2)) * 60, rng.random((5, 2)) / 100])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "p int, x double, y double")
+    t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([targets, targets[:20]]))], "t int, x double, y double")
+    got = {(r.t, r.rank): r.p for r in J.knn(p, t, "p", "t", ["x", "y"], 4, 8.0).collect()}
+    for i, at in enumerate(np.concatenate([targets, targets[:20]])):
+        d = np.sqrt(((xy - at) ** 2).sum(axis=1))
+        assert [got[i, n + 1] for n in range(4)] == np.lexsort((np.arange(len(xy)), d))[:4].tolist()
+
+
+def test_a_search_does_not_grow_with_density(spark, monkeypatch):
+    met = []
+    pairs = J.radius_pairs
+
+    def counted(*a):
+        out = pairs(*a)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "radius_pairs", counted)
+    xy = np.random.default_rng(4).random((4000, 2))
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "p int, x double, y double")
+    t = spark.createDataFrame([(i, 0.5, 0.5 + i % 5 / 100) for i in range(50)], "t int, x double, y double")
+    assert J.knn(p, t, "p", "t", ["x", "y"], 4, 2.0).count() == 200
+    assert sum(met) < 5000  # all pairs are 200,000
+
+
 def test_helmholtz_parts(spark):
     n = 8
     y, x = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
