@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +34,15 @@ def cylinder(coordinates: Sequence[str], start: Sequence[float], end: Sequence[f
     return (t >= 0) & (t <= length) & (F.sqrt(radial) <= radius)
 
 
+def _level(origin: Sequence[float], normal: Sequence[float]) -> float:
+    """origin . normal, exact but for one rounding: components are taken as the decimals that they are written as."""
+    return float(sum(Fraction(str(o)) * Fraction(str(n)) for o, n in zip(origin, normal)))
+
+
 def half_space(coordinates: Sequence[str], origin: Sequence[float], normal: Sequence[float], strict: bool = False) -> Column:
-    s = sum((F.col(c) - o) * n for c, o, n in zip(coordinates, origin, normal))
-    return s > 0 if strict else s >= 0
+    """The side of a plane to which the normal points: x . n against origin . n, so that a point on the plane isn't lost in x - origin."""
+    s, level = sum(F.col(c) * n for c, n in zip(coordinates, normal)), _level(origin, normal)
+    return s > level if strict else s >= level
 
 
 def near_plane(coordinates: Sequence[str], origin: Sequence[float], normal: Sequence[float], tolerance: float = 1e-3) -> Column:

@@ -176,6 +176,25 @@ def test_a_search_does_not_grow_with_density(spark, monkeypatch):
     assert sum(met) < 5000  # all pairs are 200,000
 
 
+def test_cusum_is_the_fold(spark):
+    z = np.random.default_rng(2).integers(-20, 21, (4, 800)) / 10
+    df = spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(z) for i, v in enumerate(row)] + [(9, 0, 2.0), (9, 1, None), (9, 2, 0.75)], "k int, t int, z double")
+    got = {(r.k, r.i): (r.up, r.down, r.alarm) for r in R.cusum(df, "k", "t", "z").collect()}
+    assert len(got) == z.size + 3 and [got[9, i][0] for i in range(3)] == [1.5, 0.0, 0.25]
+    for k, row in enumerate(z):
+        up = down = 0.0
+        for i, v in enumerate(row):
+            up, down = max(0.0, up + float(v) - 0.5), min(0.0, down + float(v) + 0.5)
+            assert got[k, i] == (up, down, up > 5 or down < -5)
+
+
+def test_points_on_a_plane_are_in_its_half_space(spark):
+    df = spark.createDataFrame([(s, p) for s in (8, 14, 20, 22, 24) for p in (1368.75, 1200.0, 1031.25, 975.0, 918.75)], "s int, p double")
+    df = df.selectExpr("(s - 10) / 40.0D x", "(p / 50 - 15) / 30.0D y")
+    got = df.select("x", "y", S.half_space(["x", "y"], (0.0, 0.375), (0.6, 0.8)).alias("in"), S.half_space(["x", "y"], (0.0, 0.375), (0.6, 0.8), strict=True).alias("strictly")).collect()
+    assert all(r["in"] == (r.x * 0.6 + r.y * 0.8 >= 0.3) and r.strictly == (r.x * 0.6 + r.y * 0.8 > 0.3) for r in got)
+
+
 def test_helmholtz_parts(spark):
     n = 8
     y, x = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
