@@ -195,6 +195,67 @@ def test_points_on_a_plane_are_in_its_half_space(spark):
     assert all(r["in"] == (r.x * 0.6 + r.y * 0.8 >= 0.3) and r.strictly == (r.x * 0.6 + r.y * 0.8 > 0.3) for r in got)
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_groups_are_in_no_window(spark):
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=500).round(1), rng.normal(size=500).round(2)
+    df = spark.createDataFrame([(None if i % 2 else 1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(u, v))], "k int, i int, u double, v double")
+    got = {r.k: r for r in A.shape(df, "k", "u").collect()}
+    quads = {r.k: r for r in A.quadrants(df, "k", "u", "v", 0.5).collect()}
+    q = {r.k: r for r in A.quantiles(df, "k", "u", [0, 5, 50, 97.5, 100]).collect()}
+    w = {r.k: r for r in A.wasserstein_equal(df, "k", "u", "v", "i").collect()}
+    x = {(r.k, r.lag): r.r for r in T.cross_correlation(df, "k", "i", "u", "v", 3, block=16).collect()}
+    for k, at in ((1, slice(0, None, 2)), (None, slice(1, None, 2))):
+        a, b = u[at] - u[at].mean(), v[at] - v[at].mean()
+        assert got[k].skewness == pytest.approx((a**3).mean() / (a**2).mean() ** 1.5) and got[k].flatness == pytest.approx((a**4).mean() / (a**2).mean() ** 2)
+        out = np.abs(a * b) < 0.5 * a.std() * b.std()
+        assert quads[k].hole_n == out.sum() and quads[k].q2_n == ((a < 0) & (b > 0) & ~out).sum()
+        assert [q[k][f"p{p:g}"] for p in (0, 5, 50, 97.5, 100)] == pytest.approx(np.percentile(u[at], [0, 5, 50, 97.5, 100]).tolist())
+        assert w[k].wasserstein == pytest.approx(np.abs(np.sort(u[at]) - np.sort(v[at])).mean())
+        for lag in range(-3, 4):
+            r = (a[lag:] * b[: len(b) - lag]).sum() if lag >= 0 else (a[:lag] * b[-lag:]).sum()
+            assert x[k, lag] == pytest.approx(r / np.sqrt((a * a).sum() * (b * b).sum()))
+    for f in (A.shape(df, "k", "u"), A.quadrants(df, "k", "u", "v")):
+        assert "Window" not in plan(f)
+    assert "percentile" not in plan(A.quantiles(df, "k", "u", [50]))
+
+
+def test_copies_ask_once(spark, monkeypatch):
+    from fieldloom.operators import geometry as G
+
+    met, pairs = [], G.radius_pairs
+
+    def counted(*a):
+        met.append(pairs(*a).count())
+        return pairs(*a)
+
+    monkeypatch.setattr(G, "radius_pairs", counted)
+    p = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(60)] + [(99, 50.0, 0.0), (98, 3.5, 0.0)], "p int, x double, y double")
+    got = {r.p: r.cluster for r in G.dbscan(p, "p", ["x", "y"], 1.5, 21).collect()}
+    assert got == {i: 0 for i in range(60)} | {99: -1, 98: 0} and met[0] == 11  # 1,200 pairs of points and more
+    t = spark.createDataFrame([(i, 0.0, 0.0, 4.0, 0.0, 0.0, 4.0) for i in range(7, 40)], "tri int, ax double, ay double, bx double, by double, cx double, cy double")
+    assert {r.p: r.tri for r in J.locate_triangles(p, t, "p", "tri", 2.0).collect()} == {i: 7 for i in range(60)} | {99: -1, 98: 7}
+
+
+def test_a_value_at_the_mean_deviates_by_nothing(spark):
+    v = [0.1, 0.7, 0.3, 0.4, 0.5, 0.4, 0.4, 0.6, 0.2, 0.4]  # the mean is 0.4
+    rates = set()
+    for turn in range(5):
+        rows = [(turn, i, x) for i, x in enumerate(v)]
+        rates.add(T.features(spark.createDataFrame(rows[turn:] + rows[:turn], "k int, i int, x double").coalesce(1), "k", "i", "x").first().zero_crossing_rate)
+    s = [(x > 0.4) - (x < 0.4) for x in v]
+    assert rates == {sum(a != b for a, b in zip(s, s[1:])) / 9}
+
+
+def test_bootstrap_parts_of_a_group(spark):
+    df = spark.range(400).selectExpr("id % 2 k", "id i", "cast(id % 17 as double) x")
+    key = lambda d: sorted(tuple(round(x, 9) for x in r) for r in d.collect())
+    assert key(D.bootstrap_mean(df, "k", "i", "x", 40, part=30)) == key(D.bootstrap_mean(df, "k", "i", "x", 40))
+
+
 def test_helmholtz_parts(spark):
     n = 8
     y, x = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
