@@ -98,11 +98,16 @@ def min_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
 def dbscan(points: DataFrame, pid: str, coordinates: Sequence[str], eps: float, least: int) -> DataFrame:
     """(pid, cluster): core points with at least ``least`` neighbours (themselves included) within eps; -1 for noise.
 
-    Clusters take the smallest core id; a border point that touches several joins the smallest.
+    Clusters take the smallest core id; a border point that touches several joins the smallest. Points of equal coordinates
+    are one place, named after its smallest id, that counts as often as it has points.
     """
-    near = cut(radius_pairs(points, points.select(F.col(pid).alias("t_"), *coordinates), pid, "t_", coordinates, eps).select(F.col("t_").alias("a"), F.col(pid).alias("b")))
-    core = cut(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core")))
+    co = list(coordinates)
+    places = cut(points.groupBy(*co).agg(F.min(pid).alias("b"), F.count("*").alias("m_")))
+    near = radius_pairs(places, places.select(F.col("b").alias("a"), *co), "b", "a", co, eps).join(places.select("b", "m_"), "b")
+    near = cut(near.select("a", "b", "m_"))
+    core = cut(near.groupBy("a").agg(F.sum("m_").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core")))
     linked = near.join(core, near["a"] == core["core"], "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi")
     label = min_labels(linked, "a", "b").withColumnRenamed("node", "b")
     found = near.join(label, "b").groupBy("a").agg(F.min("label").alias("reach"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("own"))
-    return points.select(pid).join(found.withColumnRenamed("a", pid), pid, "left").select(pid, F.coalesce("own", "reach", F.lit(-1)).alias("cluster"))
+    at = places.select(*co, F.col("b").alias("a")).join(found, "a")
+    return points.select(pid, *co).join(at, co, "left").select(pid, F.coalesce("own", "reach", F.lit(-1)).alias("cluster"))
