@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, indexed, keys, ordered, ranked, running, safe_div
+from .frames import TINY, cut, indexed, keys, ordered, ranked, running, safe_div, with_totals
 
 
 def reynolds(df: DataFrame, by, u: str, v: str, w: str | None = None) -> DataFrame:
@@ -26,12 +26,11 @@ def intensity_1d(df: DataFrame, by, u: str) -> DataFrame:
 
 
 def shape(df: DataFrame, by, x: str) -> DataFrame:
-    """skewness m3 / max(var**1.5, tiny) and flatness m4 / max(var**2, tiny), not in excess of 3; two passes."""
-    k = keys(by)
-    m = df.select(*k, F.col(x), F.avg(x).over(Window.partitionBy(*k)).alias("m_"))
-    d = F.col(x) - F.col("m_")
-    var = F.avg(d * d)
-    return m.groupBy(*k).agg(safe_div(F.avg(d * d * d), F.pow(var, F.lit(1.5))).alias("skewness"), safe_div(F.avg(d * d * d * d), var * var).alias("flatness"))
+    """skewness m3 / max(var**1.5, tiny) and flatness m4 / max(var**2, tiny), not in excess of 3; central moments merge, so no row is shuffled."""
+    var, c = F.var_pop(x), F.col(x)
+    m3, m4 = F.skewness(c) * F.pow(var, F.lit(1.5)), (F.kurtosis(c) + 3) * var * var
+    moment = lambda m: F.when(var == 0, 0.0).otherwise(m)
+    return df.groupBy(*keys(by)).agg(safe_div(moment(m3), F.pow(var, F.lit(1.5))).alias("skewness"), safe_div(moment(m4), var * var).alias("flatness"))
 
 
 def running_moments(df: DataFrame, by, x: str) -> DataFrame:
@@ -44,8 +43,20 @@ def running_covariance(df: DataFrame, by, x: str, y: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by, x: str, percents: Sequence[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, as columns p<percent>."""
-    return df.groupBy(*keys(by)).agg(*(F.percentile(x, p / 100).alias(f"p{p:g}") for p in percents))
+    """Exact percentiles with linear interpolation, as columns p<percent>.
+
+    Values are counted before they are ordered, and a group's values are spread over ranges.
+    """
+    k = keys(by)
+    v = df.select(*k, F.col(x).cast("double").alias("x_")).groupBy(*k, "x_").agg(F.count("x_").alias("m_"))
+    r = running(v, k, "x_", {"c_": F.col("m_")}, {"n_": F.sum("m_")})
+    found, out = [], []
+    for j, p in enumerate(percents):
+        at = p / 100 * (F.col("n_") - 1)
+        first = lambda i: F.min(F.when(F.col("c_") > i, F.col("x_")))
+        found += [first(F.floor(at)).alias(f"l{j}_"), first(F.ceil(at)).alias(f"h{j}_"), F.max(at - F.floor(at)).alias(f"w{j}_")]
+        out.append(F.when(F.col(f"l{j}_") == F.col(f"h{j}_"), F.col(f"l{j}_")).otherwise(F.col(f"l{j}_") + (F.col(f"h{j}_") - F.col(f"l{j}_")) * F.col(f"w{j}_")).alias(f"p{p:g}"))
+    return r.groupBy(*k).agg(*found).select(*k, *out)
 
 
 def box_stats(df: DataFrame, by, x: str, whisker: float = 1.5) -> DataFrame:
@@ -83,9 +94,9 @@ def winsorized_mean(df: DataFrame, by, x: str, tie, low: float = 0.05, high: flo
 def quadrants(df: DataFrame, by, u: str, v: str, hole: float = 0.0) -> DataFrame:
     """Counts and sums of u'v' by quadrant; below hole * rms_u * rms_v a pair is in the hole, on an axis in none."""
     k = keys(by)
-    w = Window.partitionBy(*k)
-    f = df.select(*k, (F.col(u) - F.avg(u).over(w)).alias("a"), (F.col(v) - F.avg(v).over(w)).alias("b"))
-    f = f.withColumn("h", hole * F.sqrt(F.avg(F.col("a") ** 2).over(w)) * F.sqrt(F.avg(F.col("b") ** 2).over(w))).withColumn("uv", F.col("a") * F.col("b"))
+    stats = (F.avg(u).alias("mu_"), F.avg(v).alias("mv_"), F.stddev_pop(u).alias("su_"), F.stddev_pop(v).alias("sv_"))
+    f = with_totals(df.select(*k, u, v), k, stats).select(*k, (F.col(u) - F.col("mu_")).alias("a"), (F.col(v) - F.col("mv_")).alias("b"), (hole * F.col("su_") * F.col("sv_")).alias("h"))
+    f = f.withColumn("uv", F.col("a") * F.col("b"))
     out = F.abs("uv") < F.col("h")
     a, b = F.col("a"), F.col("b")
     places = {"q1": (a > 0) & (b > 0), "q2": (a < 0) & (b > 0), "q3": (a < 0) & (b < 0), "q4": (a > 0) & (b < 0)}
@@ -294,11 +305,20 @@ def psi(df: DataFrame, x: str, is_expected, bins: int = 10) -> DataFrame:
 
 
 def wasserstein_equal(df: DataFrame, by, a: str, b: str, tie) -> DataFrame:
-    """Mean gap of the sorted values of two equally long samples."""
+    """Mean gap of the sorted values of two equally long samples, which is the area between their distribution functions.
+
+    Values are counted before they are ordered and numbered by ranges of a group; each then meets the next one. Rows that
+    lack a value are left out. Equal values count alike, so ``tie`` isn't needed.
+    """
     k = keys(by)
-    one = df.select(*k, F.col(a), F.row_number().over(ordered(by, [a, *keys(tie)])).alias("rn"))
-    two = df.select(*k, F.col(b), F.row_number().over(ordered(by, [b, *keys(tie)])).alias("rn"))
-    return one.join(two, [*k, "rn"]).groupBy(*k).agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("wasserstein"))
+    both = df.select(*k, F.explode(F.array(F.struct(F.col(a).cast("double").alias("x_"), F.lit(1).alias("s_")), F.struct(F.col(b).cast("double").alias("x_"), F.lit(-1).alias("s_")))).alias("e_"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok_"))
+    v = both.filter("ok_").groupBy(*k, F.col("e_.x_").alias("x_")).agg(F.sum("e_.s_").alias("d_"), F.count("*").alias("m_"))
+    r = cut(running(v, k, "x_", {"c_": F.col("d_"), "i_": F.lit(1)}, {"n_": F.sum("m_") / 2}))
+    same = F.col("i_") == F.col("j_")
+    for j, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"g{j}_"))
+    after = r.select((F.col("i_") - 1).alias("j_"), F.col("x_").alias("y_"), *(F.col(c).alias(f"g{j}_") for j, c in enumerate(k)))
+    return r.join(after, same, "left").groupBy(*k).agg((F.coalesce(F.sum(F.abs("c_") * (F.col("y_") - F.col("x_"))), F.lit(0.0)) / F.first("n_")).alias("wasserstein"))
 
 
 def weighted_ensemble(df: DataFrame, by, pred: str, weight: str) -> DataFrame:
