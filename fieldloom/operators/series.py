@@ -13,15 +13,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, guarded, indexed, keys, mirrored, ordered
+from .frames import TINY, guarded, indexed, keys, mirrored, ordered, running, with_totals
 
 
 def features(df: DataFrame, by: str, order, x: str, bins: int = 10, support: int = 3) -> DataFrame:
-    """18 features per series; NaN and infinite results become 0."""
+    """18 features per series; NaN and infinite results become 0.
+
+    The mean is the average plus the average of what is left, so that it doesn't hang on the order of the sum: a value that
+    equals the mean deviates by 0.
+    """
     k = keys(by)
     c, w = F.col(x), ordered(by, order)
-    base = df.groupBy(*k).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+    rough = df.groupBy(*k).agg(F.avg(x).alias("rough_"))
+    finer = F.first("rough_") + F.avg(c - F.col("rough_"))
+    base = df.select(*k, x).join(rough, k).groupBy(*k).agg(
+        F.count("*").alias("n"), F.when(F.abs(F.first("rough_")) < float("inf"), finer).otherwise(F.first("rough_")).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         *(F.percentile(x, p).alias(n) for n, p in (("q25_", 0.25), ("median", 0.5), ("q75_", 0.75))),
     )
     d = indexed(df.select(*k, *keys(order), x), by, order).join(base, k)
@@ -159,14 +165,24 @@ def integral_scale(acf: DataFrame, by, dx: float = 1.0) -> DataFrame:
     return d.withColumn("area_", (F.col("r") + F.lag("r").over(w)) / 2 * dx).groupBy(*k).agg(F.coalesce(F.sum("area_"), F.lit(0.0)).alias("length_scale"))
 
 
-def cross_correlation(df: DataFrame, by, order, a: str, b: str, max_lag: int) -> DataFrame:
-    """(by, lag, r) of two columns at lags -max_lag..max_lag, over sqrt(sum a'^2 sum b'^2) + tiny."""
+def cross_correlation(df: DataFrame, by, order, a: str, b: str, max_lag: int, block: int = 65536) -> DataFrame:
+    """(by, lag, r) of two columns at lags -max_lag..max_lag, over sqrt(sum a'^2 sum b'^2) + tiny.
+
+    A series is numbered by ranges and cut into blocks that overlap by the largest lag, so a long one spreads over many tasks.
+    """
+    block = max(block, max_lag + 1)
     k = keys(by)
-    w, every = ordered(by, order), Window.partitionBy(*k)
-    d = df.withColumns({"a_": F.col(a) - F.avg(a).over(every), "b_": F.col(b) - F.avg(b).over(every)})
+    w = Window.partitionBy(*k, "block_").orderBy("i_")
+    d = with_totals(df.select(*k, *(c for c in keys(order) if c not in k), F.col(a).alias("a_"), F.col(b).alias("b_")), k, (F.avg("a_").alias("ma_"), F.avg("b_").alias("mb_")))
+    d = d.withColumns({"a_": F.col("a_") - F.col("ma_"), "b_": F.col("b_") - F.col("mb_")}).drop("ma_", "mb_")
+    d = running(d, k, order, {"i_": F.lit(1)}).select(*k, "a_", "b_", "i_")
+    # A row stands in its block, and within max_lag of an end in the next one too, where only its a counts.
+    home = F.floor(F.col("i_") / block)
+    d = d.withColumn("block_", F.explode(F.array_distinct(F.array(home, F.floor((F.col("i_") - max_lag) / block), F.floor((F.col("i_") + max_lag) / block)))))
+    own = F.col("block_") == home
     lags = list(range(-max_lag, max_lag + 1))
     shift = lambda lag: F.lead("a_", lag).over(w) if lag >= 0 else F.lag("a_", -lag).over(w)
-    d = d.withColumns({f"c{i}": shift(lag) * F.col("b_") for i, lag in enumerate(lags)})
+    d = d.withColumns({f"c{i}": F.when(own, shift(lag) * F.col("b_")) for i, lag in enumerate(lags)}).withColumns({"a_": F.when(own, F.col("a_")), "b_": F.when(own, F.col("b_"))})
     s = d.groupBy(*k).agg((F.sqrt(F.sum(F.col("a_") ** 2) * F.sum(F.col("b_") ** 2)) + TINY).alias("n_"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(lags))))
     each = F.explode(F.array(*(F.struct(F.lit(lag).alias("lag"), (F.col(f"c{i}") / F.col("n_")).alias("r")) for i, lag in enumerate(lags))))
     return s.select(*k, each.alias("e")).select(*k, "e.*")
