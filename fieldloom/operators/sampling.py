@@ -41,11 +41,12 @@ def latin_hypercube(spark: SparkSession, n: int, bounds: Sequence[tuple[float, f
     return out
 
 
-def bootstrap_mean(df: DataFrame, by, tie, x: str, replicates: int = 200, alpha: float = 0.1, seed: int = 0) -> DataFrame:
+def bootstrap_mean(df: DataFrame, by, tie, x: str, replicates: int = 200, alpha: float = 0.1, seed: int = 0, part: int = 50_000) -> DataFrame:
     """(by, mean, lower, upper): percentile interval of the mean by the Poisson bootstrap.
 
-    A row's weight in a replicate follows from a hash of its id, so replicates need no sample of their own: rows are expanded
-    by replicate and summed before the shuffle, which carries a row a task, group and replicate.
+    A row's weight in a replicate follows from a hash of its id, so replicates need no sample of their own. Rows are brought
+    together by group, large groups in parts of about ``part`` rows, before they are expanded by replicate: shuffled are the
+    rows themselves and a row a part and replicate.
     """
     k = keys(by)
     u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep_").cast("string"), *(F.col(c).cast("string") for c in keys(tie)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -57,8 +58,11 @@ def bootstrap_mean(df: DataFrame, by, tie, x: str, replicates: int = 200, alpha:
         p /= m
     for c in cut:
         weight = weight + (u >= c).cast("int")
-    each = df.select(*k, *keys(tie), F.col(x).alias("x_"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep_")).withColumn("w_", weight)
-    means = each.groupBy(*k, "rep_").agg((F.sum(F.col("w_") * F.col("x_")) / F.greatest(F.sum("w_"), F.lit(1))).alias("m_"))
+    parts = df.groupBy(*k).agg(F.ceil(F.count("*") / part).alias("parts_"))
+    held = df.select(*k, *(c for c in keys(tie) if c not in k), F.col(x).alias("x_")).join(parts, k).withColumn("part_", F.pmod(F.xxhash64(*keys(tie)), F.col("parts_"))).repartition(*k, "part_")
+    each = held.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep_")).withColumn("w_", weight)
+    sums = each.groupBy(*k, "part_", "rep_").agg(F.sum(F.col("w_") * F.col("x_")).alias("s_"), F.sum("w_").alias("w_"))
+    means = sums.repartition(*k).groupBy(*k, "rep_").agg((F.sum("s_") / F.greatest(F.sum("w_"), F.lit(1))).alias("m_"))
     ends = means.groupBy(*k).agg(F.percentile("m_", alpha / 2).alias("lower"), F.percentile("m_", 1 - alpha / 2).alias("upper"))
     return df.groupBy(*k).agg(F.avg(x).alias("mean")).join(ends, k)
 
