@@ -73,3 +73,31 @@ def test_missing_coordinates_and_surfaces(spark):
     assert got == {0: 0.0, 1: 0.0, 7: None, 8: None}
     assert {r.wall_distance for r in S.attach_wall_features(p, t.limit(0), "pid", "tri", 1.0).collect()} == {None}
     assert S.attach_wall_features(p.limit(0), t, "pid", "tri", 1.0).collect() == []
+
+
+def test_cells_are_halved_until_a_place_meets_few_triangles(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW", 10)
+    monkeypatch.setattr(S, "PAIRS_OF_CELL", 500)
+    monkeypatch.setattr(S, "PAIRS_OF_PLACE", 60)
+    met = spark.sparkContext.accumulator(0)
+    closest = S._closest
+
+    def counted(rows, at):
+        met.add(rows.num_rows if tuple(at) == S.PLACE else 0)
+        return closest(rows, at)
+
+    monkeypatch.setattr(S, "_closest", counted)
+    rng = np.random.default_rng(3)
+    corner = rng.uniform(0, 20, size=(300, 3))
+    triangles = np.hstack([corner, corner + rng.normal(size=(300, 3)) * 6, corner + rng.normal(size=(300, 3)) * 6])
+    triangles = np.vstack([triangles, triangles[:20]])  # equals: the smaller id counts
+    points = np.vstack([np.round(rng.uniform(0, 20, size=(300, 3)), 1), [[900, -900, 30], [0, 0, 0]]])
+    p, t = frames(spark, np.vstack([points, points]), triangles)
+    got = {r.pid: r for r in S.nearest_triangle(p, t, "pid", "tri", 2.0).collect()}
+    assert len(got) == 604
+    for i, at in enumerate(points):
+        want = [to_triangle(at, x) for x in triangles[:300]]
+        for r in (got[i], got[i + 302]):
+            assert r.distance == pytest.approx(min(want), abs=1e-9)
+            assert r.tri < 300 and want[r.tri] == pytest.approx(min(want), abs=1e-9)
+    assert met.value <= 60 * 302  # all pairs: 300 * 302
