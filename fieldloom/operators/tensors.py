@@ -53,7 +53,7 @@ def _determinant(m: Sequence[Sequence[Column]]) -> Column:
     return total
 
 
-def rasterise(cells: DataFrame, case: str, cell: str, corners: str, fields: Sequence[str], grid: Grid) -> DataFrame:
+def rasterise(cells: DataFrame, case: str, cell: str, corners: str, fields: Sequence[str], grid: Grid, few: int = 50_000) -> DataFrame:
     """(case, node, fields) of the nodes inside a triangle (2 axes) or tetrahedron (3 axes), linear between its corners.
 
     ``corners`` is an array of points, a field an array of the corners' values. A cell gives its own nodes, so nothing is
@@ -95,8 +95,13 @@ def rasterise(cells: DataFrame, case: str, cell: str, corners: str, fields: Sequ
         for c, s in enumerate(share):
             total = total + s * F.col(f)[c]
         values.append(total.alias(f))
-    hit = nodes.filter(inside).groupBy(F.col(case).alias(case), node.alias("node"))
-    return hit.agg(F.min_by(F.struct(*values), cell).alias("v_")).select(case, "node", *(F.col("v_")[f].alias(f) for f in fields))
+    hits = nodes.filter(inside).select(F.col(case).alias(case), node.alias("node"), F.col(cell).alias("cell_"), F.struct(*values).alias("v_"))
+    # Ids alone are reduced, in a hash a task, whose size is the grid's; values follow for the cells that count.
+    first = cut(hits.groupBy(case, "node").agg(F.min("cell_").alias("cell_")).select(F.col(case).alias("case_"), F.col("node").alias("node_"), F.col("cell_").alias("first_")))
+    first = F.broadcast(first) if first.count() <= few else first
+    same = F.col(case).eqNullSafe(F.col("case_")) & (F.col("node") == F.col("node_")) & F.col("cell_").eqNullSafe(F.col("first_"))
+    held = hits.join(first, same).groupBy(case, "node").agg(F.first("v_").alias("v_"))
+    return held.select(case, "node", *(F.col("v_")[f].alias(f) for f in fields))
 
 
 def _nearer(step: float):

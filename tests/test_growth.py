@@ -20,3 +20,11 @@ def test_density_without_pairs(spark, monkeypatch):
         q = np.abs(x - at) / 0.75
         want = (m * np.where(q < 1, 1 - 1.5 * q**2 + 0.75 * q**3, np.where(q < 2, 0.25 * (2 - q) ** 3, 0))).sum() * 2 / 3 / 0.75
         assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_nodes_of_cells_are_not_sorted(spark):
+    cells = spark.createDataFrame([("a", i, [[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]], [float(i)] * 3) for i in (3, 1, 2)], "case string, cell long, corners array<array<double>>, p array<double>")
+    held = tensors.rasterise(cells, "case", "cell", "corners", ["p"], tensors.Grid((0.0, 0.0), 1.0, (5, 5)))
+    assert "min_by" not in held._jdf.queryExecution().executedPlan().toString()
+    rows = held.collect()
+    assert len(rows) == 15 and {r.p for r in rows} == {1.0}
