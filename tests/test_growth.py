@@ -28,3 +28,11 @@ def test_nodes_of_cells_are_not_sorted(spark):
     assert "min_by" not in held._jdf.queryExecution().executedPlan().toString()
     rows = held.collect()
     assert len(rows) == 15 and {r.p for r in rows} == {1.0}
+
+
+def test_running_sums_take_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "RUN", 100)
+    d = spark.range(3000).select(F.lit("g").alias("g"), "id")
+    r = frames.running(d, "g", "id", {"s": F.col("id")}, {"n": F.count("*")})
+    assert max(x[0] for x in r.groupBy(F.spark_partition_id()).count().select("count").collect()) < 1000
+    assert {(x.id, x.s, x.n) for x in r.collect()} == {(i, i * (i + 1) // 2, 3000) for i in range(3000)}
