@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from fractions import Fraction
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import TINY, keys, ordered, ranked
+from .frames import TINY, cut, keys, ordered, ranked
 
 
 EXISTING = 10_000  # bound of the design points that greedy_maxmin broadcasts
@@ -113,10 +114,25 @@ def kept_triangles(triangles: DataFrame, tri: str, vertices: str, kept: DataFram
     return triangles.join(lost, tri, "left_anti")
 
 
-def same_mesh(meshes: DataFrame, mesh: str, topology: str, coordinates: str) -> DataFrame:
-    """Pairs (a, b), a < b, of meshes with equal topology and coordinate hashes; nulls equal nothing."""
-    m = meshes.select(F.col(mesh).alias("a"), topology, coordinates)
-    return m.join(m.withColumnRenamed("a", "b"), [topology, coordinates]).filter("a < b").select("a", "b")
+def same_mesh(meshes: DataFrame, mesh: str, topology: str, coordinates: str, block: int = 256, pairs_of_task: int = 5_000_000) -> DataFrame:
+    """Pairs (a, b), a < b, of meshes with equal topology and coordinate hashes; nulls equal nothing.
+
+    A class of equal meshes is dealt into blocks; each pair of blocks is one key of the join, so a class spreads over as
+    many tasks as its pairs need, and the number of tasks follows the number of pairs.
+    """
+    on = ["t_", "c_"]
+    m = meshes.select(F.col(mesh).alias("m_"), F.col(topology).alias("t_"), F.col(coordinates).alias("c_"))
+    classes = cut(m.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("n_")).filter("n_ > 1").withColumn("class_", F.monotonically_increasing_id()))
+    pairs = classes.agg(F.sum(F.col("n_").cast("double") * F.col("n_") / 2)).first()[0] or 0
+    tasks = max(int(meshes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / pairs_of_task))
+    blocks = F.ceil(F.col("n_") / block)
+    dealt = m.join(classes, on).select("class_", "m_", (blocks - 1).alias("last_"), F.pmod(F.xxhash64("m_"), blocks).alias("own_"))
+    # A pair of blocks is (p, q), p <= q; a mesh is on the one side with its block as p, on the other with it as q.
+    one = dealt.select("class_", F.col("own_").alias("p_"), F.explode(F.sequence("own_", "last_")).alias("q_"), F.col("m_").alias("x_"))
+    other = dealt.select("class_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_"))).alias("p_"), F.col("own_").alias("q_"), F.col("m_").alias("y_"))
+    key = ["class_", "p_", "q_"]
+    met = one.repartition(tasks, *key).join(other.repartition(tasks, *key), key).filter("p_ < q_ AND x_ <> y_ OR x_ < y_")
+    return met.select(F.least("x_", "y_").alias("a"), F.greatest("x_", "y_").alias("b"))
 
 
 def reflected(df: DataFrame, components: Sequence[str]) -> DataFrame:

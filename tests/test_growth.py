@@ -36,3 +36,10 @@ def test_running_sums_take_more_tasks_for_more_rows(spark, monkeypatch):
     r = frames.running(d, "g", "id", {"s": F.col("id")}, {"n": F.count("*")})
     assert max(x[0] for x in r.groupBy(F.spark_partition_id()).count().select("count").collect()) < 1000
     assert {(x.id, x.s, x.n) for x in r.collect()} == {(i, i * (i + 1) // 2, 3000) for i in range(3000)}
+
+
+def test_a_class_of_equal_meshes_spreads_over_tasks(spark):
+    m = spark.range(400).select("id", F.lit("t").alias("t"), F.lit("c").alias("c")).unionByName(spark.createDataFrame([(900, "t", None), (901, "t", None), (902, "u", "c")], "id long, t string, c string"))
+    pairs = relations.same_mesh(m, "id", "t", "c", block=50, pairs_of_task=5_000)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(400) for a in range(b)} and pairs.count() == 400 * 399 // 2
+    assert max(r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()) < 40_000
