@@ -87,8 +87,8 @@ def line_links(lines: DataFrame, k: int, least_chars: int = LEAST_CHARS, pairs_a
     Lines of k or fewer code points, or of fewer than least_chars, are left out.
     """
     long_ = lines.filter(F.col("len") >= max(least_chars, k + 1))
-    sign = F.expr("aggregate(split(line, ''), 0L, (a, c) -> if(c = '', a, a ^ shiftleft(1L, pmod(ascii(c), 63))))")
-    whole = long_.select(F.col("lid").alias("iid"), F.lit(0).cast("long").alias("gid"), "lid", F.col("line").alias("s"), "len", sign.alias("sign"))
+    sign = F.expr("aggregate(split(s, ''), 0L, (a, c) -> if(c = '', a, a ^ shiftleft(1L, pmod(ascii(c), 63))))")
+    whole = long_.select(F.col("lid").alias("iid"), F.lit(0).cast("long").alias("gid"), "lid", F.col("line").alias("s"), "len")
     items, texts, levels, scratch = whole, None, [], []
     while True:
         keyed = _keyed(items, k) if texts is None else _keyed(items, k).unionByName(_short_keyed(items, k))
@@ -103,7 +103,8 @@ def line_links(lines: DataFrame, k: int, least_chars: int = LEAST_CHARS, pairs_a
         if texts is None:
             ids = held.select("iid").distinct()
             pages, slot = id_filter(ids, ids.count())
-            items = texts = stored(maybe_in(whole, F.col("iid"), pages, slot), "live_lines")
+            # Signatures are for lines that somebody may meet only: most lines have no key in common with another.
+            items = texts = stored(maybe_in(whole, F.col("iid"), pages, slot).withColumn("sign", sign), "live_lines")
         signed = held.filter("not hot").join(items.select("iid", "lid", "sign"), "iid")
         # Only short residues have keys of several parts: a key's probes are dealt to them, each meets the whole index.
         index = signed.filter(INDEX).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lid").alias("b"), F.col("sign").alias("sb"))

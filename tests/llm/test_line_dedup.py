@@ -137,3 +137,19 @@ def test_many_variants_of_a_template(spark):
     for pair in two_edits(numbers):
         near.update(pair)
     assert all(links[i] == near[numbers[i]] for i in first.values()) and all(links[i] >= 1 and links[n + i] >= 1 for i in range(50))
+
+
+def test_signatures_are_for_lines_that_somebody_may_meet(spark, monkeypatch):
+    from fieldloom.llm import line_dedup as module
+
+    plans, stored = {}, module.stored
+
+    def kept(df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name, *more)
+
+    monkeypatch.setattr(module, "stored", kept)
+    lines = spark.createDataFrame([(1, "a first line of text"), (2, "a first line of texts"), (3, "nothing like the others")], "lid long, line string").selectExpr("*", "length(line) len")
+    assert [tuple(r) for r in module.line_links(lines, 2).collect()] == [(1, 2, 1)]
+    plan = plans["live_lines"]
+    assert "aggregate(" in plan and plan.index("aggregate(") < plan.index("Join") and "aggregate(" not in plan[plan.index("Join") :]
