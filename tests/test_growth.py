@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import frames, probes, relations, tensors
+from fieldloom.operators import frames, joins, probes, relations, tensors
+from fieldloom.plans import queries
 
 
 def test_density_without_pairs(spark, monkeypatch):
@@ -43,3 +44,22 @@ def test_a_class_of_equal_meshes_spreads_over_tasks(spark):
     pairs = relations.same_mesh(m, "id", "t", "c", block=50, pairs_of_task=5_000)
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(400) for a in range(b)} and pairs.count() == 400 * 399 // 2
     assert max(r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()) < 40_000
+
+
+def test_radius_search_takes_distances_of_places_and_spreads_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 50)
+    points = spark.range(2000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).unionByName(spark.createDataFrame([(7, 4.0, 2.0), (None, 1.0, 2.5), (None, 1.0, 2.5), (8, None, 2.0), (9, float("nan"), 2.0), (10, -0.5, 2.0), (11, 3.1, 4.2), (7, 4.0, 2.0)], "id long, x double, y double"))
+    targets = spark.range(300).select(F.col("id").alias("tid"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).unionByName(spark.createDataFrame([(900, 5.5, 2.0), (901, None, None), (902, 90.0, 90.0)], "tid long, x double, y double"))
+    found = joins.radius_search(points, targets, "id", "tid", ["x", "y"], 3.0, 3, pairs_of_key=10_000, pairs_of_task=50_000).cache()
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < found.count() / 4
+    p, t = points.toPandas().to_numpy(float), targets.toPandas().to_numpy(float)
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(((t[:, None, 1:] - p[None, :, 1:]) ** 2).sum(axis=2))
+    key = lambda r: tuple(-1.0 if x is None or np.isnan(x) else float(x) for x in r)
+    want = sorted(key((t[i, 0], p[j, 0], np.round(d[i, j], 3))) for i, j in zip(*np.nonzero(d <= 3.0)))
+    assert sorted(map(key, found.collect())) == want
+    empty = joins.radius_search(points.limit(0), targets, "id", "tid", ["x", "y"], 3.0)
+    assert empty.columns == ["tid", "id", "distance"] and empty.collect() == []
+    monkeypatch.setattr(joins, "radius_pairs", None)
+    assert queries.QUERIES["radius_search"](spark, "/root/testdata/sf0.001").count() == 18
