@@ -10,26 +10,48 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import TINY, guarded, indexed, keys, mirrored, ordered, running, with_totals
 
 
+def _parts(df: DataFrame, k: Sequence[str], x: str) -> DataFrame:
+    """df with x = s1_ + s2_ + s3_, the number m_ of the series' values and their plain average rough_.
+
+    s1_ and s2_ are multiples of a step so wide that doubles hold their sums over the series exactly, in any order; s3_ is
+    what is left, under 2**-70 of the largest value for 4,096 rows.
+    """
+    sized = df.groupBy(*k).agg(F.avg(x).alias("rough_"), F.count(x).cast("double").alias("m_"), F.max(F.abs(x)).alias("top_"))
+    room = F.rint(F.log2("m_")) + 4  # bits for the sum of m_ values, and spare ones
+    step = F.pow(F.lit(2.0), F.rint(F.log2("top_")) + room)
+    out = df.join(sized.select(*k, "rough_", "m_", step.alias("g1_"), (step * F.pow(F.lit(2.0), room - 53)).alias("g2_")), k)
+    out = out.withColumn("s1_", F.col(x) + F.col("g1_") - F.col("g1_")).withColumn("s3_", F.col(x) - F.col("s1_"))
+    out = out.withColumn("s2_", F.col("s3_") + F.col("g2_") - F.col("g2_")).withColumn("s3_", F.col("s3_") - F.col("s2_"))
+    return out.drop("g1_", "g2_")
+
+
+def _mean_of_parts() -> Column:
+    """The mean from the sums of the parts: their quotient, and the quotient of what it leaves of them; rough_ where that isn't finite."""
+    s1, s2, s3, m = (F.col(f) for f in ("s1_", "s2_", "s3_", "m_"))
+    mean = (s1 + s2 + s3) / m
+    upper = mean * 134217729 - (mean * 134217729 - mean)  # 26 bits, whose product with m is exact
+    mean = mean + (s1 - m * upper - m * (mean - upper) + s2 + s3) / m
+    return F.when(F.abs(mean) < float("inf"), mean).otherwise(F.col("rough_"))
+
+
 def features(df: DataFrame, by: str, order, x: str, bins: int = 10, support: int = 3) -> DataFrame:
     """18 features per series; NaN and infinite results become 0.
 
-    The mean is the average plus the average of what is left, so that it doesn't hang on the order of the sum: a value that
-    equals the mean deviates by 0.
+    The mean is that of the doubles, rounded once, so it doesn't hang on the order of its sum.
     """
     k = keys(by)
     c, w = F.col(x), ordered(by, order)
-    rough = df.groupBy(*k).agg(F.avg(x).alias("rough_"))
-    finer = F.first("rough_") + F.avg(c - F.col("rough_"))
-    base = df.select(*k, x).join(rough, k).groupBy(*k).agg(
-        F.count("*").alias("n"), F.when(F.abs(F.first("rough_")) < float("inf"), finer).otherwise(F.first("rough_")).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+    base = _parts(df.select(*k, x), k, x).groupBy(*k).agg(
+        F.count("*").alias("n"), *(F.first(f).alias(f) for f in ("rough_", "m_")), *(F.sum(f).alias(f) for f in ("s1_", "s2_", "s3_")), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         *(F.percentile(x, p).alias(n) for n, p in (("q25_", 0.25), ("median", 0.5), ("q75_", 0.75))),
     )
+    base = base.withColumn("mean", _mean_of_parts()).drop("rough_", "m_", "s1_", "s2_", "s3_")
     d = indexed(df.select(*k, *keys(order), x), by, order).join(base, k)
     dev = c - F.col("mean")
     peak = F.lit(True)
