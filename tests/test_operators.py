@@ -159,6 +159,17 @@ def test_neighbours_among_copies_and_dense_points(spark):
         assert [got[i, n + 1] for n in range(4)] == np.lexsort((np.arange(len(xy)), d))[:4].tolist()
 
 
+def test_neighbours_give_their_mean(spark):
+    rng = np.random.default_rng(5)
+    xy, at = np.concatenate([rng.random((200, 2)) * 9, np.ones((5, 2))]), np.concatenate([rng.random((20, 2)) * 9, np.ones((2, 2))])
+    v = rng.random(len(xy))
+    p = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(xy, v))], "p int, x double, y double, v double")
+    t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "t int, x double, y double")
+    got = {r.t: r.value for r in J.knn_mean(p, t, "p", "t", ["x", "y"], "v", 4, 2.0).collect()}
+    near = [np.lexsort((np.arange(len(xy)), np.sqrt(((xy - a) ** 2).sum(axis=1))))[:4] for a in at]
+    assert got == pytest.approx({i: v[n].mean() for i, n in enumerate(near)})
+
+
 def test_a_search_does_not_grow_with_density(spark, monkeypatch):
     met = []
     pairs = J.radius_pairs
